@@ -72,6 +72,7 @@ class Airline:
     guest: DataFrame
     phone_number_member: DataFrame
     phone_number_guest: DataFrame
+    airport: DataFrame  # airport code → display label (a small dimension)
 
     def tables(self) -> dict[str, DataFrame]:
         out = {f.name: getattr(self, f.name) for f in fields(self)}
@@ -236,7 +237,12 @@ def derive(spark: SparkSession, sf_dir: str) -> Airline:
     ).select("Email", F.concat("prefix", "Passport_number").alias("Phone_number"))
     phone_number_guest = guest.select("Email", F.concat(F.lit("054"), F.col("Email")).alias("Phone_number"))
 
-    return Airline(airplane=airplane, klass=klass, seat=seat, flight_route=flight_route,
+    region = _read(spark, sf_dir, "region")
+    airport = (nation.join(region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
+               .select(F.col("n_name").alias("Code"),
+                       F.concat_ws(" — ", F.col("n_name"), F.initcap("r_name")).alias("Label")))
+
+    return Airline(airport=airport, airplane=airplane, klass=klass, seat=seat, flight_route=flight_route,
                    flight=flight.drop("p_retailprice"), booking=booking, ticket_order=ticket_order,
                    ticket=ticket, aircrew=aircrew, aircrew_assignment=aircrew_assignment,
                    member=member, guest=guest, phone_number_member=phone_number_member,
@@ -262,6 +268,7 @@ def load(spark: SparkSession, path: str) -> Airline:
     """Read tables written by :func:`materialize`."""
     rd = {n: spark.read.parquet(os.path.join(path, n)) for n in
           ("airplane", "class", "seat", "flight_route", "flight", "booking", "ticket_order", "ticket",
-           "aircrew", "aircrew_assignment", "member", "guest", "phone_number_member", "phone_number_guest")}
+           "aircrew", "aircrew_assignment", "member", "guest", "phone_number_member", "phone_number_guest",
+           "airport")}
     rd["klass"] = rd.pop("class")
     return Airline(**rd)
