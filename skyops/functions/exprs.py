@@ -88,7 +88,7 @@ def duration_hm(minutes) -> Column:
 # F-09
 def currency(x) -> Column:
     """``$1,234.50``; a value that is not numeric passes through as text."""
-    num = F.try_cast(_c(x).cast("string"), "double")
+    num = (_c(x).cast("string")).try_cast("double")
     return F.coalesce(F.concat(F.lit("$"), F.format_number(num, 2)), _c(x).cast("string"))
 
 
@@ -115,7 +115,7 @@ def is_english_name(x) -> Column:
 def positive_int(x) -> Column:
     """Digits only (after trim) and > 0 → the number, else NULL."""
     t = F.trim(_c(x).cast("string"))
-    n = F.try_cast(t, "long")
+    n = (t).try_cast("long")
     return F.when(t.rlike(r"^[0-9]+$") & (n > 0), n)
 
 
@@ -136,7 +136,7 @@ def flight_code(n) -> Column:
 
 def flight_no(code) -> Column:
     """Numeric suffix of ``F#####``; non-numeric → 0 (lenient cast, as SQLite)."""
-    return F.coalesce(F.try_cast(F.substring(_c(code), 2, 1 << 20), "long"), F.lit(0).cast("long"))
+    return F.coalesce(F.substring(_c(code), 2, 1 << 20).try_cast("long"), F.lit(0).cast("long"))
 
 
 # F-15
@@ -149,7 +149,7 @@ def col_letter(n) -> Column:
 def parse_seat_key(key) -> Column:
     """``cls|row|col`` → struct(cls, row, col); malformed → NULL struct."""
     parts = F.split(_c(key), r"\|")
-    row = F.try_cast(F.get(parts, 1), "int")
+    row = (F.get(parts, 1)).try_cast("int")
     ok = (F.size(parts) == 3) & row.isNotNull() & (F.length(F.get(parts, 0)) > 0) & (F.length(F.get(parts, 2)) > 0)
     return F.when(ok, F.struct(F.get(parts, 0).alias("cls"), row.alias("row"), F.get(parts, 2).alias("col")))
 
@@ -212,7 +212,7 @@ def or_default(x, v) -> Column:
 def lenient_int(x) -> Column:
     """SQLite-style ``CAST(x AS INTEGER)``: leading integer text, else 0."""
     lead = F.regexp_extract(F.trim(_c(x).cast("string")), r"^[+-]?\d+", 0)
-    return F.coalesce(F.try_cast(lead, "long"), F.lit(0).cast("long"))
+    return F.coalesce((lead).try_cast("long"), F.lit(0).cast("long"))
 
 
 # F-23
@@ -223,5 +223,5 @@ def buyer_kind(member_email, guest_email) -> Column:
 # F-24
 def clamp_qty(qty, available) -> Column:
     """``min(max(1, qty), available)``; a quantity that is not an integer counts as 1."""
-    q = F.coalesce(F.try_cast(_c(qty).cast("string"), "int"), F.lit(1))
+    q = F.coalesce((_c(qty).cast("string")).try_cast("int"), F.lit(1))
     return F.least(F.greatest(F.lit(1), q), _c(available).cast("int"))

@@ -123,3 +123,33 @@ def interval_point_join(points: DataFrame, intervals: DataFrame, keys: Sequence[
     j = pt.join(iv, keys + ["_lvl", "_k"], "inner")
     j = j.where((F.col(from_ts) <= F.col(point_ts)) & (F.col(to_ts).isNull() | (F.col(point_ts) < F.col(to_ts))))
     return j.drop("_lvl", "_k")
+
+
+def next_k_distinct(points: DataFrame, events: DataFrame, keys: Sequence[str], point_ts: str,
+                    event_ts: str, k: int, out: str) -> DataFrame:
+    """For each point, the first ``k`` distinct ``event_ts`` values strictly after it (same
+    ``keys``), one row per candidate (O-03).
+
+    Distinct event times get a global rank per key from two levels of counting — a running
+    count inside each (key, day) and the prefix sum of the per-(key, day) counts — so no
+    task ever holds all events of a hot key. A point's candidates are then the ranks
+    ``c+1 … c+k`` where ``c`` is the number of event times ``<= t``: an equi join on
+    (key, rank) that emits at most ``k`` rows per point.
+    """
+    keys = list(keys)
+    ev = events.select(*keys, F.col(event_ts).alias("_t")).distinct().withColumn("_is_e", F.lit(1))
+    pts = points.select(*keys, F.col(point_ts).alias("_t")).distinct().withColumn("_is_e", F.lit(0))
+    u = ev.unionByName(pts).withColumn("_b", F.timestamp_diff("DAY", _base(), F.col("_t")))
+    w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_t"), F.desc("_is_e"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("_loc", F.sum("_is_e").over(w))
+    per_b = u.groupBy(*keys, "_b").agg(F.sum("_is_e").alias("_n"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per_b.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).select(*keys, "_b", "_off")
+    ranked = u.join(off, keys + ["_b"], "inner").withColumn("_g", F.col("_off") + F.col("_loc"))
+    ev_r = ranked.where("_is_e = 1").select(*keys, F.col("_g").alias("_r"), F.col("_t").alias(out))
+    pt_r = (ranked.where("_is_e = 0")
+            .select(*keys, F.col("_t").alias(point_ts),
+                    F.explode(F.sequence(F.col("_g") + 1, F.col("_g") + k)).alias("_r")))
+    cand = pt_r.join(ev_r, keys + ["_r"], "inner").drop("_r")
+    return points.join(cand, keys + [point_ts], "inner")

@@ -239,7 +239,7 @@ def next_key(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
     """A-11: ``IFNULL(MAX(id), 0)``; with a prefix, the max numeric suffix (lenient)."""
     v = F.col(col)
     if prefix:
-        v = F.coalesce(F.try_cast(F.substring(v, len(prefix) + 1, 1 << 20), "long"), F.lit(0).cast("long"))
+        v = F.coalesce(F.substring(v, len(prefix) + 1, 1 << 20).try_cast("long"), F.lit(0).cast("long"))
     return df.agg(F.coalesce(F.max(v), F.lit(0).cast("long")).cast("long").alias("max_key"))
 
 

@@ -1 +1,150 @@
-"""Registered queries."""
+"""Registered availability queries (D-02 … D-08, J-10/J-11 helpers live in q_relational).
+
+Requests are derived from the schedule: every Active/Full flight asks for resources at its
+origin at its departure instant, so the request table grows with the flight table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skyops.operators import availability as A
+from skyops.plans.catalog import query
+
+
+def requests_of(t):
+    return t.flight.where(F.col("Status").isin("Active", "Full")).select(
+        F.col("ID").alias("rid"), F.col("Origin_airport").alias("airport"), F.col("dep_ts").alias("ts"),
+        F.col("Type").alias("flight_type"))
+
+
+REQ = """
+req AS (SELECT ID AS rid, Origin_airport AS airport, dep_ts AS ts, Type AS flight_type,
+               CASE WHEN Type = 'Long' THEN 'Big' END AS need_size
+        FROM flight WHERE Status IN ('Active', 'Full')),
+legs AS (SELECT aa.Aircrew_ID, f.ID AS Flight_ID, f.dep_ts, f.arr_ts, f.Status, f.Arrival_airport
+         FROM aircrew_assignment aa JOIN flight f ON f.ID = aa.Flight_ID)"""
+
+# the reference's nested correlated aircraft test, per request
+AC_LOCATED = """
+aloc AS (
+  SELECT r.rid, r.ts, a.ID AS Airplane_ID, a.Size, a.Manufacturer
+  FROM req r JOIN airplane a ON (r.need_size IS NULL OR a.Size = r.need_size)
+  WHERE a.ID NOT IN (SELECT x.Airplane_ID FROM flight x WHERE x.dep_ts = r.ts)
+    AND a.ID IN (SELECT f.Airplane_ID FROM flight f
+                 WHERE f.Airplane_ID = a.ID AND f.Status IN ('Active','Full','Completed') AND f.arr_ts <= r.ts
+                   AND f.arr_ts = (SELECT MAX(f2.arr_ts) FROM flight f2 WHERE f2.Airplane_ID = a.ID
+                                   AND f2.Status IN ('Active','Full','Completed') AND f2.arr_ts <= r.ts)
+                   AND f.Arrival_airport = r.airport)
+    AND NOT EXISTS (SELECT 1 FROM flight fx WHERE fx.Airplane_ID = a.ID AND fx.Status IN ('Active','Full')
+                    AND fx.dep_ts <= r.ts AND fx.arr_ts > r.ts))"""
+
+# the reference's two crew queries (at airport after the latest Completed leg; arriving on an
+# Active/Full leg), minus crew departing exactly at ts
+CREW_LOCATED = """
+cloc AS (
+  SELECT DISTINCT r.rid, r.ts, l.Aircrew_ID
+  FROM req r JOIN legs l ON l.Arrival_airport = r.airport AND l.arr_ts <= r.ts
+  WHERE ((l.Status = 'Completed'
+          AND l.arr_ts = (SELECT MAX(l2.arr_ts) FROM legs l2 WHERE l2.Aircrew_ID = l.Aircrew_ID AND l2.Status = 'Completed'))
+         OR l.Status IN ('Active', 'Full'))
+    AND NOT EXISTS (SELECT 1 FROM legs l3 WHERE l3.Aircrew_ID = l.Aircrew_ID AND l3.Status IN ('Active', 'Full')
+                    AND l3.dep_ts > l.arr_ts AND l3.dep_ts <= r.ts)
+    AND l.Aircrew_ID NOT IN (SELECT b.Aircrew_ID FROM legs b WHERE b.dep_ts = r.ts))"""
+
+
+@query("aircraft_available", f"WITH {REQ}, {AC_LOCATED} SELECT * FROM aloc")
+def _d02(t):
+    req = A.crew_requirement(requests_of(t), "type")
+    return A.aircraft_available(t, req)
+
+
+@query("aircraft_floating", """
+SELECT ID AS Airplane_ID, Size, Manufacturer FROM airplane
+WHERE ID NOT IN (SELECT Airplane_ID FROM flight WHERE Status IN ('Active', 'Full', 'Completed'))
+""")
+def _d02f(t):
+    return A.floating_aircraft(t)
+
+
+@query("crew_available", f"""
+WITH {REQ}, {CREW_LOCATED}
+SELECT c.rid, c.ts, c.Aircrew_ID, a.Type, a.Training FROM cloc c JOIN aircrew a ON a.ID = c.Aircrew_ID
+""")
+def _d03(t):
+    return A.crew_available(t, requests_of(t))
+
+
+@query("crew_floating", """
+SELECT ID AS Aircrew_ID, Type, Training FROM aircrew WHERE ID NOT IN (SELECT Aircrew_ID FROM aircrew_assignment)
+""")
+def _d03f(t):
+    return A.floating_crew(t)
+
+
+@query("crew_intervals", f"""
+WITH {REQ},
+arrivals AS (
+  SELECT l.Aircrew_ID, l.Arrival_airport AS airport, l.arr_ts AS from_ts, 'completed' AS branch FROM legs l
+  WHERE l.Status = 'Completed'
+    AND l.arr_ts = (SELECT MAX(l2.arr_ts) FROM legs l2 WHERE l2.Aircrew_ID = l.Aircrew_ID AND l2.Status = 'Completed')
+  UNION ALL
+  SELECT Aircrew_ID, Arrival_airport, arr_ts, 'arriving' FROM legs WHERE Status IN ('Active', 'Full'))
+SELECT DISTINCT a.Aircrew_ID, a.airport, a.from_ts,
+       (SELECT MIN(l3.dep_ts) FROM legs l3 WHERE l3.Aircrew_ID = a.Aircrew_ID AND l3.Status IN ('Active', 'Full')
+          AND l3.dep_ts > a.from_ts) AS to_ts, a.branch
+FROM arrivals a
+""")
+def _d04(t):
+    return A.crew_intervals(t)
+
+
+@query("crew_requirement", """
+SELECT ID AS rid, Type AS flight_type, CASE WHEN Type = 'Long' THEN 'Big' END AS need_size,
+       Type = 'Long' AS need_training, CASE WHEN Type = 'Long' THEN 3 ELSE 2 END AS req_pilots,
+       CASE WHEN Type = 'Long' THEN 6 ELSE 3 END AS req_attendants
+FROM flight
+""")
+def _d05(t):
+    return A.crew_requirement(t.flight.select(F.col("ID").alias("rid"), F.col("Type").alias("flight_type")), "type")
+
+
+FEAS = f"""
+WITH {REQ}, {AC_LOCATED}, {CREW_LOCATED},
+cnt AS (
+  SELECT r.rid, r.ts, CASE WHEN r.flight_type = 'Long' THEN 3 ELSE 2 END AS req_pilots,
+         CASE WHEN r.flight_type = 'Long' THEN 6 ELSE 3 END AS req_attendants,
+         (SELECT COUNT(*) FROM aloc WHERE aloc.rid = r.rid)
+           + (SELECT COUNT(*) FROM airplane a
+              WHERE (r.need_size IS NULL OR a.Size = r.need_size)
+                AND a.ID NOT IN (SELECT Airplane_ID FROM flight WHERE Status IN ('Active','Full','Completed'))
+                AND a.ID NOT IN (SELECT x.Airplane_ID FROM flight x WHERE x.dep_ts = r.ts)) AS aircraft,
+         (SELECT COUNT(*) FROM aircrew c WHERE c.Type = 'Pilot' AND (r.flight_type <> 'Long' OR c.Training = 1)
+            AND (c.ID NOT IN (SELECT Aircrew_ID FROM aircrew_assignment)
+                 OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc cl WHERE cl.rid = r.rid))) AS pilots,
+         (SELECT COUNT(*) FROM aircrew c WHERE c.Type = 'Flight attendant' AND (r.flight_type <> 'Long' OR c.Training = 1)
+            AND (c.ID NOT IN (SELECT Aircrew_ID FROM aircrew_assignment)
+                 OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc cl WHERE cl.rid = r.rid))) AS attendants
+  FROM req r),
+fz AS (
+  SELECT rid, ts, aircraft, pilots, attendants, CAST(req_pilots AS BIGINT) AS req_pilots,
+         CAST(req_attendants AS BIGINT) AS req_attendants,
+         NULLIF(concat_ws(',', CASE WHEN aircraft <= 0 THEN 'aircraft' END,
+                          CASE WHEN pilots < req_pilots THEN 'pilots' END,
+                          CASE WHEN attendants < req_attendants THEN 'attendants' END), '') AS short_of
+  FROM cnt)"""
+
+
+@query("feasibility", FEAS + "\nSELECT *, short_of IS NULL AS feasible FROM fz")
+def _d06(t):
+    return A.feasibility(t, requests_of(t))
+
+
+@query("earliest_slot")
+def _d07(t):
+    return A.earliest_slot(t, requests_of(t))
+
+
+@query("crew_recommend")
+def _d08(t):
+    return A.crew_recommend(t, requests_of(t))

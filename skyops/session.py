@@ -25,6 +25,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     cpus = os.cpu_count() or 8
     b = (b.config("spark.sql.session.timeZone", "UTC")
           .config("spark.ui.enabled", "false")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")

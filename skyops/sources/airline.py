@@ -240,7 +240,7 @@ def derive(spark: SparkSession, sf_dir: str) -> Airline:
     region = _read(spark, sf_dir, "region")
     airport = (nation.join(region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
                .select(F.col("n_name").alias("Code"),
-                       F.concat_ws(" — ", F.col("n_name"), F.initcap("r_name")).alias("Label")))
+                       F.concat_ws(" — ", F.col("n_name"), F.col("r_name")).alias("Label")))
 
     return Airline(airport=airport, airplane=airplane, klass=klass, seat=seat, flight_route=flight_route,
                    flight=flight.drop("p_retailprice"), booking=booking, ticket_order=ticket_order,

@@ -89,14 +89,10 @@ FROM member m JOIN (VALUES (0),(2)) AS p(n) ON 1 = 1"""),
     ("phone_number_guest", """
 SELECT Email, '054' || Email AS Phone_number FROM guest"""),
     ("airport", """
-SELECT n.n_name AS Code, concat_ws(' — ', n.n_name, upper(substr(r.r_name, 1, 1)) || lower(substr(r.r_name, 2))) AS Label
+SELECT n.n_name AS Code, concat_ws(' — ', n.n_name, r.r_name) AS Label
 FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey"""),
 ]
 
-# helper macros usable in oracle text: half-up rounding identical to skyops.functions.exprs.half_up
-PRELUDE = ""
-
-
 def with_views(query: str) -> str:
     """Prefix ``query`` with the airline views as CTEs."""
     ctes = ",\n".join(f"{name} AS ({body.strip()})" for name, body in VIEWS)
