@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from skyops.operators import intervals as I
 from skyops.operators import relational as Rel
+from skyops.session import cut_lineage
 from skyops.sources.airline import Airline
 
 # Crew requirement per aircraft size and the Long ⇒ Big rule
@@ -248,12 +249,12 @@ def earliest_slot(t: Airline, requests: DataFrame) -> DataFrame:
     next 20 distinct departures anywhere after ``ts``. Fallback: the first future arrival;
     otherwise NULL. → ``(rid, ts, suggested_ts)`` for the infeasible requests.
     """
-    locs, ivs = aircraft_locations(t.flight), crew_intervals(t)
+    locs, ivs = cut_lineage(aircraft_locations(t.flight)), cut_lineage(crew_intervals(t))
     fz = feasibility(t, requests, locs, ivs)
-    bad = requests.join(fz.where(~F.col("feasible")).select("rid", "ts"), ["rid", "ts"], "left_semi")
+    bad = cut_lineage(requests.join(fz.where(~F.col("feasible")).select("rid", "ts"), ["rid", "ts"], "left_semi"))
     arr = future_arrivals(t.flight, bad)
     dep = future_departures(t.flight, bad)
-    cands = arr.select("rid", "cand_ts").unionByName(dep.select("rid", "cand_ts")).distinct()
+    cands = cut_lineage(arr.select("rid", "cand_ts").unionByName(dep.select("rid", "cand_ts")).distinct())
     creq = (bad.select("rid", "airport", "flight_type").join(cands, "rid")
             .select(F.col("rid").alias("orig_rid"), F.col("rid"), "airport", F.col("cand_ts").alias("ts"),
                     "flight_type"))
@@ -273,7 +274,7 @@ def crew_recommend(t: Airline, requests: DataFrame) -> DataFrame:
     Training descending, then ID. → rows ``(rid, ts, role, member_id, pos)``.
     """
     req = crew_requirement(requests, "type")
-    locs, ivs = aircraft_locations(t.flight), crew_intervals(t)
+    locs, ivs = cut_lineage(aircraft_locations(t.flight)), cut_lineage(crew_intervals(t))
     cc = crew_counts(t, req, ivs)
     # best located aircraft per (request, size)
     loc = (aircraft_available(t, req, locs).groupBy("rid", "ts", "Size")

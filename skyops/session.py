@@ -49,3 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
     return cur
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint directory and return a frame reading it.
+
+    Used where one intermediate feeds several branches of a deep plan; the reliable checkpoint
+    survives executor loss (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

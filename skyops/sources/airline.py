@@ -79,6 +79,10 @@ class Airline:
         out["class"] = out.pop("klass")
         return out
 
+    def raw(self, name: str) -> DataFrame:
+        """A driver table of the directory these tables were derived from."""
+        return _read(self.airplane.sparkSession, self.sf_dir, name)
+
     def register(self, prefix: str = "") -> None:
         """Register every table as a temp view (``class`` keeps its domain name)."""
         for name, df in self.tables().items():
@@ -242,11 +246,13 @@ def derive(spark: SparkSession, sf_dir: str) -> Airline:
                .select(F.col("n_name").alias("Code"),
                        F.concat_ws(" — ", F.col("n_name"), F.col("r_name")).alias("Label")))
 
-    return Airline(airport=airport, airplane=airplane, klass=klass, seat=seat, flight_route=flight_route,
+    out = Airline(airport=airport, airplane=airplane, klass=klass, seat=seat, flight_route=flight_route,
                    flight=flight.drop("p_retailprice"), booking=booking, ticket_order=ticket_order,
                    ticket=ticket, aircrew=aircrew, aircrew_assignment=aircrew_assignment,
                    member=member, guest=guest, phone_number_member=phone_number_member,
                    phone_number_guest=phone_number_guest)
+    out.sf_dir = sf_dir
+    return out
 
 
 def materialize(t: Airline, path: str, mode: str = "overwrite") -> None:
