@@ -1 +1,247 @@
-"""Registered queries."""
+"""Registered booking / lifecycle / generation queries (D-01, D-09 … D-16).
+
+Request tables are derived from the data: re-booking requests are the seats of
+customer-cancelled orders (they contend with each other and with held seats), cancel
+requests come from the owners of live orders, flight-cancel requests from open flights.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skyops.operators import booking as B
+from skyops.operators import relational as Rel
+from skyops.plans.catalog import AS_OF, query
+from skyops.plans.q_reports import hu
+from skyops.sources.airline import ts_ntz
+
+ASOF = ts_ntz(AS_OF)
+TS = f"TIMESTAMP '{AS_OF}'"
+REFRESH_AT = "2001-06-01 00:00:00"
+SEAT4 = "Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number"
+
+
+def rebook_requests(t):
+    return (t.ticket_order.join(t.booking.where(F.col("Status") == "Customer Cancellation")
+                                .select(F.col("ID").alias("Order_ID"), "Date_of_purchase",
+                                        F.coalesce("MEMBER_Email", "GUEST_Email").alias("email")), "Order_ID")
+            .select(F.col("Date_of_purchase").cast("timestamp_ntz").alias("request_ts"),
+                    F.col("Order_ID").alias("order_id"), "email", "Flight_ID", "CLASS_Type", "SEAT_Row_num",
+                    "SEAT_Column_number"))
+
+
+@query("status_refresh_flight", f"""
+SELECT ID, CASE WHEN Status IN ('Active', 'Full') AND dep_ts <= TIMESTAMP '{REFRESH_AT}' THEN 'Completed' ELSE Status END AS Status
+FROM flight
+""")
+def _d01f(t):
+    f, _ = B.status_refresh(t, ts_ntz(REFRESH_AT))
+    return f.select("ID", "Status")
+
+
+@query("status_refresh_booking", f"""
+SELECT ID, CASE WHEN Status = 'Active' AND ID IN (SELECT o.Order_ID FROM ticket_order o JOIN flight f ON f.ID = o.Flight_ID
+                                                  WHERE f.dep_ts <= TIMESTAMP '{REFRESH_AT}')
+                THEN 'Completed' ELSE Status END AS Status
+FROM booking
+""")
+def _d01b(t):
+    _, b = B.status_refresh(t, ts_ntz(REFRESH_AT))
+    return b.select("ID", "Status")
+
+
+REBOOK = f"""
+reqs AS (SELECT CAST(b.Date_of_purchase AS TIMESTAMP) AS request_ts, o.Order_ID AS order_id,
+                COALESCE(b.MEMBER_Email, b.GUEST_Email) AS email, o.{SEAT4.replace(', ', ', o.')}
+         FROM ticket_order o JOIN booking b ON b.ID = o.Order_ID WHERE b.Status = 'Customer Cancellation'),
+held AS (SELECT DISTINCT o.{SEAT4.replace(', ', ', o.')} FROM ticket_order o JOIN booking b ON b.ID = o.Order_ID
+         WHERE b.Status = 'Active'),
+r AS (SELECT q.*, t.Airplane_ID, t.Price, t.Availability, h.Flight_ID IS NOT NULL AS is_held
+      FROM reqs q
+      LEFT JOIN ticket t ON t.Flight_ID = q.Flight_ID AND t.CLASS_Type = q.CLASS_Type AND t.SEAT_Row_num = q.SEAT_Row_num
+                        AND t.SEAT_Column_number = q.SEAT_Column_number
+      LEFT JOIN held h ON h.Flight_ID = q.Flight_ID AND h.CLASS_Type = q.CLASS_Type AND h.SEAT_Row_num = q.SEAT_Row_num
+                      AND h.SEAT_Column_number = q.SEAT_Column_number),
+p AS (SELECT *, CASE WHEN Availability IS NULL THEN 'no such seat' WHEN Availability <> 1 THEN 'unavailable'
+                     WHEN is_held THEN 'held' END AS pre FROM r),
+ranked AS (SELECT *, CASE WHEN pre IS NULL THEN ROW_NUMBER() OVER (PARTITION BY pre IS NULL, {SEAT4}
+                                                                ORDER BY request_ts, order_id) END AS rn FROM p),
+adm AS (SELECT request_ts, order_id, email, {SEAT4}, Airplane_ID, Price,
+               COALESCE(pre, CASE WHEN rn = 1 THEN 'ok' ELSE 'taken' END) AS reason FROM ranked)"""
+
+
+@query("seat_admission", f"WITH {REBOOK} SELECT *, reason = 'ok' AS accepted FROM adm")
+def _d09(t):
+    return B.seat_admission(t, rebook_requests(t)).select(
+        "request_ts", "order_id", "email", "Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number",
+        "Airplane_ID", "Price", "reason", "accepted")
+
+
+@query("cart_admission")
+def _d10(t):
+    carts = rebook_requests(t).withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), "Flight_ID"))
+    return B.cart_admission(t, carts)
+
+
+@query("order_create", f"""
+WITH {REBOOK},
+acc AS (SELECT *, CAST(order_id AS VARCHAR) || '|' || Flight_ID AS cart_id FROM adm WHERE reason = 'ok'),
+carts AS (SELECT cart_id, request_ts, order_id, SUM(Price) AS total, MIN(email) AS email FROM acc GROUP BY 1, 2, 3),
+num AS (SELECT *, (SELECT COALESCE(MAX(ID), 0) FROM booking)
+                  + ROW_NUMBER() OVER (ORDER BY request_ts, order_id, cart_id) AS ID FROM carts)
+SELECT CAST(ID AS BIGINT) AS ID, 'Active' AS Status, {hu('total')} AS Total_price, CAST({TS} AS DATE) AS Date_of_purchase,
+       floor({hu('total')} * 5.0 + 0.5) / 100.0 AS Cancellation_fee,
+       CASE WHEN email NOT IN (SELECT Email FROM member) THEN email END AS GUEST_Email,
+       CASE WHEN email IN (SELECT Email FROM member) THEN email END AS MEMBER_Email
+FROM num
+""")
+def _d11(t):
+    adm = B.seat_admission(t, rebook_requests(t)).where("accepted")
+    acc = adm.withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), "Flight_ID"))
+    booking_new, _, _ = B.order_create(t, acc.select("cart_id", "request_ts", "order_id", "email", *B.SEAT4), ASOF)
+    return booking_new
+
+
+CANCEL_REQ = f"""
+reqs AS (SELECT {TS} AS request_ts, ID AS order_id, MEMBER_Email AS req_member, GUEST_Email AS req_guest
+         FROM booking WHERE Status IN ('Active', 'Completed')),
+legs AS (SELECT o.Order_ID, MIN(f.dep_ts) AS first_dep FROM ticket_order o JOIN flight f ON f.ID = o.Flight_ID GROUP BY 1),
+outc AS (
+  SELECT q.*, CASE WHEN b.ID IS NULL THEN 'not found'
+                   WHEN NOT (COALESCE(b.MEMBER_Email = q.req_member, false)
+                             OR COALESCE(trim(COALESCE(q.req_guest, '')) <> '' AND b.GUEST_Email = q.req_guest, false))
+                     THEN 'not owner'
+                   WHEN l.first_dep IS NULL THEN 'no tickets'
+                   WHEN date_diff('microsecond', {TS}, l.first_dep) / 3600000000.0 < 36 THEN 'too late'
+                   WHEN b.Status <> 'Active' THEN 'not active' ELSE 'ok' END AS reason
+  FROM reqs q LEFT JOIN booking b ON b.ID = q.order_id LEFT JOIN legs l ON l.Order_ID = q.order_id)"""
+
+
+def cancel_requests(t):
+    return t.booking.where(F.col("Status").isin("Active", "Completed")).select(
+        ASOF.alias("request_ts"), F.col("ID").alias("order_id"), F.col("MEMBER_Email").alias("req_member"),
+        F.col("GUEST_Email").alias("req_guest"))
+
+
+@query("order_cancel", f"WITH {CANCEL_REQ} SELECT *, reason = 'ok' AS accepted FROM outc")
+def _d12(t):
+    _, _, out = B.order_cancel(t, cancel_requests(t), ASOF)
+    return out
+
+
+@query("order_cancel_booking", f"""
+WITH {CANCEL_REQ}
+SELECT b.ID, CASE WHEN o.reason = 'ok' THEN 'Customer Cancellation' ELSE b.Status END AS Status,
+       CASE WHEN o.reason = 'ok' THEN (CASE WHEN COALESCE(b.Cancellation_fee, 0) > 0 THEN b.Cancellation_fee
+                                            ELSE floor(COALESCE(b.Total_price, 0) * 5.0 + 0.5) / 100.0 END)
+            ELSE b.Total_price END AS Total_price
+FROM booking b LEFT JOIN outc o ON o.order_id = b.ID
+""")
+def _d12b(t):
+    b, _, _ = B.order_cancel(t, cancel_requests(t), ASOF)
+    return b.select("ID", "Status", "Total_price")
+
+
+@query("order_cancel_ticket", f"""
+WITH {CANCEL_REQ},
+newb AS (SELECT b.ID, CASE WHEN o.reason = 'ok' THEN 'Customer Cancellation' ELSE b.Status END AS Status
+         FROM booking b LEFT JOIN outc o ON o.order_id = b.ID),
+touched AS (SELECT DISTINCT x.Airplane_ID, x.Flight_ID, x.SEAT_Row_num, x.SEAT_Column_number, x.CLASS_Type
+            FROM ticket_order x JOIN outc o ON o.order_id = x.Order_ID AND o.reason = 'ok'),
+still AS (SELECT DISTINCT x.Airplane_ID, x.Flight_ID, x.SEAT_Row_num, x.SEAT_Column_number, x.CLASS_Type
+          FROM ticket_order x JOIN newb b ON b.ID = x.Order_ID WHERE b.Status = 'Active')
+SELECT t.Flight_ID, t.CLASS_Type, t.SEAT_Row_num, t.SEAT_Column_number,
+       CASE WHEN u.Flight_ID IS NULL THEN t.Availability WHEN s.Flight_ID IS NOT NULL THEN 0 ELSE 1 END AS Availability
+FROM ticket t
+LEFT JOIN touched u ON u.Airplane_ID = t.Airplane_ID AND u.Flight_ID = t.Flight_ID AND u.SEAT_Row_num = t.SEAT_Row_num
+  AND u.SEAT_Column_number = t.SEAT_Column_number AND u.CLASS_Type = t.CLASS_Type
+LEFT JOIN still s ON s.Airplane_ID = t.Airplane_ID AND s.Flight_ID = t.Flight_ID AND s.SEAT_Row_num = t.SEAT_Row_num
+  AND s.SEAT_Column_number = t.SEAT_Column_number AND s.CLASS_Type = t.CLASS_Type
+""")
+def _d12c(t):
+    _, tk, _ = B.order_cancel(t, cancel_requests(t), ASOF)
+    return tk.select("Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Availability")
+
+
+FC = f"""
+reqs AS (SELECT ID AS Flight_ID FROM flight WHERE Status IN ('Active', 'Full')),
+outc AS (SELECT r.Flight_ID, CASE WHEN f.ID IS NULL THEN 'not found'
+                                  WHEN date_diff('microsecond', {TS}, f.dep_ts) / 3600000000.0 < 72 THEN 'too late'
+                                  ELSE 'ok' END AS reason
+         FROM reqs r LEFT JOIN flight f ON f.ID = r.Flight_ID)"""
+
+
+def _fc(t):
+    req = t.flight.where(F.col("Status").isin("Active", "Full")).select(F.col("ID").alias("Flight_ID"))
+    return B.flight_cancel(t, req, ASOF)
+
+
+@query("flight_cancel", f"WITH {FC} SELECT * FROM outc")
+def _d13(t):
+    return _fc(t)[3]
+
+
+@query("flight_cancel_flight", f"""
+WITH {FC} SELECT f.ID, CASE WHEN o.reason = 'ok' THEN 'Canceled' ELSE f.Status END AS Status
+FROM flight f LEFT JOIN outc o ON o.Flight_ID = f.ID
+""")
+def _d13f(t):
+    return _fc(t)[0].select("ID", "Status")
+
+
+@query("flight_cancel_booking", f"""
+WITH {FC},
+hit AS (SELECT DISTINCT x.Order_ID FROM ticket_order x JOIN outc o ON o.Flight_ID = x.Flight_ID AND o.reason = 'ok')
+SELECT b.ID,
+       CASE WHEN h.Order_ID IS NOT NULL AND b.Status = 'Active' THEN 'System Cancellation' ELSE b.Status END AS Status,
+       CASE WHEN h.Order_ID IS NOT NULL AND b.Status = 'Active' THEN 0.0 ELSE b.Total_price END AS Total_price,
+       CASE WHEN h.Order_ID IS NOT NULL AND b.Status = 'Active' THEN 0.0 ELSE b.Cancellation_fee END AS Cancellation_fee
+FROM booking b LEFT JOIN hit h ON h.Order_ID = b.ID
+""")
+def _d13b(t):
+    return _fc(t)[1].select("ID", "Status", "Total_price", "Cancellation_fee")
+
+
+@query("flight_cancel_ticket", f"""
+WITH {FC}
+SELECT t.Flight_ID, t.CLASS_Type, t.SEAT_Row_num, t.SEAT_Column_number,
+       CASE WHEN o.Flight_ID IS NOT NULL THEN 0 ELSE t.Availability END AS Availability
+FROM ticket t LEFT JOIN outc o ON o.Flight_ID = t.Flight_ID AND o.reason = 'ok'
+""")
+def _d13t(t):
+    return _fc(t)[2].select("Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Availability")
+
+
+@query("seat_generate", "SELECT * FROM seat")
+def _d14(t):
+    return B.seat_generate(t.klass)
+
+
+@query("ticket_generate", """
+WITH nf AS (SELECT Flight_ID, Airplane_ID, MIN(CASE WHEN CLASS_Type = 'Regular' THEN Price END) AS price_regular,
+                   MIN(CASE WHEN CLASS_Type = 'First' THEN Price END) AS price_first FROM ticket GROUP BY 1, 2)
+SELECT n.Airplane_ID, n.Flight_ID, s.Row_num AS SEAT_Row_num, s.Column_number AS SEAT_Column_number, s.Class_Type AS CLASS_Type,
+       CASE WHEN s.Class_Type = 'First' THEN COALESCE(n.price_first, n.price_regular) ELSE n.price_regular END AS Price,
+       1 AS Availability
+FROM nf n JOIN seat s ON s.Airplane_ID = n.Airplane_ID
+""")
+def _d15(t):
+    st = Rel.ticket_stats(t.ticket)
+    nf = t.ticket.select("Flight_ID", "Airplane_ID").distinct().join(st, "Flight_ID")
+    return B.ticket_generate(nf.select("Flight_ID", "Airplane_ID", "price_regular", "price_first"), t.seat)
+
+
+@query("flight_plan", """
+WITH reqs AS (SELECT dep_ts + INTERVAL 7 DAY AS dep_ts, Origin_airport, Arrival_airport, Airplane_ID FROM flight),
+j AS (SELECT q.*, r.Flight_duration FROM reqs q JOIN flight_route r
+        ON r.Origin_airport = q.Origin_airport AND r.Arrival_airport = q.Arrival_airport),
+n AS (SELECT *, (SELECT COALESCE(MAX(COALESCE(TRY_CAST(substr(ID, 2) AS BIGINT), 0)), 0) FROM flight)
+               + ROW_NUMBER() OVER (ORDER BY dep_ts, Origin_airport, Arrival_airport, Airplane_ID) AS k FROM j)
+SELECT printf('F%05d', k) AS ID, dep_ts, dep_ts + INTERVAL '1' MINUTE * Flight_duration AS arr_ts, 'Active' AS Status,
+       CASE WHEN Flight_duration > 360 THEN 'Long' ELSE 'Short' END AS Type, Airplane_ID, Origin_airport, Arrival_airport
+FROM n
+""")
+def _d16(t):
+    req = t.flight.select(F.timestamp_add("DAY", F.lit(7), F.col("dep_ts")).alias("dep_ts"), "Origin_airport",
+                          "Arrival_airport", "Airplane_ID")
+    return B.flight_plan(t, req)
