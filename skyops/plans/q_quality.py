@@ -1 +1,196 @@
-"""Registered queries."""
+"""Registered data-quality checks V-01 … V-07."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skyops.operators import quality as Q
+from skyops.plans.catalog import AS_OF, query
+from skyops.sources.airline import ts_ntz
+
+ASOF = ts_ntz(AS_OF)
+TS = f"TIMESTAMP '{AS_OF}'"
+
+
+def k(*cols):
+    return "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+
+
+PK = {tb: k(*cols) for tb, cols in Q.PRIMARY_KEYS.items()}
+
+DOMAIN_SQL = [
+    ("aircrew", "type_domain", "Type IN ('Pilot', 'Flight attendant')"),
+    ("flight_route", "duration_positive", "Flight_duration > 0"),
+    ("booking", "status_domain", "Status IN ('Active', 'Completed', 'Customer Cancellation', 'System Cancellation')"),
+    ("airplane", "manufacturer_domain", "Manufacturer IN ('Boeing', 'Airbus', 'Dassault')"),
+    ("airplane", "size_domain", "Size IN ('Big', 'Small')"),
+    ("class", "type_domain", "Type IN ('First', 'Regular')"),
+    ("class", "rows_cols_positive", "Number_of_rows > 0 AND Number_of_columns > 0"),
+    ("seat", "class_domain", "Class_Type IN ('First', 'Regular')"),
+    ("seat", "column_letter", "Column_number BETWEEN 'A' AND 'Z'"),
+    ("seat", "row_positive", "Row_num > 0"),
+    ("flight", "status_domain", "Status IN ('Active', 'Full', 'Completed', 'Canceled')"),
+    ("flight", "type_domain", "Type IN ('Long', 'Short')"),
+    ("ticket", "class_domain", "CLASS_Type IN ('First', 'Regular')"),
+    ("ticket_order", "class_domain", "CLASS_Type IN ('First', 'Regular')"),
+]
+
+
+@query("check_domain", "\nUNION ALL\n".join(
+    f"SELECT '{tb}' AS tbl, {PK[tb]} AS key, '{rule}' AS rule FROM {tb} WHERE NOT COALESCE({ok}, false)"
+    for tb, rule, ok in DOMAIN_SQL))
+def _v01(t):
+    return Q.check_domain(t)
+
+
+@query("check_unique", "\nUNION ALL\n".join(
+    f"SELECT '{tb}' AS tbl, {k(*cols)} AS key, COUNT(*) AS n FROM {tb} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1"
+    for tb, cols in Q.PRIMARY_KEYS.items()))
+def _v02(t):
+    return Q.check_unique(t)
+
+
+@query("check_fk", "\nUNION ALL\n".join(
+    f"SELECT '{ch}' AS tbl, {PK[ch]} AS key, '{pa}' AS parent FROM {ch} c WHERE "
+    + " AND ".join(f"c.{x} IS NOT NULL" for x in cc)
+    + f" AND NOT EXISTS (SELECT 1 FROM {pa} p WHERE "
+    + " AND ".join(f"p.{b} = c.{a}" for a, b in zip(cc, pc)) + ")"
+    for ch, cc, pa, pc in Q.FOREIGN_KEYS))
+def _v03(t):
+    return Q.check_fk(t)
+
+
+REQUIRED = {
+    "aircrew": ["ID", "City", "Street", "House_Number", "Start_date_of_employment", "First_name", "Last_name",
+                "Phone_number", "Type", "Training"],
+    "flight_route": ["Origin_airport", "Arrival_airport", "Flight_duration"],
+    "guest": ["Email", "First_name_in_English", "Last_name_in_English"],
+    "member": ["Email", "First_name_in_English", "Last_name_in_English", "Passport_number", "Date_of_birth",
+               "Register_date"],
+    "booking": ["ID", "Status", "Total_price", "Date_of_purchase", "Cancellation_fee"],
+    "phone_number_guest": ["Email", "Phone_number"], "phone_number_member": ["Email", "Phone_number"],
+    "airplane": ["ID", "Date_of_purchase", "Manufacturer", "Size"],
+    "class": ["Type", "Airplane_ID", "Number_of_rows", "Number_of_columns"],
+    "seat": ["Class_Type", "Airplane_ID", "Row_num", "Column_number"],
+    "flight": ["ID", "dep_ts", "arr_ts", "Status", "Type", "Airplane_ID", "Origin_airport", "Arrival_airport"],
+    "ticket": ["Airplane_ID", "Flight_ID", "SEAT_Row_num", "SEAT_Column_number", "CLASS_Type", "Price", "Availability"],
+    "ticket_order": ["Airplane_ID", "Flight_ID", "SEAT_Row_num", "SEAT_Column_number", "CLASS_Type", "Order_ID"],
+    "aircrew_assignment": ["Aircrew_ID", "Flight_ID"],
+}
+TEXT = {"City", "Street", "House_Number", "First_name", "Last_name", "Phone_number", "Type", "Origin_airport",
+        "Arrival_airport", "Email", "First_name_in_English", "Last_name_in_English", "Passport_number", "Status",
+        "Manufacturer", "Size", "Class_Type", "Column_number", "ID_TEXT", "Flight_ID", "SEAT_Column_number", "CLASS_Type"}
+
+
+def _nn(tb, c):
+    is_text = c in TEXT or (tb == "flight" and c == "ID")
+    cond = f"{c} IS NULL" + (f" OR trim({c}) = ''" if is_text else "")
+    return f"SELECT '{tb}' AS tbl, {PK[tb]} AS key, '{c}' AS col FROM {tb} WHERE {cond}"
+
+
+@query("check_not_null", "\nUNION ALL\n".join(_nn(tb, c) for tb, cols in REQUIRED.items() for c in cols))
+def _v04(t):
+    return Q.check_not_null(t)
+
+
+def people_rows(t):
+    c = t.raw("customer")
+    dob = F.date_format(F.date_add(F.to_date(F.lit("1975-01-01")), (F.col("c_custkey") % 10000).cast("int")), "yyyy-MM-dd")
+    return c.select(F.concat(F.lit("m"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
+                    F.col("c_mktsegment").alias("first"),
+                    F.regexp_replace("c_name", "[#0-9]", "").alias("last"),
+                    F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("passport"),
+                    F.when(F.col("c_custkey") % 97 == 0, F.lit("not-a-date")).otherwise(dob).alias("dob"),
+                    F.concat(F.lit("05"), F.col("c_custkey").cast("string")).alias("phone"))
+
+
+@query("validate_people", f"""
+WITH rows AS (
+  SELECT 'm' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email, c_mktsegment AS first,
+         regexp_replace(c_name, '[#0-9]', '', 'g') AS last, 'P' || CAST(c_custkey AS VARCHAR) AS passport,
+         CASE WHEN c_custkey % 97 = 0 THEN 'not-a-date'
+              ELSE strftime(DATE '1975-01-01' + CAST(c_custkey % 10000 AS INTEGER), '%Y-%m-%d') END AS dob,
+         '05' || CAST(c_custkey AS VARCHAR) AS phone
+  FROM customer),
+p AS (SELECT r.*, TRY_CAST(try_strptime(trim(dob), '%Y-%m-%d') AS DATE) AS d,
+             lower(trim(email)) IN (SELECT lower(trim(Email)) FROM member) AS is_member FROM rows r)
+SELECT email, first, last, passport, dob, phone,
+  CASE WHEN trim(COALESCE(email, '')) = '' OR trim(COALESCE(first, '')) = '' OR trim(COALESCE(last, '')) = ''
+            OR trim(COALESCE(passport, '')) = '' OR trim(COALESCE(dob, '')) = '' OR trim(COALESCE(phone, '')) = ''
+         THEN 'missing field'
+       WHEN NOT regexp_full_match(trim(first), '^[A-Za-z](?:[A-Za-z \\-'']{{0,48}}[A-Za-z])?$') THEN 'first name not English'
+       WHEN NOT regexp_full_match(trim(last), '^[A-Za-z](?:[A-Za-z \\-'']{{0,48}}[A-Za-z])?$') THEN 'last name not English'
+       WHEN d IS NULL THEN 'bad date of birth'
+       WHEN NOT (d <= CAST({TS} AS DATE) - INTERVAL 18 YEAR) THEN 'under 18'
+       WHEN is_member THEN 'email exists'
+       ELSE 'ok' END AS reason
+FROM p
+""")
+def _v05(t):
+    return Q.validate_people(people_rows(t), t, ASOF)
+
+
+def aircraft_rows(t):
+    s = t.raw("supplier")
+    big = F.col("s_suppkey") % 2 == 0
+    withf = F.col("s_suppkey") % 4 == 0
+    return s.select(
+        (F.col("s_suppkey") * 2).cast("string").alias("airplane_id"),
+        F.when(F.col("s_suppkey") % 7 == 0, F.lit("2030-01-01")).otherwise(F.lit("1990-01-01")).alias("purchase_date"),
+        F.when(F.col("s_nationkey") % 3 == 0, "Boeing").when(F.col("s_nationkey") % 3 == 1, "Airbus")
+         .otherwise("Dassault").alias("manufacturer"),
+        F.when(big, "Big").otherwise("Small").alias("size"),
+        F.lit("7").alias("reg_rows"), (F.lit(6) + F.col("s_suppkey") % 25).cast("string").alias("reg_cols"),
+        F.when(withf, F.lit("2")).otherwise(F.lit("")).alias("first_rows"),
+        F.when(withf, F.lit("4")).otherwise(F.lit("")).alias("first_cols"))
+
+
+def _pos(c):
+    return (f"(CASE WHEN regexp_full_match(trim({c}), '[0-9]+') AND TRY_CAST(trim({c}) AS BIGINT) > 0 "
+            f"THEN TRY_CAST(trim({c}) AS BIGINT) END)")
+
+
+@query("validate_aircraft", f"""
+WITH rows AS (
+  SELECT CAST(s_suppkey * 2 AS VARCHAR) AS airplane_id,
+         CASE WHEN s_suppkey % 7 = 0 THEN '2030-01-01' ELSE '1990-01-01' END AS purchase_date,
+         CASE s_nationkey % 3 WHEN 0 THEN 'Boeing' WHEN 1 THEN 'Airbus' ELSE 'Dassault' END AS manufacturer,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'Big' ELSE 'Small' END AS size, '7' AS reg_rows,
+         CAST(6 + s_suppkey % 25 AS VARCHAR) AS reg_cols,
+         CASE WHEN s_suppkey % 4 = 0 THEN '2' ELSE '' END AS first_rows,
+         CASE WHEN s_suppkey % 4 = 0 THEN '4' ELSE '' END AS first_cols
+  FROM supplier),
+p AS (SELECT r.*, trim(COALESCE(first_rows, '')) <> '' OR trim(COALESCE(first_cols, '')) <> '' AS has_first,
+             TRY_CAST(try_strptime(trim(purchase_date), '%Y-%m-%d') AS DATE) AS pd,
+             {_pos('airplane_id')} IN (SELECT ID FROM airplane) AS known FROM rows r)
+SELECT airplane_id, purchase_date, manufacturer, size, reg_rows, reg_cols, first_rows, first_cols,
+  CASE WHEN {_pos('airplane_id')} IS NULL OR {_pos('reg_rows')} IS NULL OR {_pos('reg_cols')} IS NULL THEN 'not numeric'
+       WHEN has_first AND ({_pos('first_rows')} IS NULL OR {_pos('first_cols')} IS NULL) THEN 'not numeric'
+       WHEN NOT COALESCE(manufacturer IN ('Boeing', 'Airbus', 'Dassault'), false) THEN 'bad manufacturer'
+       WHEN NOT COALESCE(size IN ('Big', 'Small'), false) THEN 'bad size'
+       WHEN {_pos('reg_cols')} > 26 OR COALESCE({_pos('first_cols')} > 26, false) THEN 'too many columns'
+       WHEN size = 'Big' AND NOT has_first THEN 'Big needs First'
+       WHEN size = 'Small' AND has_first THEN 'Small has no First'
+       WHEN pd IS NULL THEN 'bad date'
+       WHEN pd > CAST({TS} AS DATE) THEN 'date in the future'
+       WHEN COALESCE(known, false) THEN 'id exists'
+       ELSE 'ok' END AS reason
+FROM p
+""")
+def _v06(t):
+    return Q.validate_aircraft(aircraft_rows(t), t, ASOF)
+
+
+@query("check_seat_state", """
+WITH act AS (SELECT x.Airplane_ID, x.Flight_ID, x.SEAT_Row_num, x.SEAT_Column_number, x.CLASS_Type, COUNT(*) AS n_active
+             FROM ticket_order x JOIN booking b ON b.ID = x.Order_ID WHERE b.Status = 'Active' GROUP BY 1, 2, 3, 4, 5)
+SELECT Airplane_ID, Flight_ID, SEAT_Row_num, SEAT_Column_number, CLASS_Type, 'double sold' AS issue FROM act WHERE n_active > 1
+UNION ALL
+SELECT t.Airplane_ID, t.Flight_ID, t.SEAT_Row_num, t.SEAT_Column_number, t.CLASS_Type, 'availability mismatch'
+FROM ticket t JOIN flight f ON f.ID = t.Flight_ID
+LEFT JOIN act a ON a.Airplane_ID = t.Airplane_ID AND a.Flight_ID = t.Flight_ID AND a.SEAT_Row_num = t.SEAT_Row_num
+  AND a.SEAT_Column_number = t.SEAT_Column_number AND a.CLASS_Type = t.CLASS_Type
+WHERE t.Availability <> CASE WHEN f.Status = 'Canceled' OR COALESCE(a.n_active, 0) > 0 THEN 0 ELSE 1 END
+""")
+def _v07(t):
+    return Q.check_seat_state(t)
