@@ -62,12 +62,16 @@ def status_refresh(t: Airline, as_of: Column) -> tuple[DataFrame, DataFrame]:
 
 # ---- D-09 ----------------------------------------------------------------------------------
 
-def seat_admission(t: Airline, requests: DataFrame) -> DataFrame:
+def seat_admission(t: Airline, requests: DataFrame, extra_held: DataFrame | None = None) -> DataFrame:
     """First admissible request per seat wins. A seat is admissible when the ticket exists,
-    has ``Availability = 1`` and no Active link. Ties in ``request_ts`` go to the smaller
+    has ``Availability = 1`` and no Active link (nor a seat in ``extra_held``, e.g. seats
+    accepted by earlier micro-batches). Ties in ``request_ts`` go to the smaller
     ``order_id``. → requests + ``accepted`` + ``reason``."""
     tk = t.ticket.select(*SEAT5, "Availability", "Price")
-    held = active_links(t).select(*SEAT4).distinct().withColumn("_held", F.lit(True))
+    held = active_links(t).select(*SEAT4)
+    if extra_held is not None:
+        held = held.unionByName(extra_held.select(*SEAT4))
+    held = held.distinct().withColumn("_held", F.lit(True))
     r = requests.join(tk, SEAT4, "left").join(held, SEAT4, "left")
     pre = (F.when(F.col("Availability").isNull(), "no such seat")
             .when(F.col("Availability") != 1, "unavailable")

@@ -17,6 +17,11 @@ from skyops.sources.oracle_views import with_views
 # as_of of the fixtures: flights run 1999-01-01 … 2001-12-31
 AS_OF = airline.AS_OF_FIXTURE
 
+
+def asof():
+    """``AS_OF`` as a ``TIMESTAMP_NTZ`` literal (built lazily: Columns need a session)."""
+    return airline.ts_ntz(AS_OF)
+
 _ENTRIES: dict[str, tuple[Callable[[airline.Airline], DataFrame], str | None]] = {}
 _TABLES: dict[tuple[int, str], airline.Airline] = {}
 

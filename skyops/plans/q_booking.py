@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from skyops.operators import booking as B
 from skyops.operators import relational as Rel
-from skyops.plans.catalog import AS_OF, query
+from skyops.plans.catalog import AS_OF, asof, query
 from skyops.plans.q_reports import hu
 from skyops.sources.airline import ts_ntz
 
-ASOF = ts_ntz(AS_OF)
 TS = f"TIMESTAMP '{AS_OF}'"
 REFRESH_AT = "2001-06-01 00:00:00"
 SEAT4 = "Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number"
@@ -98,7 +97,7 @@ FROM num
 def _d11(t):
     adm = B.seat_admission(t, rebook_requests(t)).where("accepted")
     acc = adm.withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), "Flight_ID"))
-    booking_new, _, _ = B.order_create(t, acc.select("cart_id", "request_ts", "order_id", "email", *B.SEAT4), ASOF)
+    booking_new, _, _ = B.order_create(t, acc.select("cart_id", "request_ts", "order_id", "email", *B.SEAT4), asof())
     return booking_new
 
 
@@ -119,13 +118,13 @@ outc AS (
 
 def cancel_requests(t):
     return t.booking.where(F.col("Status").isin("Active", "Completed")).select(
-        ASOF.alias("request_ts"), F.col("ID").alias("order_id"), F.col("MEMBER_Email").alias("req_member"),
+        asof().alias("request_ts"), F.col("ID").alias("order_id"), F.col("MEMBER_Email").alias("req_member"),
         F.col("GUEST_Email").alias("req_guest"))
 
 
 @query("order_cancel", f"WITH {CANCEL_REQ} SELECT *, reason = 'ok' AS accepted FROM outc")
 def _d12(t):
-    _, _, out = B.order_cancel(t, cancel_requests(t), ASOF)
+    _, _, out = B.order_cancel(t, cancel_requests(t), asof())
     return out
 
 
@@ -138,7 +137,7 @@ SELECT b.ID, CASE WHEN o.reason = 'ok' THEN 'Customer Cancellation' ELSE b.Statu
 FROM booking b LEFT JOIN outc o ON o.order_id = b.ID
 """)
 def _d12b(t):
-    b, _, _ = B.order_cancel(t, cancel_requests(t), ASOF)
+    b, _, _ = B.order_cancel(t, cancel_requests(t), asof())
     return b.select("ID", "Status", "Total_price")
 
 
@@ -159,7 +158,7 @@ LEFT JOIN still s ON s.Airplane_ID = t.Airplane_ID AND s.Flight_ID = t.Flight_ID
   AND s.SEAT_Column_number = t.SEAT_Column_number AND s.CLASS_Type = t.CLASS_Type
 """)
 def _d12c(t):
-    _, tk, _ = B.order_cancel(t, cancel_requests(t), ASOF)
+    _, tk, _ = B.order_cancel(t, cancel_requests(t), asof())
     return tk.select("Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Availability")
 
 
@@ -173,7 +172,7 @@ outc AS (SELECT r.Flight_ID, CASE WHEN f.ID IS NULL THEN 'not found'
 
 def _fc(t):
     req = t.flight.where(F.col("Status").isin("Active", "Full")).select(F.col("ID").alias("Flight_ID"))
-    return B.flight_cancel(t, req, ASOF)
+    return B.flight_cancel(t, req, asof())
 
 
 @query("flight_cancel", f"WITH {FC} SELECT * FROM outc")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyops.functions import exprs as X
-from skyops.plans.catalog import AS_OF, query
+from skyops.plans.catalog import AS_OF, asof, query
 from skyops.plans.q_reports import hu
 from skyops.sources.airline import ts_ntz
 
-ASOF = ts_ntz(AS_OF)
 TS = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -45,7 +44,7 @@ def _f04(t):
 
 @query("hours_until", f"SELECT ID, date_diff('microsecond', {TS}, dep_ts) / 3600000000.0 AS hrs FROM flight")
 def _f05(t):
-    return t.flight.select("ID", X.hours_until("dep_ts", ASOF).alias("hrs"))
+    return t.flight.select("ID", X.hours_until("dep_ts", asof()).alias("hrs"))
 
 
 @query("flight_type", """
@@ -113,7 +112,7 @@ def _f12(t):
 SELECT Email, Date_of_birth <= CAST({TS} AS DATE) - INTERVAL 18 YEAR AS adult FROM member
 """)
 def _f13(t):
-    return t.member.select("Email", X.is_adult("Date_of_birth", ASOF).alias("adult"))
+    return t.member.select("Email", X.is_adult("Date_of_birth", asof()).alias("adult"))
 
 
 @query("flight_code", """

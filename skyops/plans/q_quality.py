@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyops.operators import quality as Q
-from skyops.plans.catalog import AS_OF, query
+from skyops.plans.catalog import AS_OF, asof, query
 from skyops.sources.airline import ts_ntz
 
-ASOF = ts_ntz(AS_OF)
 TS = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -127,7 +126,7 @@ SELECT email, first, last, passport, dob, phone,
 FROM p
 """)
 def _v05(t):
-    return Q.validate_people(people_rows(t), t, ASOF)
+    return Q.validate_people(people_rows(t), t, asof())
 
 
 def aircraft_rows(t):
@@ -178,7 +177,7 @@ SELECT airplane_id, purchase_date, manufacturer, size, reg_rows, reg_cols, first
 FROM p
 """)
 def _v06(t):
-    return Q.validate_aircraft(aircraft_rows(t), t, ASOF)
+    return Q.validate_aircraft(aircraft_rows(t), t, asof())
 
 
 @query("check_seat_state", """

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyops.plans import search as S
-from skyops.plans.catalog import AS_OF, query
+from skyops.plans.catalog import AS_OF, asof, query
 from skyops.sources.airline import ts_ntz
 
-ASOF = ts_ntz(AS_OF)
 TS = f"TIMESTAMP '{AS_OF}'"
 
 STATS = """
@@ -28,7 +27,7 @@ COLS = ["ID", "dep_ts", "arr_ts", "Status", "Type", "Airplane_ID", "Origin_airpo
 SELECT * FROM ({STATS.format(ts=TS, extra='')} ORDER BY f.dep_ts, f.ID LIMIT 200) x WHERE available_tickets > 0
 """)
 def _q01(t):
-    return S.flight_search(t, ASOF).select(*COLS)
+    return S.flight_search(t, asof()).select(*COLS)
 
 
 @query("flight_search_route", f"""
@@ -36,7 +35,7 @@ SELECT * FROM ({STATS.format(ts=TS, extra=" AND f.Origin_airport = 'NATION_4'")}
 WHERE available_tickets > 0
 """)
 def _q01b(t):
-    return S.flight_search(t, ASOF, origin=" nation_4 ").select(*COLS)
+    return S.flight_search(t, asof(), origin=" nation_4 ").select(*COLS)
 
 
 @query("flight_results", f"""
@@ -44,7 +43,7 @@ SELECT *, COALESCE(Status IN ('Active', 'Full') AND available_tickets > 0, false
 FROM ({STATS.format(ts=TS, extra='')}) x
 """)
 def _q02(t):
-    return S.flight_results(t, ASOF).select(*COLS, "sellable")
+    return S.flight_results(t, asof()).select(*COLS, "sellable")
 
 
 @query("route_origins", """
@@ -68,7 +67,7 @@ SELECT DISTINCT Origin_airport, Arrival_airport, CAST(dep_ts AS DATE) AS d FROM
 WHERE Status IN ('Active', 'Full') AND dep_ts >= {TS}
 """)
 def _q04(t):
-    return S.available_dates(t, ASOF)
+    return S.available_dates(t, asof())
 
 
 ROLLUP_JOINS = """
@@ -115,7 +114,7 @@ SELECT l.*, e.order_status, COALESCE(e.order_status = 'Active' AND e.hrs >= 36,
 FROM lines l JOIN elig e ON e.Order_ID = l.Order_ID
 """)
 def _q06(t):
-    return S.order_detail(t, ASOF)
+    return S.order_detail(t, asof())
 
 
 @query("order_search", f"""
@@ -169,7 +168,7 @@ SELECT r.Flight_ID,
 FROM (SELECT DISTINCT Flight_ID FROM ticket_order) r LEFT JOIN flight f ON f.ID = r.Flight_ID
 """)
 def _q10(t):
-    return S.bookable_check(t, ASOF, t.ticket_order.select("Flight_ID").distinct())
+    return S.bookable_check(t, asof(), t.ticket_order.select("Flight_ID").distinct())
 
 
 @query("route_list", """

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyops.plans import search as Srch
-from skyops.plans.catalog import AS_OF, query
+from skyops.plans.catalog import AS_OF, asof, query
 from skyops.sources import tables as S
 from skyops.sources.airline import ts_ntz
 
-ASOF = ts_ntz(AS_OF)
 
 
 @query("scan_table", "SELECT * FROM aircrew")
@@ -62,7 +61,7 @@ SELECT ID, CASE WHEN Status = 'Active' AND dep_ts < TIMESTAMP '{AS_OF}' + INTERV
 FROM flight
 """)
 def _s09(t):
-    pred = (F.col("Status") == "Active") & (F.col("dep_ts") < F.timestamp_add("DAY", F.lit(30), ASOF))
+    pred = (F.col("Status") == "Active") & (F.col("dep_ts") < F.timestamp_add("DAY", F.lit(30), asof()))
     return S.update_where(t.flight, pred, {"Status": "Full"}).select("ID", "Status")
 
 
