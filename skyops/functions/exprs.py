@@ -175,15 +175,30 @@ def local_ts(utc_ts) -> Column:
     return F.from_utc_timestamp(_c(utc_ts).cast("timestamp"), LOCAL_ZONE).cast("timestamp_ntz")
 
 
-# F-20 (metadata only)
-HEADER_MAP = {}
+# F-20 (metadata only) — fixed report header labels
+HEADER_MAP = {
+    "avg_occupancy_percentage": "Average occupancy (%)",
+    "occupancy_percentage": "Occupancy (%)",
+    "Cancellation_Rate": "Cancellation rate (%)",
+    "Total_Income": "Total income ($)",
+    "Flights_Executed": "Flights executed",
+    "Flights_Canceled": "Flights canceled",
+    "flights_done": "Flights executed",
+    "flights_canceled": "Flights canceled",
+    "utilization_pct": "Utilization (%)",
+    "dominant_route": "Dominant route",
+    "CLASS_Type": "Class type",
+    "Airplane_ID": "Airplane ID",
+    "Aircrew_ID": "Aircrew ID",
+    "Flight_ID": "Flight ID",
+}
 
 
 def pretty_header(name: str) -> str:
-    """Report header: ``_`` → space, Title Case, ``Id`` → ``ID``, ``Ym`` → ``Month``."""
+    """Report header: fixed label, else ``_`` → space, Title Case, ``Id`` → ``ID``, ``Ym`` → ``Month``."""
     if name in HEADER_MAP:
         return HEADER_MAP[name]
-    words = [w.capitalize() for w in name.split("_") if w]
+    words = [w[:1].upper() + w[1:].lower() for w in name.split("_") if w]
     out = []
     for w in words:
         if w == "Id":
