@@ -320,3 +320,26 @@ def minus_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 def keep_members(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
     """U-04: rows whose key is in ``ids``."""
     return df.join(ids.select(*on).distinct(), list(on), "left_semi")
+
+
+def airport_match(labels: DataFrame, queries: DataFrame, q_col: str = "q") -> DataFrame:
+    """P-13: airports matching each query — code starts with the query or label contains it
+    (case-insensitive, trimmed) — plus the query's resolved code: the exact code match, else
+    the exact label match.
+
+    The non-equi match is turned into an equi join on a substring index of the (small,
+    bounded) airport dimension: every prefix of each code and every substring of each label.
+    """
+    lab = labels.select(F.col("Code"), F.col("Label"), F.upper("Code").alias("_uc"), F.upper("Label").alias("_ul"))
+    pre = lab.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_uc")))) \
+             .select("Code", F.substring("_uc", F.lit(1), F.col("_i")).alias("_key"))
+    sub = (lab.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_ul"))))
+              .withColumn("_j", F.explode(F.sequence(F.col("_i"), F.length("_ul"))))
+              .select("Code", F.substring("_ul", F.col("_i"), F.col("_j") - F.col("_i") + 1).alias("_key")))
+    index = pre.unionByName(sub).distinct()
+    q = queries.select(F.col(q_col).alias("q"), F.upper(F.trim(F.col(q_col))).alias("_key")).distinct()
+    hits = q.join(index, "_key", "inner").join(lab.select("Code", "Label", "_uc", "_ul"), "Code")
+    exact = hits.groupBy("q").agg(
+        F.coalesce(F.min(F.when(F.col("_uc") == F.col("_key"), F.col("Code"))),
+                   F.min(F.when(F.col("_ul") == F.col("_key"), F.col("Code")))).alias("resolved"))
+    return hits.select("q", "Code", "Label").join(exact, "q", "left")
