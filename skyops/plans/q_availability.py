@@ -114,17 +114,17 @@ WITH {REQ}, {AC_LOCATED}, {CREW_LOCATED},
 cnt AS (
   SELECT r.rid, r.ts, CASE WHEN r.flight_type = 'Long' THEN 3 ELSE 2 END AS req_pilots,
          CASE WHEN r.flight_type = 'Long' THEN 6 ELSE 3 END AS req_attendants,
-         (SELECT COUNT(*) FROM aloc WHERE aloc.rid = r.rid)
+         (SELECT COUNT(*) FROM aloc WHERE aloc.rid = r.rid AND aloc.ts = r.ts)
            + (SELECT COUNT(*) FROM airplane a
               WHERE (r.need_size IS NULL OR a.Size = r.need_size)
                 AND a.ID NOT IN (SELECT Airplane_ID FROM flight WHERE Status IN ('Active','Full','Completed'))
                 AND a.ID NOT IN (SELECT x.Airplane_ID FROM flight x WHERE x.dep_ts = r.ts)) AS aircraft,
          (SELECT COUNT(*) FROM aircrew c WHERE c.Type = 'Pilot' AND (r.flight_type <> 'Long' OR c.Training = 1)
             AND (c.ID NOT IN (SELECT Aircrew_ID FROM aircrew_assignment)
-                 OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc cl WHERE cl.rid = r.rid))) AS pilots,
+                 OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc cl WHERE cl.rid = r.rid AND cl.ts = r.ts))) AS pilots,
          (SELECT COUNT(*) FROM aircrew c WHERE c.Type = 'Flight attendant' AND (r.flight_type <> 'Long' OR c.Training = 1)
             AND (c.ID NOT IN (SELECT Aircrew_ID FROM aircrew_assignment)
-                 OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc cl WHERE cl.rid = r.rid))) AS attendants
+                 OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc cl WHERE cl.rid = r.rid AND cl.ts = r.ts))) AS attendants
   FROM req r),
 fz AS (
   SELECT rid, ts, aircraft, pilots, attendants, CAST(req_pilots AS BIGINT) AS req_pilots,
@@ -140,7 +140,36 @@ def _d06(t):
     return A.feasibility(t, requests_of(t))
 
 
-@query("earliest_slot")
+def _feas_ctes(r: str, x: str) -> str:
+    """The feasibility CTEs of ``FEAS`` over request CTE ``r``, with names suffixed by ``x``."""
+    body = (AC_LOCATED + "," + CREW_LOCATED + "," + FEAS.split(CREW_LOCATED + ",", 1)[1])
+    for name in ("aloc", "cloc", "cnt", "fz"):
+        body = body.replace(f"{name} AS (", f"{name}{x} AS (").replace(f"FROM {name} ", f"FROM {name}{x} ") \
+                   .replace(f"FROM {name})", f"FROM {name}{x})").replace(f"{name}.rid", f"{name}{x}.rid").replace(f"{name}.ts", f"{name}{x}.ts")
+    return body.replace("FROM req r", f"FROM {r} r")
+
+
+EARLIEST = f"""
+WITH {REQ}, {_feas_ctes("req", "0")},
+bad AS (SELECT r.* FROM req r JOIN fz0 ON fz0.rid = r.rid AND fz0.short_of IS NOT NULL),
+arr AS (SELECT rid, ts FROM (
+          SELECT b.rid, a.arr_ts AS ts, DENSE_RANK() OVER (PARTITION BY b.rid ORDER BY a.arr_ts) AS k
+          FROM bad b JOIN flight a ON a.Arrival_airport = b.airport AND a.Status IN ('Active', 'Full') AND a.arr_ts > b.ts) z
+        WHERE k <= 20),
+dep AS (SELECT rid, ts FROM (
+          SELECT b.rid, d.dep_ts AS ts, DENSE_RANK() OVER (PARTITION BY b.rid ORDER BY d.dep_ts) AS k
+          FROM bad b JOIN flight d ON d.dep_ts > b.ts) z
+        WHERE k <= 20),
+cands AS (SELECT DISTINCT rid, ts FROM (SELECT * FROM arr UNION ALL SELECT * FROM dep) u),
+creq AS (SELECT b.rid, b.airport, c.ts, b.flight_type, b.need_size FROM bad b JOIN cands c ON c.rid = b.rid),
+{_feas_ctes("creq", "1")}
+SELECT b.rid, b.ts, COALESCE((SELECT MIN(f.ts) FROM fz1 f WHERE f.rid = b.rid AND f.short_of IS NULL),
+                             (SELECT MIN(a.ts) FROM arr a WHERE a.rid = b.rid)) AS suggested_ts
+FROM bad b
+"""
+
+
+@query("earliest_slot", EARLIEST)
 def _d07(t):
     return A.earliest_slot(t, requests_of(t))
 
