@@ -174,6 +174,37 @@ def _d07(t):
     return A.earliest_slot(t, requests_of(t))
 
 
-@query("crew_recommend")
+RECOMMEND = f"""
+WITH {REQ}, {_feas_ctes("req", "0")},
+planes AS (
+  SELECT a.rid, a.ts, a.Airplane_ID, a.Size, a.Manufacturer FROM aloc0 a
+  UNION ALL
+  SELECT r.rid, r.ts, p.ID, p.Size, p.Manufacturer FROM req r JOIN airplane p ON (r.need_size IS NULL OR p.Size = r.need_size)
+  WHERE p.ID NOT IN (SELECT Airplane_ID FROM flight WHERE Status IN ('Active', 'Full', 'Completed'))
+    AND p.ID NOT IN (SELECT x.Airplane_ID FROM flight x WHERE x.dep_ts = r.ts)),
+feas AS (
+  SELECT pl.*, CASE WHEN pl.Size = 'Big' THEN 3 ELSE 2 END AS rp, CASE WHEN pl.Size = 'Big' THEN 6 ELSE 3 END AS ra
+  FROM planes pl JOIN cnt0 c ON c.rid = pl.rid AND c.ts = pl.ts
+  WHERE c.pilots >= CASE WHEN pl.Size = 'Big' THEN 3 ELSE 2 END
+    AND c.attendants >= CASE WHEN pl.Size = 'Big' THEN 6 ELSE 3 END),
+rec AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY rid, ts ORDER BY Size DESC, Manufacturer, Airplane_ID) AS n
+                       FROM feas) z WHERE n = 1),
+pool AS (
+  SELECT r.rid, r.ts, c.ID, c.Type, c.Training, r.flight_type
+  FROM req r JOIN aircrew c ON (r.flight_type <> 'Long' OR c.Training = 1)
+  WHERE c.ID NOT IN (SELECT Aircrew_ID FROM aircrew_assignment)
+     OR c.ID IN (SELECT cl.Aircrew_ID FROM cloc0 cl WHERE cl.rid = r.rid AND cl.ts = r.ts)),
+ranked AS (SELECT p.*, ROW_NUMBER() OVER (PARTITION BY p.rid, p.ts, p.Type
+                                          ORDER BY CASE WHEN p.flight_type = 'Long' THEN 0 ELSE -p.Training END, p.ID) AS pos
+           FROM pool p)
+SELECT rid, ts, 'airplane' AS role, Airplane_ID AS member_id, CAST(1 AS BIGINT) AS pos FROM rec
+UNION ALL
+SELECT k.rid, k.ts, CASE WHEN k.Type = 'Pilot' THEN 'pilot' ELSE 'attendant' END, k.ID, k.pos
+FROM ranked k JOIN rec ON rec.rid = k.rid AND rec.ts = k.ts
+WHERE k.pos <= CASE WHEN k.Type = 'Pilot' THEN rec.rp ELSE rec.ra END
+"""
+
+
+@query("crew_recommend", RECOMMEND)
 def _d08(t):
     return A.crew_recommend(t, requests_of(t))
