@@ -84,8 +84,10 @@ def aircraft_available(t: Airline, requests: DataFrame, locations: DataFrame | N
     req = requests.select("rid", "airport", "ts",
                           (F.col("need_size") if "need_size" in requests.columns else F.lit(None).cast("string"))
                           .alias("need_size"))
+    # an aircraft's location intervals are disjoint per airport (distinct arrival instants, each
+    # up to the next one), so each (request, aircraft) pair meets at most once: no DISTINCT
     at = I.interval_point_join(req, locs, ["airport"], "ts", "from_ts", "to_ts") \
-          .select("rid", "ts", "need_size", "Airplane_ID").distinct()
+          .select("rid", "ts", "need_size", "Airplane_ID")
     at = (at.join(t.airplane.select(F.col("ID").alias("Airplane_ID"), "Size", "Manufacturer"), "Airplane_ID")
           .where(F.col("need_size").isNull() | (F.col("Size") == F.col("need_size"))))
     same_slot = t.flight.select("Airplane_ID", F.col("dep_ts").alias("ts")).distinct()
@@ -135,8 +137,11 @@ def crew_available(t: Airline, requests: DataFrame, intervals: DataFrame | None
     Floating crew: :func:`floating_crew`."""
     iv = crew_intervals(t) if intervals is None else intervals
     req = requests.select("rid", "airport", "ts")
-    at = I.interval_point_join(req, iv.select("Aircrew_ID", "airport", "from_ts", "to_ts"), ["airport"],
-                               "ts", "from_ts", "to_ts").select("rid", "ts", "Aircrew_ID").distinct()
+    # two intervals of one crew member at one airport either end at the same next departure (one
+    # contains the other) or are disjoint; keeping the earliest start per (crew, airport, end)
+    # leaves disjoint intervals, so each (request, crew) pair meets once and needs no DISTINCT
+    merged = iv.groupBy("Aircrew_ID", "airport", "to_ts").agg(F.min("from_ts").alias("from_ts"))
+    at = I.interval_point_join(req, merged, ["airport"], "ts", "from_ts", "to_ts").select("rid", "ts", "Aircrew_ID")
     busy = crew_legs(t).select("Aircrew_ID", F.col("dep_ts").alias("ts")).distinct()
     at = at.join(busy, ["Aircrew_ID", "ts"], "left_anti")
     return at.join(t.aircrew.select(F.col("ID").alias("Aircrew_ID"), "Type", "Training"), "Aircrew_ID")
