@@ -140,7 +140,7 @@ def crew_available(t: Airline, requests: DataFrame, intervals: DataFrame | None
     # two intervals of one crew member at one airport either end at the same next departure (one
     # contains the other) or are disjoint; keeping the earliest start per (crew, airport, end)
     # leaves disjoint intervals, so each (request, crew) pair meets once and needs no DISTINCT
-    merged = iv.groupBy("Aircrew_ID", "airport", "to_ts").agg(F.min("from_ts").alias("from_ts"))
+    merged = merged_crew_intervals(iv)
     at = I.interval_point_join(req, merged, ["airport"], "ts", "from_ts", "to_ts").select("rid", "ts", "Aircrew_ID")
     busy = crew_legs(t).select("Aircrew_ID", F.col("dep_ts").alias("ts")).distinct()
     at = at.join(busy, ["Aircrew_ID", "ts"], "left_anti")
@@ -177,26 +177,58 @@ def _scalar_count(df: DataFrame, pred: Column | None = None) -> Column:
     return df.select(c.cast("long")).scalar()
 
 
+def merged_crew_intervals(iv: DataFrame) -> DataFrame:
+    """Crew intervals made disjoint per (crew, airport): two intervals of one member at one airport
+    either end at the same next departure (one contains the other) or do not overlap, so the
+    earliest start per (crew, airport, end) is kept."""
+    return iv.groupBy("Aircrew_ID", "airport", "to_ts").agg(F.min("from_ts").alias("from_ts"))
+
+
+CREW_CLASSES = [("Pilot", 0), ("Pilot", 1), ("Flight attendant", 0), ("Flight attendant", 1)]  # Type x Training
+
+
 def crew_counts(t: Airline, requests: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
     """Per request (rid, ts): available pilots and attendants (located + floating) that satisfy
-    the request's training need."""
+    the request's training need — computed without (request, crew) pairs.
+
+    Located crew at (airport, ts) = intervals covering ts, counted per (airport, type, training)
+    with :func:`~skyops.operators.intervals.count_covering` (intervals are disjoint per crew and
+    airport, so the count is of distinct crew), minus those covering crew assigned to a flight
+    departing exactly at ts (an equi join on the instant, bounded by that flight's crew).
+    """
     req = crew_requirement(requests, "type") if "need_training" not in requests.columns else requests
-    at = crew_available(t, req, intervals)
+    iv = merged_crew_intervals(crew_intervals(t) if intervals is None else intervals)
+    crew = t.aircrew.select(F.col("ID").alias("Aircrew_ID"), "Type", "Training")
+    cls = iv.join(crew, "Aircrew_ID")
+    cls_arr = F.array(*[F.struct(F.lit(ty).alias("Type"), F.lit(tr).alias("Training")) for ty, tr in CREW_CLASSES])
+    pts = req.select("airport", "ts").distinct().withColumn("_c", F.explode(cls_arr)) \
+             .select("airport", "ts", F.col("_c.Type").alias("Type"), F.col("_c.Training").alias("Training"))
+    cov = I.count_covering(pts, cls.select("airport", "Type", "Training", "from_ts", "to_ts"),
+                           ["airport", "Type", "Training"], "ts", "from_ts", "to_ts", "n")
     ok = ~F.col("need_training") | (F.col("Training") == 1)
-    loc = (at.join(req.select("rid", "ts", "need_training"), ["rid", "ts"])
-           .groupBy("rid", "ts").agg(F.count_if((F.col("Type") == "Pilot") & ok).alias("_p"),
-                                     F.count_if((F.col("Type") == "Flight attendant") & ok).alias("_a")))
+    loc = (req.select("rid", "airport", "ts", "need_training").join(cov, ["airport", "ts"])
+           .groupBy("rid", "ts").agg(F.sum(F.when((F.col("Type") == "Pilot") & ok, F.col("n")).otherwise(0)).alias("_p"),
+                                     F.sum(F.when((F.col("Type") == "Flight attendant") & ok, F.col("n"))
+                                           .otherwise(0)).alias("_a")))
+    # covering crew that are busy at exactly ts
+    busy = crew_legs(t).select("Aircrew_ID", F.col("dep_ts").alias("ts")).distinct()
+    bp = req.select("rid", "airport", "ts", "need_training").join(busy, "ts")
+    bp = I.interval_point_join(bp, iv, ["Aircrew_ID", "airport"], "ts", "from_ts", "to_ts", how="left_semi")
+    sub = (bp.join(crew, "Aircrew_ID")
+           .groupBy("rid", "ts").agg(F.count_if((F.col("Type") == "Pilot") & ok).alias("_bp"),
+                                     F.count_if((F.col("Type") == "Flight attendant") & ok).alias("_ba")))
     fc = floating_crew(t)
     fp_all = _scalar_count(fc, F.col("Type") == "Pilot")
     fp_tr = _scalar_count(fc, (F.col("Type") == "Pilot") & (F.col("Training") == 1))
     fa_all = _scalar_count(fc, F.col("Type") == "Flight attendant")
     fa_tr = _scalar_count(fc, (F.col("Type") == "Flight attendant") & (F.col("Training") == 1))
-    return (req.select("rid", "ts", "need_training").join(loc, ["rid", "ts"], "left")
+    z = F.lit(0)
+    return (req.select("rid", "ts", "need_training").join(loc, ["rid", "ts"], "left").join(sub, ["rid", "ts"], "left")
             .select("rid", "ts",
-                    (F.coalesce("_p", F.lit(0)) + F.when(F.col("need_training"), fp_tr).otherwise(fp_all))
-                    .cast("long").alias("pilots"),
-                    (F.coalesce("_a", F.lit(0)) + F.when(F.col("need_training"), fa_tr).otherwise(fa_all))
-                    .cast("long").alias("attendants")))
+                    (F.coalesce("_p", z) - F.coalesce("_bp", z)
+                     + F.when(F.col("need_training"), fp_tr).otherwise(fp_all)).cast("long").alias("pilots"),
+                    (F.coalesce("_a", z) - F.coalesce("_ba", z)
+                     + F.when(F.col("need_training"), fa_tr).otherwise(fa_all)).cast("long").alias("attendants")))
 
 
 def aircraft_counts(t: Airline, requests: DataFrame, locations: DataFrame | None = None) -> DataFrame:

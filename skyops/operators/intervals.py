@@ -153,3 +153,31 @@ def next_k_distinct(points: DataFrame, events: DataFrame, keys: Sequence[str], p
                     F.explode(F.sequence(F.col("_g") + 1, F.col("_g") + k)).alias("_r")))
     cand = pt_r.join(ev_r, keys + ["_r"], "inner").drop("_r")
     return points.join(cand, keys + [point_ts], "inner")
+
+
+def count_covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_ts: str, from_ts: str,
+                   to_ts: str, out: str) -> DataFrame:
+    """For each distinct point ``(keys, t)``, the number of intervals ``[from, to)`` with equal
+    ``keys`` that contain ``t`` — without forming (point, interval) pairs.
+
+    covering(t) = #starts <= t − #ends <= t. Starts (+1) and ends (−1) are merged with the
+    points and summed by a running window inside each (key, day) plus the prefix sum of the
+    per-(key, day) totals, so a hot key never lands in one task and the work is linear in
+    points + intervals. → ``(keys, point_ts, out)``
+    """
+    keys = list(keys)
+    starts = intervals.select(*keys, F.col(from_ts).alias("_t"), F.lit(1).alias("_d"))
+    ends = intervals.where(F.col(to_ts).isNotNull()).select(*keys, F.col(to_ts).alias("_t"), F.lit(-1).alias("_d"))
+    ev = starts.unionByName(ends).withColumn("_is_p", F.lit(False))
+    pts = points.select(*keys, F.col(point_ts).alias("_t")).distinct().withColumn("_d", F.lit(0)) \
+                .withColumn("_is_p", F.lit(True))
+    u = ev.unionByName(pts).withColumn("_b", F.timestamp_diff("DAY", _base(), F.col("_t")))
+    # events at the same instant as a point are counted before it (starts cover, ends do not)
+    w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_t"), F.col("_is_p"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = u.withColumn("_loc", F.sum("_d").over(w)).where("_is_p")
+    per_b = u.groupBy(*keys, "_b").agg(F.sum("_d").alias("_n"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per_b.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).select(*keys, "_b", "_off")
+    return (local.join(off, keys + ["_b"], "inner")
+            .select(*keys, F.col("_t").alias(point_ts), (F.col("_off") + F.col("_loc")).cast("long").alias(out)))

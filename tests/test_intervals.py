@@ -45,3 +45,21 @@ def test_next_event_after_matches_brute_force(spark):
     for k, pid, ts in pts:
         later = [e for kk, e in evs if kk == k and e > ts]
         assert got[pid] == (min(later) if later else None), pid
+
+
+def test_count_covering_matches_brute_force(spark):
+    from skyops.operators.intervals import count_covering
+    r = random.Random(11)
+    ivs = []
+    for i in range(300):
+        k = r.randint(0, 2)
+        a = _ts(r)
+        ivs.append((k, a, None if r.random() < 0.2 else a + dt.timedelta(minutes=r.randint(0, 20000))))
+    pts = [(r.randint(0, 2), _ts(r)) for _ in range(200)] + [(i[0], i[1]) for i in ivs[:40]] + \
+          [(i[0], i[2]) for i in ivs[40:80] if i[2]]
+    I_ = spark.createDataFrame(ivs, "k int, f timestamp_ntz, t timestamp_ntz")
+    P = spark.createDataFrame(pts, "k int, ts timestamp_ntz")
+    got = {(x.k, x.ts): x.n for x in count_covering(P, I_, ["k"], "ts", "f", "t", "n").collect()}
+    for k, ts in pts:
+        want = sum(1 for kk, f, t in ivs if kk == k and f <= ts and (t is None or ts < t))
+        assert got[(k, ts)] == want
