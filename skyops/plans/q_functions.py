@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skyops.functions import exprs as X
 from skyops.plans.catalog import AS_OF, asof, query
 from skyops.plans.q_reports import hu
-from skyops.sources.airline import ts_ntz
 
 TS = f"TIMESTAMP '{AS_OF}'"
 

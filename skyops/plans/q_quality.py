@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skyops.operators import quality as Q
 from skyops.plans.catalog import AS_OF, asof, query
-from skyops.sources.airline import ts_ntz
 
 TS = f"TIMESTAMP '{AS_OF}'"
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skyops.plans import search as Srch
 from skyops.plans.catalog import AS_OF, asof, query
 from skyops.sources import tables as S
-from skyops.sources.airline import ts_ntz
 
 
 

@@ -41,14 +41,24 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, assigning a scratch one only if unset."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        cur = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - some deployments hide core confs from the SQL conf
+        cur = None
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
+        if cur:
+            return cur
     if not cur:
+        # unset (tests, local runs): a scratch directory; on a cluster the shared dir is configured
         cur = tempfile.mkdtemp(prefix="skyops-ckpt-", dir=os.environ.get("SKYOPS_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
-    return cur
+        try:
+            spark.conf.set("spark.checkpoint.dir", cur)
+        except Exception:  # noqa: BLE001 - a core conf may be read-only at runtime
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(cur)
+    return spark.sparkContext.getCheckpointDir() or cur
 
 
 def cut_lineage(df):

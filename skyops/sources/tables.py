@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skyops.schema import SCHEMAS
 
@@ -119,4 +118,4 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 __all__ = ["read_table", "jdbc_options", "read_jdbc", "run_sql", "load", "append", "insert_ignore", "upsert",
-           "update_where", "write_summary", "revenue_summary_text", "to_json_rows", "T"]
+           "update_where", "write_summary", "revenue_summary_text", "to_json_rows"]

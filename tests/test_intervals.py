@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from skyops.operators.intervals import interval_point_join, next_event_after
 
