@@ -166,6 +166,8 @@ def count_covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     points + intervals. → ``(keys, point_ts, out)``
     """
     keys = list(keys)
+    # empty intervals (to <= from) contain nothing; dropping them keeps starts and ends paired
+    intervals = intervals.where(F.col(to_ts).isNull() | (F.col(to_ts) > F.col(from_ts)))
     starts = intervals.select(*keys, F.col(from_ts).alias("_t"), F.lit(1).alias("_d"))
     ends = intervals.where(F.col(to_ts).isNotNull()).select(*keys, F.col(to_ts).alias("_t"), F.lit(-1).alias("_d"))
     ev = starts.unionByName(ends).withColumn("_is_p", F.lit(False))
