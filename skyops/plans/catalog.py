@@ -37,10 +37,12 @@ def query(key: str, sql: str | None = None):
 
 
 def tables(spark: SparkSession, sf_dir: str) -> airline.Airline:
+    """The airline tables of ``sf_dir`` for this session (lazy frames, derived once per session)."""
     k = (id(spark), sf_dir)
-    if k not in _TABLES:
-        _TABLES[k] = airline.derive(spark, sf_dir)
-    return _TABLES[k]
+    cached = _TABLES.get(k)
+    if cached is None or cached.airplane.sparkSession is not spark:
+        cached = _TABLES[k] = airline.derive(spark, sf_dir)
+    return cached
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
