@@ -45,6 +45,12 @@ def test_stream_seat_admission_equals_batch(spark, t_small):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     # at most one accepted request per seat
     assert got.groupBy("Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number").count().where("count > 1").count() == 0
+    # restarting on the same checkpoint replays nothing and the sink keeps its rows exactly once
+    n_before = spark.read.parquet(out).count()
+    q2 = stream_seat_admission(spark, flat, t_small, out, os.path.join(d, "ck"), trigger={"availableNow": True},
+                               max_files_per_trigger=1)
+    q2.awaitTermination(300)
+    assert spark.read.parquet(out).count() == n_before
 
 
 def test_stream_status_refresh(spark, t_small):
