@@ -15,6 +15,9 @@ def hashed_features(data: np.ndarray, off: np.ndarray, bits: int) -> list[tuple[
     """(buckets, documents' offsets) of the words and of the word pairs of a slice."""
     hashes, words = word_hashes(data, off)
     pairs, at = grams(hashes, words, 2)
+    # a word that follows itself is one feature, whatever the word: rare words repeated in a row have no counts of their own
+    left = np.repeat(words[:-1] - at[:-1], np.diff(at)) + np.arange(len(pairs))
+    pairs[hashes[left] == hashes[left + 1]] = 0
     shift = np.uint64(64 - bits)
     return [((hashes >> shift).astype(np.int64), words), ((pairs >> shift).astype(np.int64), at)]
 

@@ -51,7 +51,7 @@ class DomainModel:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), sample: int = 5_000,
-                evidence: float = 64.0, bits: int = 16, smooth: float = 0.5) -> DomainModel:
+                evidence: float = 64.0, bits: int = 13, smooth: float = 0.5) -> DomainModel:
     """Fit the classifier; the priors are the domains' shares of all labelled rows. At most 64 domains."""
     found = labels.dropna(subset=["doc_id", *columns]).groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).limit(65).collect()
     if len(found) > 64:
@@ -101,28 +101,35 @@ class Rates:
     steps: list[np.ndarray] = field(default_factory=list)
     got: np.ndarray | None = None
 
-    def of(self, p: np.ndarray) -> np.ndarray:
-        rate = np.ones(len(p))
+    def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
+        """Rates of documents with posteriors ``p``; ``ahead``: the point of the next gradient instead."""
+        rate = point = np.ones(len(p))
+        t = 1.0
         for step in self.steps:
-            rate = np.maximum(0.0, rate - self.size * (p @ step))
-        return rate
+            new, grown = np.maximum(0.0, point - self.size * (p @ step)), (1 + np.sqrt(1 + 4 * t * t)) / 2
+            point, rate, t = new + (t - 1) / grown * (new - rate), new, grown
+        return point if ahead else rate
 
 
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], tolerance: float = 1e-6, max_steps: int = 200) -> Rates:
-    """Rates whose expected domain tokens come to ``targets`` (domain -> tokens; others keep what they have). Stops when a step improves no
-    domain by more than ``tolerance`` of its target."""
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], tolerance: float = 1e-4, max_steps: int = 60) -> Rates:
+    """Rates whose expected domain tokens come to ``targets`` (domain -> tokens; others keep what they have). Stops when every domain is
+    within ``tolerance`` of its target (in shares of all target tokens), or after ``max_steps``."""
     columns = [f"p_{n}" for n in names]
     k = len(names)
 
     def sums(rates: Rates | None):
+        """Expected tokens by domain (at the rates, at the next gradient's point), or with ``None`` those at rate 1 and the Gram matrix."""
         def run(batches):
             total = np.zeros((k, k + 1))
             for batch in batches:
                 n = np.asarray(batch.column("n_tokens")).astype(float)
                 p = np.stack([np.asarray(batch.column(c)) for c in columns], 1)
-                total[:, 0] += (n * (1.0 if rates is None else rates.of(p))) @ p
                 if rates is None:
+                    total[:, 0] += n @ p
                     total[:, 1:] += (p * n[:, None]).T @ p
+                else:
+                    total[:, 0] += (n * rates.of(p)) @ p
+                    total[:, 1] += (n * rates.of(p, True)) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(list(total))], names=["k", "v"])
 
         rows = members.select("n_tokens", *columns).mapInArrow(run, "k bigint, v array<double>")
@@ -139,11 +146,12 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], t
     weight = np.where(held, 1.0 / np.where(held, now, 1.0), 0.0)
     top = np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight))[-1] if held.any() else 1.0
     rates = Rates(names, now, target, 1.0 / max(top, 1e-12), got=now)
+    point = now
     for _ in range(max_steps):
-        rates.steps.append((rates.got - target) * weight)
-        before, rates.got = rates.got, sums(rates)[:, 0]
-        if (np.abs(rates.got - before) <= tolerance * np.maximum(target, 1.0)).all():
+        if (np.abs(rates.got - target)[held] <= tolerance * target.sum()).all():
             break
+        rates.steps.append((point - target) * weight)
+        rates.got, point = sums(rates)[:, :2].T
     return rates
 
 

@@ -3,8 +3,8 @@
 Two generative models over hashed words and word pairs: one of the target (labelled rows of good quality, a sample of at most
 ``sample`` rows by hash of doc_id) and one of all raw texts. A text's log weight is the log of the ratio of its probabilities. Rows are
 drawn without replacement in proportion to their weights by Gumbel top-k: the k largest of log weight + Gumbel noise. The noise comes from
-a hash of doc_id and the seed, so a task that runs again draws the same. Unless given, k is the number of rows whose log
-weight is at least ``min_log_weight``: as many as the target model explains about as well as the raw one.
+a hash of doc_id and the seed, so a task that runs again draws the same. Unless given, k is the number of rows whose log weight is at
+least that of all but 1 - ``keep_share`` of the labelled good rows that were held out of the target model (a fifth of the sample).
 
 The k-th largest key is found exactly by counting key bits, 16 at a time; no global sort, and only histograms reach the driver.
 
@@ -25,9 +25,15 @@ from skyops.llm.features import class_counts, document_sums, hashed_features, sa
 from skyops.llm.words import mix
 
 
-def fit_log_ratio(docs: DataFrame, labels: DataFrame, bits: int = 16, sample: int = 20_000, smooth: float = 0.5) -> np.ndarray:
-    """Per bucket: log of its probability in the target over that in all texts."""
-    target = sample_ids(labels, F.col("quality") == 1, sample)
+def split_sample(labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted doc_ids of good labelled rows: those that fit the target model, and a fifth that is held out."""
+    ids = sample_ids(labels, F.col("quality") == 1, sample)
+    held = mix(ids.view(np.uint64)) % np.uint64(5) == 0
+    return ids[~held], ids[held]
+
+
+def fit_log_ratio(docs: DataFrame, target: np.ndarray, bits: int = 14, smooth: float = 0.5) -> np.ndarray:
+    """Per bucket: log of its probability in the texts of ``target`` (doc_ids) over that in all texts."""
     raw, good = class_counts(docs, [target], bits)
     if not good.sum():
         return np.zeros(1 << bits)
@@ -86,12 +92,16 @@ def kth_largest(scored: DataFrame, k: int) -> int:
     return top
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, min_log_weight: float = -4.0, seed: int = 0, **fit) -> tuple[DataFrame, np.ndarray, int]:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_share: float = 0.9995, seed: int = 0, sample: int = 20_000,
+             **fit) -> tuple[DataFrame, np.ndarray, int]:
     """The scored rows with ``selected``, the fitted ratio, and the smallest selected key."""
-    ratio = fit_log_ratio(docs, labels, **fit)
+    target, held = split_sample(labels, sample)
+    ratio = fit_log_ratio(docs, target, **fit)
     scored = stage(score(docs, ratio, seed), "resample")
     if k is None:
-        k = scored.where(F.col("log_weight") >= min_log_weight).count()
+        known = docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id bigint")  # at most ``sample`` rows
+        weights = sorted(r[0] for r in scored.join(F.broadcast(known), "doc_id", "left_semi").select("log_weight").collect())
+        k = scored.where(F.col("log_weight") >= (weights[int((1 - keep_share) * len(weights))] if weights else float("-inf"))).count()
     cut = kth_largest(scored, k) if k else 2**63 - 1
     return scored.withColumn("selected", (F.col("key_bits") >= cut) & F.lit(k > 0)).drop("key_bits"), ratio, cut
 
