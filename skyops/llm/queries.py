@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyops.llm import decontamination, fingerprints, jaccard, licenses, mixing, resampling, rotation, tokens, toxicity
+from skyops.llm import decontamination, fingerprints, jaccard, katz, licenses, mixing, resampling, rotation, tokens, toxicity
 from skyops.llm.common import scratch, table
 
 #: target weights of the label domains for op3 (quality and toxic labels), of the mixture's tokens
@@ -19,6 +19,14 @@ def _remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", _remainder() != 1)
+    model = katz.fit(docs, F.col("train"))
+    scored = katz.score(docs, model)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct("places.label"))
@@ -78,6 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_scores": op1_katz_scores,
     "op2_license_scan": op2_license_scan,
     "op3_mixture_rates": op3_mixture_rates,
     "op4_benchmark_hits": op4_benchmark_hits,
