@@ -97,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
+QUERIES["pipeline"] = pipeline
 SQL: dict[str, str] = {}
