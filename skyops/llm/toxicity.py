@@ -4,10 +4,11 @@ Strings are the words of a text (lower-cased, cut into windows of ``LENGTH`` byt
 ("i d i o t"). The kernel k(s, t) sums, over all subsequences of ``ORDER`` characters that s and t share, DECAY to the power of the places they
 span in both; it is normalised to k(s, s) = 1. Gaps and inserted characters lower it only gradually.
 
-Landmarks are the strings whose share of toxic training texts most exceeds their share of the others (by z score). A text's kernel values are the
-largest over its strings, landmark by landmark; Nystroem features are these times K^(-1/2) of the landmarks' own kernel matrix. A linear support
-vector machine with squared hinge loss on these features, and a logistic curve on its margins, give the score. Strings that share under
-``OVERLAP`` of a landmark's distinct characters count as 0 there.
+Landmarks are the strings whose share of toxic training texts most exceeds their share of the others (by z score). A text's kernel values are, landmark by
+landmark, the largest over its strings and log(1 + the sum of those of ``LIKE`` or more); Nystroem features are these times K^(-1/2) of the
+landmarks' own kernel matrix. A linear support
+vector machine with squared hinge loss on these features, and a logistic curve on its margins, give the score. A string that holds under
+``OVERLAP`` of a landmark's pairs of neighbouring characters, at most ``REACH`` places apart, counts as 0 there.
 
 Training uses at most ``sample`` labelled texts (those of the smallest hashes of doc_id); scoring reads whole texts. A text's label, language,
 source and id are never features.
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import slices, stage, texts
+from skyops.llm.common import SLICE_BYTES, slices, stage, texts
 from skyops.llm.features import sample_ids
 from skyops.llm.words import LOWER, hash_spans, spans
 
-ORDER, DECAY, LENGTH, OVERLAP = 3, 0.6, 24, 0.75
+ORDER, DECAY, LENGTH, REACH, OVERLAP, LIKE = 3, 0.6, 24, 3, 0.75, 0.6
 
 
 def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,8 +38,8 @@ def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends, words = spans(data, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(words))
     size = ends - starts
-    chars = np.bincount(np.repeat(np.arange(len(starts)), size), (data[_inside(starts, ends)] & 0xC0) != 0x80, len(starts)) if len(starts) else np.zeros(0)
-    single = chars == 1
+    lead = data[starts]
+    single = size == 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)  # one code point
     # windows of long words: steps of half a window
     pieces = np.where(size <= LENGTH, 1, np.maximum(1, -(-(size - LENGTH) // (LENGTH // 2)) + 1))
     which = np.repeat(np.arange(len(starts)), pieces)
@@ -53,7 +54,7 @@ def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     change = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     joined, owner = [], []
     for x, y in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-        for d0, d1 in _by_doc(doc, x, y):
+        for d0, d1 in _by_doc(doc, x, y) if y - x >= ORDER else ():
             if d1 - d0 >= ORDER:
                 text = b"".join(bytes(LOWER[data[starts[i]: ends[i]]]) for i in range(d0, d1))
                 for k in range(0, max(1, len(text) - LENGTH // 2), LENGTH // 2):
@@ -66,11 +67,6 @@ def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return rows, docs, ids
 
 
-def _inside(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = ends - starts
-    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-
-
 def _by_doc(doc: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
     cuts = [x, *(x + 1 + np.flatnonzero(np.diff(doc[x:y]))).tolist(), y]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -107,10 +103,31 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-def letters(rows: np.ndarray) -> np.ndarray:
-    """64-bit masks of the characters held (bytes modulo 64; 0 bytes left out)."""
-    bits = np.where(rows != 0, np.uint64(1) << (rows & 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1) if len(rows) else np.zeros(0, np.uint64)
+def pair_masks(rows: np.ndarray, reach: int) -> np.ndarray:
+    """256-bit masks (4 words, one row each) of the ordered pairs of characters at most ``reach`` places apart."""
+    n = len(rows)
+    out = np.zeros(4 * n, np.uint64)
+    wide = np.ascontiguousarray(rows.T).astype(np.uint32)
+    at = np.arange(n)
+    for gap in range(1, reach + 1):
+        for i in range(LENGTH - gap):
+            if not (k := int(np.count_nonzero(wide[i + gap]))):
+                break
+            use = at if k == n else np.flatnonzero(wide[i + gap])
+            a, b = wide[i][use], wide[i + gap][use]
+            h = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE35)) >> np.uint32(24)
+            out[(h >> 6).astype(np.int64) * n + use] |= np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
+    return out.reshape(4, n)
+
+
+def _by_size(values, size: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """``values`` of all indices, in chunks of strings of like sizes."""
+    out = np.zeros(len(size), np.float32)
+    order = np.argsort(size, kind="stable")
+    for k in range(0, len(order), chunk):
+        part = order[k: k + chunk]
+        out[part] = values(part)
+    return out
 
 
 class Landmarks:
@@ -118,35 +135,27 @@ class Landmarks:
 
     def __init__(self, words: list[bytes]):
         self.rows = np.frombuffer(b"".join(w.ljust(LENGTH, b"\0") for w in words), np.uint8).reshape(-1, LENGTH)
-        self.masks = letters(self.rows)
-        self.need = np.ceil(OVERLAP * np.bitwise_count(self.masks)).astype(np.uint8)
-        self.least = np.ceil(OVERLAP * (self.rows != 0).sum(1)).astype(int)
+        self.masks = pair_masks(self.rows, 1)
+        self.need = np.ceil(OVERLAP * np.bitwise_count(self.masks).sum(0)).astype(int)
         self.own = kernel(self.rows, self.rows)
 
     def values(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string, landmark, normalised kernel) of all pairs that share enough characters."""
-        masks, size = letters(rows), (rows != 0).sum(1)
-        found = [(np.bitwise_count(masks & m) >= need) & (size >= least) for m, need, least in zip(self.masks, self.need, self.least, strict=True)]
-        used = np.flatnonzero(np.logical_or.reduce(found)) if found else np.zeros(0, np.int64)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        if len(used):
-            norm = np.ones(len(rows), np.float32)
-            order = used[np.argsort(size[used], kind="stable")]
-            for part in np.array_split(order, max(1, len(order) // 2000)):
-                norm[part] = kernel(rows[part], rows[part])
-            for k, hit in enumerate(found):
-                at = np.flatnonzero(hit)
-                at = at[np.argsort(size[at], kind="stable")]
-                for part in np.array_split(at, max(1, len(at) // 2000)):
-                    if len(part):
-                        value = kernel(rows[part], self.rows[k: k + 1]) / np.sqrt(norm[part] * self.own[k])
-                        out.append((part, np.full(len(part), k), value))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        """(string, landmark, normalised kernel) of all pairs that share enough pairs of characters."""
+        masks, size = pair_masks(rows, REACH), (rows != 0).sum(1)
+        found = [np.flatnonzero(sum(np.bitwise_count(m & x) for m, x in zip(masks, own, strict=True)) >= need)
+                 for own, need in zip(self.masks.T, self.need, strict=True)]
+        string = np.concatenate([np.zeros(0, np.int64), *found])
+        mark = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        used, inverse = np.unique(string, return_inverse=True)
+        own = _by_size(lambda i: kernel(rows[used[i]], rows[used[i]]), size[used])
+        both = _by_size(lambda i: kernel(rows[string[i]], self.rows[mark[i]]), size[string])
+        return string, mark, both / np.sqrt(own[inverse] * self.own[mark]) if len(string) else both
 
     def of_texts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Documents x landmarks: largest kernel value over a document's strings."""
+        """Documents x (landmarks twice): largest kernel value over a document's distinct strings, and log(1 + the sum of the large ones)."""
         rows, docs, ids = strings(data, off)
-        out = np.zeros((len(off) - 1, len(self.rows)), np.float32)
+        size = len(self.rows)
+        out = np.zeros((len(off) - 1, 2 * size), np.float32)
         string, mark, value = self.values(rows)
         if not len(string):
             return out
@@ -157,7 +166,11 @@ class Landmarks:
         lo, hi = np.searchsorted(pairs[:, 0], string), np.searchsorted(pairs[:, 0], string, "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        np.maximum.at(out, (pairs[at, 1], np.repeat(mark, n)), np.repeat(value, n))
+        doc, mark, value = pairs[at, 1], np.repeat(mark, n), np.repeat(value, n)
+        np.maximum.at(out, (doc, mark), value)
+        like = value >= LIKE
+        np.add.at(out, (doc[like], size + mark[like]), value[like])
+        out[:, size:] = np.log1p(out[:, size:])
         return out
 
 
@@ -185,7 +198,7 @@ def choose_landmarks(training: DataFrame, m: int, least: int = 3) -> list[bytes]
         seen: dict[bytes, list[int]] = {}
         for batch in batches:
             label = np.asarray(batch.column("label"))
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), 4 * SLICE_BYTES):
                 rows, docs, ids = strings(data, off)
                 for string, d in np.unique(np.stack([ids, docs], 1), axis=0).tolist():
                     seen.setdefault(rows[string].tobytes().rstrip(b"\0"), [0, 0])[label[i + d]] += 1
@@ -245,7 +258,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, landm
 
     def run(batches):
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), 4 * SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(list(marks.of_texts(data, off).astype(np.float32)), pa.list_(pa.float32())), batch.column("label").slice(i, j - i)],
                                                  names=["x", "label"])
 
@@ -258,6 +271,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, landm
     gram = (gram + gram.T) / 2
     lam, vec = np.linalg.eigh(gram)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 1e-2))) @ vec.T
+    root = np.kron(np.eye(2), root)
     w, bias = fit_svm(raw @ root, np.where(label == 1, 1.0, -1.0))
     weights = root @ w
     return Model(marks, weights, bias, *fit_curve(raw @ weights + bias, label))
@@ -269,7 +283,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, j, data, off in slices(batch.column("text")):
+            for i, j, data, off in slices(batch.column("text"), 4 * SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(shared.value.score(data, off))], names=["doc_id", "score"])
 
     return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
