@@ -5,8 +5,9 @@ ids. ORC stores the integer columns in run-length encoding, keeps a row index pe
 readers split files by stripes and skip stripes and row groups by doc_id. Documents are dealt by ranges of doc_id, sorted and encoded
 as a stream within each task; ids of different documents never meet in one task's memory beyond a batch.
 
-The tokenizer drops white space, so the ids of a text are those of its white-space-free pieces in turn; each task keeps the ids of up
-to ``CACHE`` pieces.
+The tokenizer drops white space and lower-cases, so the ids of a text are those of its lower-cased pieces without ASCII white space, in turn; and those
+of a Latin word with ASCII punctuation behind it are those of the word, then those of the punctuation. A worker process keeps the ids of up to ``CACHE``
+pieces from one task to the next.
 
 Defined results: null and empty text have the end id alone; equal doc_ids are ordered by text; null doc_ids come first; an empty
 table gives an empty directory of files; other columns are ignored.
@@ -15,7 +16,9 @@ table gives an empty directory of files; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from pyspark.sql.window import Window
 
 from skyops.llm.common import texts
 
-#: pieces whose ids a task keeps, and the longest piece that is kept (bytes)
-CACHE, LONGEST = 400_000, 48
+#: pieces whose ids a worker keeps (some 200 bytes each), and the longest piece that is kept (bytes)
+CACHE, LONGEST = 1_000_000, 48
+#: letters of ASCII and Latin-1, then ASCII punctuation without ' (it starts suffixes like 's) and < (special tokens)
+_WORD_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]+)")
 
 
 class PieceIds(dict):
@@ -39,23 +44,36 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if parts := _WORD_AND_MARKS.fullmatch(piece):
+            ids = self[parts[1]] + self[parts[2]]
+        else:
+            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
             self[piece] = ids
         return ids
 
+    def of_text(self, text: bytes) -> bytes:
+        # special tokens are matched as they are written, so a text that may hold one is not lower-cased beforehand
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
+
+@cache
+def piece_ids(path: str) -> PieceIds:
+    """The cache of this worker process."""
+    return PieceIds(path)
+
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, stride: int = 1000,
                     stripe_bytes: int = 64 << 20) -> None:
     """Encode every document, append ``end_id`` and write the ORC files under ``path``."""
 
     def encode(batches):
-        pieces, done = PieceIds(tokenizer_path), 0
+        pieces, done = piece_ids(tokenizer_path), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            bodies = [b"".join(map(pieces.__getitem__, t.as_py().split())) + end for t in batch.column("text")]
+            bodies = [pieces.of_text(t.as_py()) + end for t in batch.column("text")]
             n = np.fromiter((len(b) >> 2 for b in bodies), np.int64, len(bodies))
             offsets = np.concatenate([[0], np.cumsum(n)])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(bodies), "<i4")))
