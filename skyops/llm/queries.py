@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyops.llm import decontamination, fingerprints, jaccard, katz, licenses, mixing, resampling, rotation, tokens, toxicity
+from skyops.llm import decontamination, fingerprints, jaccard, katz, licenses, mixing, oracles, resampling, rotation, tokens, toxicity
 from skyops.llm.common import scratch, table
 
 #: target weights of the label domains for op3 (quality and toxic labels), of the mixture's tokens
@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 QUERIES["pipeline"] = pipeline
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
