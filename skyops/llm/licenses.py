@@ -76,7 +76,7 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
-                  threshold: float = 0.8, block: int = 64, max_template_words: int = 200_000) -> DataFrame:
+                  threshold: float = 0.9, block: int = 64, max_template_words: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, places (start and label of each phrase), matches (label, block start and
     containment of each matching block and template; blocks in order)."""
     sets = [(label, frozenset(words_of(t.encode()))) for label, t in templates]

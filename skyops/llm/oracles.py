@@ -25,7 +25,7 @@ template AS (SELECT row_number() OVER () AS k, label, list_distinct(string_split
 block AS (
   SELECT doc_id, w[b * 32 + 1:b * 32 + 64] AS held
   FROM d, unnest(range(0, greatest(0, CAST(ceil((len(w) - 64) / 32.0) AS BIGINT)) + 1)) t(b) WHERE len(w) > 0),
-near AS (SELECT doc_id, label, len(list_intersect(words, held)) / len(words) AS share FROM block, template WHERE len(list_intersect(words, held)) >= 0.8 * len(words) - 1e-9),
+near AS (SELECT doc_id, label, len(list_intersect(words, held)) / len(words) AS share FROM block, template WHERE len(list_intersect(words, held)) >= 0.9 * len(words) - 1e-9),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM near GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,
