@@ -135,8 +135,8 @@ def flight_code(n) -> Column:
 
 
 def flight_no(code) -> Column:
-    """Numeric suffix of ``F#####``; non-numeric → 0 (lenient cast, as SQLite)."""
-    return F.coalesce(F.substring(_c(code), 2, 1 << 20).try_cast("long"), F.lit(0).cast("long"))
+    """Leading digits behind the ``F`` of a flight id; 0 without them, and for ids that don't start with ``F``."""
+    return F.when(_c(code).startswith("F"), lenient_int(F.substring(_c(code), 2, 1 << 20))).otherwise(F.lit(0).cast("long"))
 
 
 # F-15

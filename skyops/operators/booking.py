@@ -8,6 +8,8 @@ seat, never by collecting a flight's requests into one task.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,17 +26,18 @@ MAX_COLUMNS = 26   # seat letters A..Z
 
 # ---- helpers -------------------------------------------------------------------------------
 
-def dense_index(df: DataFrame, order: list[Column], bucket: Column, out: str = "idx") -> DataFrame:
-    """1-based consecutive index over ``df`` in ``order`` without a single-partition window:
-    a running number inside each ``bucket`` (which must be monotone in ``order``) plus the
-    prefix sum of the bucket sizes (a table of one row per bucket)."""
-    d = df.withColumn("_bk", bucket)
-    w = Window.partitionBy("_bk").orderBy(*order)
-    d = d.withColumn("_loc", F.row_number().over(w))
+def dense_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFrame:
+    """1-based consecutive index over ``df`` in ``order``: rows are range-partitioned and sorted by
+    ``order``, numbered within their partition, and shifted by the sizes of the partitions before
+    (a table of one row per partition). The numbered rows are checkpointed, so a lost executor
+    can't renumber them."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = cut_lineage(d.select("*", F.spark_partition_id().alias("_bk"),
+                             (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_loc")))
     sizes = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    off = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.join(off.select("_bk", "_off"), "_bk").withColumn(out, (F.col("_off") + F.col("_loc")).cast("long")) \
+    off = sizes.select("_bk", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return d.join(off, "_bk").withColumn(out, (F.col("_off") + F.col("_loc") + 1).cast("long")) \
             .drop("_bk", "_loc", "_off")
 
 
@@ -71,7 +74,8 @@ def seat_admission(t: Airline, requests: DataFrame, extra_held: DataFrame | None
     held = active_links(t).select(*SEAT4)
     if extra_held is not None:
         held = held.unionByName(extra_held.select(*SEAT4))
-    held = held.distinct().withColumn("_held", F.lit(True))
+    # only the seats that are asked for
+    held = held.join(requests.select(*SEAT4), SEAT4, "left_semi").distinct().withColumn("_held", F.lit(True))
     r = requests.join(tk, SEAT4, "left").join(held, SEAT4, "left")
     pre = (F.when(F.col("Availability").isNull(), "no such seat")
             .when(F.col("Availability") != 1, "unavailable")
@@ -90,55 +94,47 @@ def seat_admission(t: Airline, requests: DataFrame, extra_held: DataFrame | None
 
 # ---- D-10 ----------------------------------------------------------------------------------
 
-def cart_admission(t: Airline, carts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cart_admission(t: Airline, carts: DataFrame) -> DataFrame:
     """All-or-nothing carts. ``carts`` has one row per requested seat with ``cart_id``,
-    ``request_ts``, ``order_id`` and the seat key; a cart precedes another by
-    (request_ts, order_id, cart_id).
+    ``request_ts``, ``order_id`` and the seat key. A cart is its ``cart_id``; its instant and order
+    are the smallest of its rows. A cart precedes another by (request_ts, order_id, cart_id).
 
     A cart is accepted iff all of its seats are admissible (exist, available, not held) and
     none was taken by an earlier accepted cart; a rejected cart takes no seat (rollback).
-
-    Evaluated in rounds: a pending cart is *ready* when it is the earliest pending cart of
-    every seat it asks for; ready carts never share a seat, so each round decides all of
-    them at once (at least the globally earliest pending cart). Rounds are keyed by seat
-    and cart — no flight's carts are ever gathered into one task — and every round's state
-    is checkpointed.
+    → cart_id, request_ts, order_id, valid (its seats are admissible), n_seats, accepted.
+
+    Carts with an inadmissible seat are rejected before the first round. The others are decided in
+    rounds: a pending cart is *ready* when it is the earliest pending cart of every seat it asks for.
+    Ready carts never share a seat, and the earliest pending cart is always ready, so every round
+    decides some and the rounds end; there are as many as the longest chain of carts that wait for
+    each other. A round drops the decided carts and all carts that ask for a seat just taken, and
+    writes only what is still pending; no flight's carts are gathered into one task.
     """
     tk = t.ticket.select(*SEAT4, "Availability")
     held = active_links(t).select(*SEAT4).distinct().withColumn("_held", F.lit(True))
-    seats = (carts.select("cart_id", "request_ts", "order_id", *SEAT4).distinct()
-             .join(tk, SEAT4, "left").join(held, SEAT4, "left")
-             .withColumn("_ok", F.col("Availability").isNotNull() & (F.col("Availability") == 1) & F.col("_held").isNull()))
-    cart_ok = seats.groupBy("cart_id", "request_ts", "order_id").agg(F.every("_ok").alias("valid"),
-                                                                      F.count(F.lit(1)).alias("n_seats"))
-    seats = cut_lineage(seats.select("cart_id", "request_ts", "order_id", *SEAT4))
-    pending = cut_lineage(cart_ok)
-    taken = None
-    decided = None
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        ps = seats.join(pending.select("cart_id"), "cart_id", "left_semi")
-        first = ps.groupBy(*SEAT4).agg(F.min(F.struct("request_ts", "order_id", "cart_id")).alias("_f"))
-        mine = ps.join(first, SEAT4).where(F.col("_f.cart_id") == F.col("cart_id")) \
-                 .groupBy("cart_id").agg(F.count(F.lit(1)).alias("_m"))
-        ready = pending.join(mine, "cart_id").where(F.col("_m") == F.col("n_seats")).drop("_m")
-        rs = seats.join(ready.select("cart_id"), "cart_id", "left_semi")
-        if taken is not None:
-            clash = rs.join(taken, SEAT4, "left_semi").select("cart_id").distinct().withColumn("_clash", F.lit(True))
-            ready = ready.join(clash, "cart_id", "left")
-        else:
-            ready = ready.withColumn("_clash", F.lit(None).cast("boolean"))
-        out = cut_lineage(ready.withColumn("accepted", F.col("valid") & F.col("_clash").isNull()).drop("_clash"))
-        new_taken = seats.join(out.where("accepted").select("cart_id"), "cart_id", "left_semi").select(*SEAT4)
-        taken = cut_lineage(new_taken if taken is None else taken.unionByName(new_taken))
-        decided = out if decided is None else cut_lineage(decided.unionByName(out))
-        pending = cut_lineage(pending.join(out.select("cart_id"), "cart_id", "left_anti"))
-    else:
-        raise RuntimeError("cart admission did not converge")
-    if decided is None:
-        return cart_ok.withColumn("accepted", F.lit(False)).limit(0)
-    return decided
+    seats = carts.select("cart_id", *SEAT4).distinct()
+    checked = (seats.join(tk, SEAT4, "left").join(held, SEAT4, "left")
+               .withColumn("_ok", F.coalesce((F.col("Availability") == 1) & F.col("_held").isNull(), F.lit(False))))
+    order = carts.groupBy("cart_id").agg(F.min("request_ts").alias("request_ts"), F.min("order_id").alias("order_id"))
+    every = cut_lineage(order.join(checked.groupBy("cart_id").agg(F.every("_ok").alias("valid"), F.count(F.lit(1)).alias("n_seats")), "cart_id")
+                        .select("cart_id", "request_ts", "order_id", "valid", "n_seats"))
+    place = F.struct("request_ts", "order_id", "cart_id").alias("_at")
+    waiting = cut_lineage(seats.join(every.where("valid").select("cart_id", "n_seats", place), "cart_id"))
+    accepted = []
+    while not waiting.isEmpty():
+        first = waiting.groupBy(*SEAT4).agg(F.min("_at").alias("_first"))
+        ready = (waiting.join(first, SEAT4).where(F.col("_first") == F.col("_at"))
+                 .groupBy("cart_id", "n_seats").agg(F.count(F.lit(1)).alias("_m")).where("_m = n_seats"))
+        won = cut_lineage(ready.select("cart_id"))
+        accepted.append(won)
+        taken = waiting.join(won, "cart_id", "left_semi").select(*SEAT4)
+        out = waiting.join(taken, SEAT4, "left_semi").select("cart_id").distinct()
+        waiting = cut_lineage(waiting.join(out, "cart_id", "left_anti"))
+    if not accepted:
+        return every.withColumn("accepted", F.lit(False))
+    yes = functools.reduce(DataFrame.union, accepted).withColumn("accepted", F.lit(True))
+    return every.join(yes, "cart_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))) \
+        .select("cart_id", "request_ts", "order_id", "valid", "n_seats", "accepted")
 
 
 # ---- D-11 ----------------------------------------------------------------------------------
@@ -150,10 +146,9 @@ def order_create(t: Airline, accepted: DataFrame, as_of: Column) -> tuple[DataFr
     tk = t.ticket.select(*SEAT5, "Price")
     lines = accepted.join(tk, SEAT4, "inner")
     carts = lines.groupBy("cart_id", "request_ts", "order_id").agg(
-        F.sum("Price").alias("total"), F.first("email", ignorenulls=True).alias("email"))
+        F.sum("Price").alias("total"), F.min("email").alias("email"))
     base = t.booking.select(F.coalesce(F.max("ID"), F.lit(0)).cast("long")).scalar()
-    carts = dense_index(carts, [F.col("request_ts"), F.col("order_id"), F.col("cart_id")],
-                        F.to_date("request_ts"), "idx").withColumn("ID", base + F.col("idx"))
+    carts = dense_index(carts, [F.col("request_ts"), F.col("order_id"), F.col("cart_id")]).withColumn("ID", base + F.col("idx"))
     is_member = carts.join(t.member.select(F.col("Email").alias("email")), "email", "left_semi") \
                      .select("cart_id").withColumn("_m", F.lit(True))
     c = carts.join(is_member, "cart_id", "left")
@@ -178,7 +173,7 @@ def order_cancel(t: Airline, requests: DataFrame, as_of: Column) -> tuple[DataFr
     Outcome reason, first failing wins: not found → not owner (member e-mail must equal the
     order's member e-mail, or the guest e-mail its guest e-mail; NULL never matches) → no
     tickets → less than 36 h before the earliest departure of the order → not active (also
-    for a second request on an order already cancelled in this batch). An accepted order
+    when an earlier request of this batch has cancelled the order; refused requests change nothing). An accepted order
     becomes ``Customer Cancellation`` with ``Total_price`` = its stored fee (5 % of the total
     when the fee is ≤ 0); each of its seats becomes available iff no *other* Active link
     remains after the whole batch. → (booking, ticket, outcomes)
@@ -192,15 +187,15 @@ def order_cancel(t: Airline, requests: DataFrame, as_of: Column) -> tuple[DataFr
     owner = (F.coalesce(F.col("MEMBER_Email") == F.col("req_member"), F.lit(False))
              | F.coalesce((F.trim(F.coalesce("req_guest", F.lit(""))) != "")
                           & (F.col("GUEST_Email") == F.col("req_guest")), F.lit(False)))
-    first = F.row_number().over(Window.partitionBy("order_id").orderBy("request_ts", "req_member", "req_guest"))
-    r = r.withColumn("_rank", first)
     reason = (F.when(F.col("Status").isNull(), "not found")
                .when(~owner, "not owner")
                .when(F.col("_first_dep").isNull(), "no tickets")
                .when(X.hours_until("_first_dep", as_of) < X.CANCEL_MIN_HOURS, "too late")
-               .when((F.col("Status") != "Active") | (F.col("_rank") > 1), "not active")
+               .when(F.col("Status") != "Active", "not active")
                .otherwise("ok"))
-    outcomes = r.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok")
+    r = r.withColumn("_alone", reason)  # the request by itself
+    first = F.row_number().over(Window.partitionBy("order_id", "_alone").orderBy("request_ts", "req_member", "req_guest"))
+    outcomes = r.withColumn("reason", F.when((F.col("_alone") == "ok") & (first > 1), "not active").otherwise(F.col("_alone"))).withColumn("accepted", F.col("reason") == "ok")
     ok = outcomes.where("accepted").select(F.col("order_id").alias("ID")).distinct().withColumn("_c", F.lit(True))
     fee = F.when(F.coalesce(F.col("Cancellation_fee"), F.lit(0.0)) > 0, F.col("Cancellation_fee")) \
            .otherwise(X.cancel_fee(F.coalesce(F.col("Total_price"), F.lit(0.0))))
@@ -250,17 +245,28 @@ def flight_cancel(t: Airline, requests: DataFrame, as_of: Column) -> tuple[DataF
 
 # ---- D-14 … D-16 ---------------------------------------------------------------------------
 
+def _seat_reason() -> Column:
+    """Why a class row has no seats; NULL when it has."""
+    bad = F.coalesce((F.col("Number_of_rows") < 1) | (F.col("Number_of_columns") < 1), F.lit(True))
+    return (F.when(F.coalesce(F.col("Number_of_columns") > MAX_COLUMNS, F.lit(False)), "too many columns")
+             .when(bad, "no rows or columns"))
+
+
 def seat_generate(classes: DataFrame) -> DataFrame:
     """Seats of each class row ``(Airplane_ID, Type, Number_of_rows, Number_of_columns)``:
-    rows × columns with letters A…; classes with more than 26 columns produce no seats."""
-    ok = classes.where((F.col("Number_of_columns") >= 1) & (F.col("Number_of_columns") <= MAX_COLUMNS)
-                       & (F.col("Number_of_rows") >= 1))
-    return (ok.withColumn("Row_num", F.explode(F.sequence(F.lit(1), F.col("Number_of_rows"))))
+    rows × columns with letters A…; the other class rows are :func:`seat_rejected`."""
+    return (classes.where(_seat_reason().isNull())
+            .withColumn("Row_num", F.explode(F.sequence(F.lit(1), F.col("Number_of_rows"))))
             .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("Number_of_columns"))))
             .select(F.col("Type").alias("Class_Type"), "Airplane_ID", "Row_num",
                     X.col_letter(F.col("_c")).alias("Column_number")))
 
 
+def seat_rejected(classes: DataFrame) -> DataFrame:
+    """Class rows without seats, with the ``reason``."""
+    return classes.withColumn("reason", _seat_reason()).where(F.col("reason").isNotNull())
+
+
 def ticket_generate(flights: DataFrame, seat: DataFrame) -> DataFrame:
     """One ticket per seat of each new flight ``(Flight_ID, Airplane_ID, price_regular,
     price_first)``; First falls back to the Regular price; all available."""
@@ -273,12 +279,16 @@ def ticket_generate(flights: DataFrame, seat: DataFrame) -> DataFrame:
 
 def flight_plan(t: Airline, requests: DataFrame) -> DataFrame:
     """New-flight requests ``(dep_ts, Origin_airport, Arrival_airport, Airplane_ID)`` → type,
-    arrival instant and the next ids ``F#####`` (max numeric suffix + request order).
-    Requests on a route that does not exist are dropped."""
-    r = requests.join(F.broadcast(t.flight_route), ["Origin_airport", "Arrival_airport"], "inner")
+    arrival instant and the next ids ``F#####`` (max numeric suffix + request order), ``reason`` ``ok``.
+    Requests on a route that does not exist come back without id, arrival and type, ``reason`` ``no such route``."""
+    keys = ["Origin_airport", "Arrival_airport"]
+    known = requests.join(t.flight_route, keys)
     base = t.flight.select(F.coalesce(F.max(X.flight_no("ID")), F.lit(0)).cast("long")).scalar()
-    r = dense_index(r, [F.col("dep_ts"), F.col("Origin_airport"), F.col("Arrival_airport"), F.col("Airplane_ID")],
-                    F.to_date("dep_ts"), "idx")
-    return r.select(X.flight_code(base + F.col("idx")).alias("ID"), "dep_ts",
-                    X.add_minutes("dep_ts", "Flight_duration").alias("arr_ts"), F.lit("Active").alias("Status"),
-                    X.flight_type("Flight_duration").alias("Type"), "Airplane_ID", "Origin_airport", "Arrival_airport")
+    r = dense_index(known, [F.col("dep_ts"), F.col("Origin_airport"), F.col("Arrival_airport"), F.col("Airplane_ID")])
+    planned = r.select(X.flight_code(base + F.col("idx")).alias("ID"), "dep_ts",
+                       X.add_minutes("dep_ts", "Flight_duration").alias("arr_ts"), F.lit("Active").alias("Status"),
+                       X.flight_type("Flight_duration").alias("Type"), "Airplane_ID", *keys, F.lit("ok").alias("reason"))
+    refused = requests.join(t.flight_route, keys, "left_anti").select(
+        F.lit(None).cast("string").alias("ID"), "dep_ts", F.lit(None).cast("timestamp_ntz").alias("arr_ts"), F.lit(None).cast("string").alias("Status"),
+        F.lit(None).cast("string").alias("Type"), "Airplane_ID", *keys, F.lit("no such route").alias("reason"))
+    return planned.unionByName(refused)

@@ -140,8 +140,8 @@ def validate_people(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
     req = ["email", "first", "last", "passport", "dob", "phone"]
     missing = functools.reduce(lambda a, b: a | b, [F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in req])
     dob = F.try_to_timestamp(F.trim("dob"), F.lit("yyyy-MM-dd")).cast("date")
-    members = t.member.select(F.lower(F.trim("Email")).alias("_e")).distinct().withColumn("_member", F.lit(True))
-    r = rows.withColumn("_e", F.lower(F.trim("email"))).join(members, "_e", "left")
+    members = t.member.select(F.col("Email").alias("_e")).distinct().withColumn("_member", F.lit(True))
+    r = rows.withColumn("_e", F.trim("email")).join(members, "_e", "left")
     reason = (F.when(missing, "missing field")
                .when(~X.is_english_name("first"), "first name not English")
                .when(~X.is_english_name("last"), "last name not English")
@@ -154,25 +154,27 @@ def validate_people(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
 
 def validate_aircraft(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
     """V-06: aircraft configuration rows (all text: airplane_id, purchase_date, manufacturer,
-    size, reg_rows, reg_cols, first_rows, first_cols) → first failing reason."""
-    def num(c):
-        return X.positive_int(c)
-    has_first = (F.trim(F.coalesce("first_rows", F.lit(""))) != "") | (F.trim(F.coalesce("first_cols", F.lit(""))) != "")
-    pdate = F.try_to_timestamp(F.trim("purchase_date"), F.lit("yyyy-MM-dd")).cast("date")
-    known = t.airplane.select(F.col("ID").alias("_id")).withColumn("_known", F.lit(True))
-    r = rows.withColumn("_id", num("airplane_id")).join(known, "_id", "left")
-    reason = (F.when(F.col("_id").isNull() | num("reg_rows").isNull() | num("reg_cols").isNull(), "not numeric")
-               .when(has_first & (num("first_rows").isNull() | num("first_cols").isNull()), "not numeric")
-               .when(~_in("manufacturer", MANUFACTURERS), "bad manufacturer")
-               .when(~_in("size", SIZES), "bad size")
-               .when((num("reg_cols") > 26) | F.coalesce(num("first_cols") > 26, F.lit(False)), "too many columns")
-               .when((F.col("size") == "Big") & ~has_first, "Big needs First")
-               .when((F.col("size") == "Small") & has_first, "Small has no First")
-               .when(pdate.isNull(), "bad date")
-               .when(pdate > F.to_date(as_of), "date in the future")
+    size, reg_rows, reg_cols, first_rows, first_cols) → first failing reason: missing field, bad
+    date, date in the future, not numeric, too many columns, not positive, Big needs First, id
+    exists; ``ok`` otherwise. First rows and columns of a Small aircraft don't count."""
+    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("long"))
+    required = ["airplane_id", "purchase_date", "manufacturer", "size", "reg_rows", "reg_cols"]
+    bought = F.try_to_timestamp(F.trim("purchase_date"), F.lit("yyyy-MM-dd")).cast("date")
+    whole = {c: number(c) for c in ("airplane_id", "reg_rows", "reg_cols", "first_rows", "first_cols")}
+    any_of = lambda conds: functools.reduce(lambda a, b: a | b, conds)
+    no_first = any_of([F.coalesce(whole[c], F.lit(0)) <= 0 for c in ("first_rows", "first_cols")])
+    known = t.airplane.select(F.col("ID").cast("long").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    reason = (F.when(any_of([~given(c) for c in required]), "missing field")
+               .when(bought.isNull(), "bad date")
+               .when(bought > F.to_date(as_of), "date in the future")
+               .when(any_of([given(c) & whole[c].isNull() for c in whole]), "not numeric")
+               .when(any_of([F.coalesce(whole[c], F.lit(0)) > 26 for c in ("reg_cols", "first_cols")]), "too many columns")
+               .when(any_of([whole[c] <= 0 for c in ("airplane_id", "reg_rows", "reg_cols")]), "not positive")
+               .when((F.trim("size") != "Small") & no_first, "Big needs First")
                .when(F.col("_known").isNotNull(), "id exists")
                .otherwise("ok"))
-    return r.select(*rows.columns, reason.alias("reason"))
+    return rows.withColumn("_id", whole["airplane_id"]).join(known, "_id", "left").select(*rows.columns, reason.alias("reason"))
 
 
 def check_seat_state(t: Airline) -> DataFrame:

@@ -76,29 +76,77 @@ def _d09(t):
         "Airplane_ID", "Price", "reason", "accepted")
 
 
-@query("cart_admission")
+def rebook_carts(t):
+    """Carts by order and flight, with the instant of each seat's row an hour later than the one before it in row order."""
+    return rebook_requests(t).withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), "Flight_ID")) \
+        .withColumn("request_ts", F.timestamp_add("HOUR", F.col("SEAT_Row_num"), F.col("request_ts")))
+
+
+# the carts are folded one after another, in order, over the list of taken seats
+CARTS = f"""
+{REBOOK},
+seat_row AS (SELECT DISTINCT CAST(order_id AS VARCHAR) || '|' || Flight_ID AS cart_id, order_id, email, request_ts + INTERVAL '1' HOUR * CAST(SEAT_Row_num AS INT) AS ts,
+                    concat_ws('|', Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number) AS seat, pre IS NULL AS fine FROM p),
+cart AS (SELECT cart_id, min(ts) AS request_ts, min(order_id) AS order_id, min(email) AS email, list(DISTINCT seat) AS seats, bool_and(fine) AS valid FROM seat_row GROUP BY 1),
+line AS (SELECT *, row_number() OVER (ORDER BY request_ts, order_id, cart_id) AS n FROM cart WHERE valid),
+fold(n, cart_id, accepted, taken) AS (
+  SELECT CAST(0 AS BIGINT), '', false, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT l.n, l.cart_id, NOT list_has_any(f.taken, l.seats), CASE WHEN list_has_any(f.taken, l.seats) THEN f.taken ELSE list_concat(f.taken, l.seats) END
+  FROM fold f JOIN line l ON l.n = f.n + 1),
+decided AS (SELECT c.cart_id, c.request_ts, c.order_id, c.email, c.valid, CAST(len(c.seats) AS BIGINT) AS n_seats, coalesce(f.accepted, false) AS accepted, c.seats
+            FROM cart c LEFT JOIN fold f ON f.cart_id = c.cart_id)"""
+
+
+@query("cart_admission", f"WITH RECURSIVE {CARTS} SELECT cart_id, request_ts, order_id, valid, n_seats, accepted FROM decided")
 def _d10(t):
-    carts = rebook_requests(t).withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), "Flight_ID"))
-    return B.cart_admission(t, carts)
+    return B.cart_admission(t, rebook_carts(t))
+
+
+NEW_ORDERS = f"""
+{CARTS},
+sold AS (SELECT d.cart_id, d.request_ts, d.order_id, d.email, t.* FROM decided d, unnest(d.seats) u(seat)
+         JOIN ticket t ON concat_ws('|', t.Flight_ID, t.CLASS_Type, t.SEAT_Row_num, t.SEAT_Column_number) = u.seat WHERE d.accepted),
+paid AS (SELECT cart_id, request_ts, order_id, email, SUM(Price) AS total FROM sold GROUP BY 1, 2, 3, 4),
+num AS (SELECT *, CAST((SELECT COALESCE(MAX(ID), 0) FROM booking) + ROW_NUMBER() OVER (ORDER BY request_ts, order_id, cart_id) AS BIGINT) AS ID FROM paid)"""
+
+
+def _new_orders(t):
+    carts = rebook_carts(t)
+    won = B.cart_admission(t, carts).where("accepted").select("cart_id", F.col("request_ts").alias("_ts"), F.col("order_id").alias("_order"))
+    lines = carts.join(won, "cart_id").select("cart_id", F.col("_ts").alias("request_ts"), F.col("_order").alias("order_id"), "email", *B.SEAT4).distinct()
+    return B.order_create(t, lines, asof())
 
 
 @query("order_create", f"""
-WITH {REBOOK},
-acc AS (SELECT *, CAST(order_id AS VARCHAR) || '|' || Flight_ID AS cart_id FROM adm WHERE reason = 'ok'),
-carts AS (SELECT cart_id, request_ts, order_id, SUM(Price) AS total, MIN(email) AS email FROM acc GROUP BY 1, 2, 3),
-num AS (SELECT *, (SELECT COALESCE(MAX(ID), 0) FROM booking)
-                  + ROW_NUMBER() OVER (ORDER BY request_ts, order_id, cart_id) AS ID FROM carts)
-SELECT CAST(ID AS BIGINT) AS ID, 'Active' AS Status, {hu('total')} AS Total_price, CAST({TS} AS DATE) AS Date_of_purchase,
+WITH RECURSIVE {NEW_ORDERS}
+SELECT ID, 'Active' AS Status, {hu('total')} AS Total_price, CAST({TS} AS DATE) AS Date_of_purchase,
        floor({hu('total')} * 5.0 + 0.5) / 100.0 AS Cancellation_fee,
        CASE WHEN email NOT IN (SELECT Email FROM member) THEN email END AS GUEST_Email,
        CASE WHEN email IN (SELECT Email FROM member) THEN email END AS MEMBER_Email
 FROM num
 """)
 def _d11(t):
-    adm = B.seat_admission(t, rebook_requests(t)).where("accepted")
-    acc = adm.withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), "Flight_ID"))
-    booking_new, _, _ = B.order_create(t, acc.select("cart_id", "request_ts", "order_id", "email", *B.SEAT4), asof())
-    return booking_new
+    return _new_orders(t)[0]
+
+
+@query("order_create_links", f"""
+WITH RECURSIVE {NEW_ORDERS}
+SELECT s.Airplane_ID, s.Flight_ID, s.SEAT_Row_num, s.SEAT_Column_number, s.CLASS_Type, n.ID AS Order_ID FROM sold s JOIN num n USING (cart_id)
+""")
+def _d11l(t):
+    return _new_orders(t)[1]
+
+
+@query("order_create_ticket", f"""
+WITH RECURSIVE {NEW_ORDERS}
+SELECT Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number,
+       CASE WHEN concat_ws('|', Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number)
+                 IN (SELECT concat_ws('|', Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number) FROM sold) THEN 0 ELSE Availability END AS Availability
+FROM ticket
+""")
+def _d11t(t):
+    return _new_orders(t)[2].select("Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Availability")
 
 
 CANCEL_REQ = f"""
@@ -128,6 +176,23 @@ def _d12(t):
     return out
 
 
+@query("order_cancel_repeats", f"""
+WITH {CANCEL_REQ.replace('reqs AS', 'owners AS').replace('FROM reqs q', 'FROM owners q')},
+times(k, who) AS (VALUES (0, 'stranger'), (1, 'owner'), (2, 'owner'), (3, 'stranger'))
+SELECT o.request_ts + INTERVAL '1' MINUTE * k AS request_ts, o.order_id, CASE WHEN who = 'owner' THEN o.req_member ELSE 'stranger@example.com' END AS req_member,
+       CASE WHEN who = 'owner' THEN o.req_guest END AS req_guest,
+       CASE WHEN who = 'stranger' THEN 'not owner' WHEN k = 2 AND o.reason = 'ok' THEN 'not active' ELSE o.reason END AS reason,
+       who = 'owner' AND k = 1 AND o.reason = 'ok' AS accepted
+FROM outc o, times
+""")
+def _d12r(t):
+    """A stranger asks before and after the owner, who asks twice."""
+    own = cancel_requests(t)
+    at = lambda df, k: df.withColumn("request_ts", F.timestamp_add("MINUTE", F.lit(k), F.col("request_ts")))
+    other = own.withColumn("req_member", F.lit("stranger@example.com")).withColumn("req_guest", F.lit(None).cast("string"))
+    return B.order_cancel(t, at(other, 0).unionByName(at(own, 1)).unionByName(at(own, 2)).unionByName(at(other, 3)), asof())[2]
+
+
 @query("order_cancel_booking", f"""
 WITH {CANCEL_REQ}
 SELECT b.ID, CASE WHEN o.reason = 'ok' THEN 'Customer Cancellation' ELSE b.Status END AS Status,
@@ -216,6 +281,23 @@ def _d14(t):
     return B.seat_generate(t.klass)
 
 
+def bad_classes(t):
+    """The classes, some with 36 columns, some without rows or with unknown ones."""
+    k = F.col("Airplane_ID") % 5
+    return (t.klass.withColumn("Number_of_columns", F.when(k == 0, F.col("Number_of_columns") * 9).otherwise(F.col("Number_of_columns")).cast("int"))
+            .withColumn("Number_of_rows", F.when(k == 1, F.lit(0)).when(k == 2, F.lit(None)).otherwise(F.col("Number_of_rows")).cast("int")))
+
+
+@query("seat_rejected", """
+WITH c AS (SELECT Type, Airplane_ID, CAST(CASE Airplane_ID % 5 WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE Number_of_rows END AS INT) AS Number_of_rows,
+                  CAST(CASE WHEN Airplane_ID % 5 = 0 THEN Number_of_columns * 9 ELSE Number_of_columns END AS INT) AS Number_of_columns FROM class)
+SELECT Type, Airplane_ID, Number_of_rows, Number_of_columns, CASE WHEN Airplane_ID % 5 = 0 THEN 'too many columns' ELSE 'no rows or columns' END AS reason
+FROM c WHERE Airplane_ID % 5 < 3
+""")
+def _d14r(t):
+    return B.seat_rejected(bad_classes(t)).select("Type", "Airplane_ID", "Number_of_rows", "Number_of_columns", "reason")
+
+
 @query("ticket_generate", """
 WITH nf AS (SELECT Flight_ID, Airplane_ID, MIN(CASE WHEN CLASS_Type = 'Regular' THEN Price END) AS price_regular,
                    MIN(CASE WHEN CLASS_Type = 'First' THEN Price END) AS price_first FROM ticket GROUP BY 1, 2)
@@ -231,16 +313,19 @@ def _d15(t):
 
 
 @query("flight_plan", """
-WITH reqs AS (SELECT dep_ts + INTERVAL 7 DAY AS dep_ts, Origin_airport, Arrival_airport, Airplane_ID FROM flight),
-j AS (SELECT q.*, r.Flight_duration FROM reqs q JOIN flight_route r
-        ON r.Origin_airport = q.Origin_airport AND r.Arrival_airport = q.Arrival_airport),
-n AS (SELECT *, (SELECT COALESCE(MAX(COALESCE(TRY_CAST(substr(ID, 2) AS BIGINT), 0)), 0) FROM flight)
-               + ROW_NUMBER() OVER (ORDER BY dep_ts, Origin_airport, Arrival_airport, Airplane_ID) AS k FROM j)
-SELECT printf('F%05d', k) AS ID, dep_ts, dep_ts + INTERVAL '1' MINUTE * Flight_duration AS arr_ts, 'Active' AS Status,
-       CASE WHEN Flight_duration > 360 THEN 'Long' ELSE 'Short' END AS Type, Airplane_ID, Origin_airport, Arrival_airport
-FROM n
+WITH reqs AS (SELECT dep_ts + INTERVAL 7 DAY AS dep_ts, Origin_airport,
+                     CASE WHEN Airplane_ID % 10 = 3 THEN 'NOWHERE' ELSE Arrival_airport END AS Arrival_airport, Airplane_ID FROM flight),
+known AS (SELECT q.*, r.Flight_duration AS minutes FROM reqs q LEFT JOIN flight_route r
+          ON r.Origin_airport = q.Origin_airport AND r.Arrival_airport = q.Arrival_airport),
+last AS (SELECT COALESCE(MAX(TRY_CAST(regexp_extract(ID, '^F([0-9]+)', 1) AS BIGINT)), 0) AS n FROM flight),
+numbered AS (SELECT k.*, last.n + ROW_NUMBER() OVER (ORDER BY dep_ts, Origin_airport, Arrival_airport, Airplane_ID) AS k FROM known k, last WHERE minutes IS NOT NULL)
+SELECT printf('F%05d', k) AS ID, dep_ts, dep_ts + INTERVAL '1' MINUTE * minutes AS arr_ts, 'Active' AS Status,
+       CASE WHEN minutes > 360 THEN 'Long' ELSE 'Short' END AS Type, Airplane_ID, Origin_airport, Arrival_airport, 'ok' AS reason FROM numbered
+UNION ALL
+SELECT NULL, dep_ts, NULL, NULL, NULL, Airplane_ID, Origin_airport, Arrival_airport, 'no such route' FROM known WHERE minutes IS NULL
 """)
 def _d16(t):
+    to = F.when(F.col("Airplane_ID") % 10 == 3, F.lit("NOWHERE")).otherwise(F.col("Arrival_airport"))
     req = t.flight.select(F.timestamp_add("DAY", F.lit(7), F.col("dep_ts")).alias("dep_ts"), "Origin_airport",
-                          "Arrival_airport", "Airplane_ID")
+                          to.alias("Arrival_airport"), "Airplane_ID")
     return B.flight_plan(t, req)

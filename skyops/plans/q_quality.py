@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from skyops.operators import quality as Q
@@ -111,7 +113,7 @@ WITH rows AS (
          '05' || CAST(c_custkey AS VARCHAR) AS phone
   FROM customer),
 p AS (SELECT r.*, TRY_CAST(try_strptime(trim(dob), '%Y-%m-%d') AS DATE) AS d,
-             lower(trim(email)) IN (SELECT lower(trim(Email)) FROM member) AS is_member FROM rows r)
+             trim(email) IN (SELECT Email FROM member) AS is_member FROM rows r)
 SELECT email, first, last, passport, dob, phone,
   CASE WHEN trim(COALESCE(email, '')) = '' OR trim(COALESCE(first, '')) = '' OR trim(COALESCE(last, '')) = ''
             OR trim(COALESCE(passport, '')) = '' OR trim(COALESCE(dob, '')) = '' OR trim(COALESCE(phone, '')) = ''
@@ -129,51 +131,52 @@ def _v05(t):
 
 
 def aircraft_rows(t):
+    """Configurations derived from the suppliers; by remainder each fails another check."""
     s = t.raw("supplier")
-    big = F.col("s_suppkey") % 2 == 0
-    withf = F.col("s_suppkey") % 4 == 0
+    k = F.col("s_suppkey") % 14
+    new_id = (F.col("s_suppkey") + 10_000_000).cast("string")
+    pick = lambda cases, other: functools.reduce(lambda c, x: c.when(k == x[0], F.lit(x[1])), cases[1:], F.when(k == cases[0][0], F.lit(cases[0][1]))).otherwise(other)
     return s.select(
-        (F.col("s_suppkey") * 2).cast("string").alias("airplane_id"),
-        F.when(F.col("s_suppkey") % 7 == 0, F.lit("2030-01-01")).otherwise(F.lit("1990-01-01")).alias("purchase_date"),
-        F.when(F.col("s_nationkey") % 3 == 0, "Boeing").when(F.col("s_nationkey") % 3 == 1, "Airbus")
-         .otherwise("Dassault").alias("manufacturer"),
-        F.when(big, "Big").otherwise("Small").alias("size"),
-        F.lit("7").alias("reg_rows"), (F.lit(6) + F.col("s_suppkey") % 25).cast("string").alias("reg_cols"),
-        F.when(withf, F.lit("2")).otherwise(F.lit("")).alias("first_rows"),
-        F.when(withf, F.lit("4")).otherwise(F.lit("")).alias("first_cols"))
+        F.when(k == 6, F.concat(F.lit("-"), new_id)).when(k.isin(8, 9), F.col("s_suppkey").cast("string")).when(k == 13, F.lit("1x")).otherwise(new_id).alias("airplane_id"),
+        pick([(1, "1990-13-40"), (2, "2030-01-01"), (12, " ")], F.lit("1990-01-01")).alias("purchase_date"),
+        pick([(0, None)], F.lit("Boeing")).alias("manufacturer"),
+        pick([(3, "Small"), (10, "Small"), (11, "Small")], F.lit("Big")).alias("size"),
+        pick([(4, "seven"), (11, "0")], F.lit(" 7 ")).alias("reg_rows"),
+        pick([(5, "27")], F.lit("6")).alias("reg_cols"),
+        pick([(7, ""), (9, "0")], F.lit("2")).alias("first_rows"),
+        pick([(3, "2.5"), (7, "4"), (10, None)], F.lit("4")).alias("first_cols"))
 
 
-def _pos(c):
-    return (f"(CASE WHEN regexp_full_match(trim({c}), '[0-9]+') AND TRY_CAST(trim({c}) AS BIGINT) > 0 "
-            f"THEN TRY_CAST(trim({c}) AS BIGINT) END)")
+def _whole(c):
+    return f"CASE WHEN regexp_full_match(trim({c}), '[+-]?[0-9]+') THEN TRY_CAST(trim({c}) AS BIGINT) END"
 
 
+# remainder of the supplier key -> what the row of aircraft_rows is refused for
 @query("validate_aircraft", f"""
-WITH rows AS (
-  SELECT CAST(s_suppkey * 2 AS VARCHAR) AS airplane_id,
-         CASE WHEN s_suppkey % 7 = 0 THEN '2030-01-01' ELSE '1990-01-01' END AS purchase_date,
-         CASE s_nationkey % 3 WHEN 0 THEN 'Boeing' WHEN 1 THEN 'Airbus' ELSE 'Dassault' END AS manufacturer,
-         CASE WHEN s_suppkey % 2 = 0 THEN 'Big' ELSE 'Small' END AS size, '7' AS reg_rows,
-         CAST(6 + s_suppkey % 25 AS VARCHAR) AS reg_cols,
-         CASE WHEN s_suppkey % 4 = 0 THEN '2' ELSE '' END AS first_rows,
-         CASE WHEN s_suppkey % 4 = 0 THEN '4' ELSE '' END AS first_cols
-  FROM supplier),
-p AS (SELECT r.*, trim(COALESCE(first_rows, '')) <> '' OR trim(COALESCE(first_cols, '')) <> '' AS has_first,
-             TRY_CAST(try_strptime(trim(purchase_date), '%Y-%m-%d') AS DATE) AS pd,
-             {_pos('airplane_id')} IN (SELECT ID FROM airplane) AS known FROM rows r)
-SELECT airplane_id, purchase_date, manufacturer, size, reg_rows, reg_cols, first_rows, first_cols,
-  CASE WHEN {_pos('airplane_id')} IS NULL OR {_pos('reg_rows')} IS NULL OR {_pos('reg_cols')} IS NULL THEN 'not numeric'
-       WHEN has_first AND ({_pos('first_rows')} IS NULL OR {_pos('first_cols')} IS NULL) THEN 'not numeric'
-       WHEN NOT COALESCE(manufacturer IN ('Boeing', 'Airbus', 'Dassault'), false) THEN 'bad manufacturer'
-       WHEN NOT COALESCE(size IN ('Big', 'Small'), false) THEN 'bad size'
-       WHEN {_pos('reg_cols')} > 26 OR COALESCE({_pos('first_cols')} > 26, false) THEN 'too many columns'
-       WHEN size = 'Big' AND NOT has_first THEN 'Big needs First'
-       WHEN size = 'Small' AND has_first THEN 'Small has no First'
-       WHEN pd IS NULL THEN 'bad date'
-       WHEN pd > CAST({TS} AS DATE) THEN 'date in the future'
-       WHEN COALESCE(known, false) THEN 'id exists'
-       ELSE 'ok' END AS reason
-FROM p
+WITH k AS (SELECT s_suppkey AS key, s_suppkey % 14 AS k, CAST(s_suppkey + 10000000 AS VARCHAR) AS fresh FROM supplier),
+rows AS (
+  SELECT CASE k WHEN 6 THEN '-' || fresh WHEN 8 THEN CAST(key AS VARCHAR) WHEN 9 THEN CAST(key AS VARCHAR) WHEN 13 THEN '1x' ELSE fresh END AS airplane_id,
+         CASE k WHEN 1 THEN '1990-13-40' WHEN 2 THEN '2030-01-01' WHEN 12 THEN ' ' ELSE '1990-01-01' END AS purchase_date,
+         CASE k WHEN 0 THEN NULL ELSE 'Boeing' END AS manufacturer, CASE WHEN k IN (3, 10, 11) THEN 'Small' ELSE 'Big' END AS size,
+         CASE k WHEN 4 THEN 'seven' WHEN 11 THEN '0' ELSE ' 7 ' END AS reg_rows, CASE k WHEN 5 THEN '27' ELSE '6' END AS reg_cols,
+         CASE k WHEN 7 THEN '' WHEN 9 THEN '0' ELSE '2' END AS first_rows, CASE k WHEN 3 THEN '2.5' WHEN 10 THEN NULL ELSE '4' END AS first_cols
+  FROM k),
+n AS (SELECT *, {_whole('airplane_id')} AS id, {_whole('reg_rows')} AS rr, {_whole('reg_cols')} AS rc, {_whole('first_rows')} AS fr, {_whole('first_cols')} AS fc,
+             TRY_CAST(try_strptime(trim(purchase_date), '%Y-%m-%d') AS DATE) AS day FROM rows),
+-- every rule with its rank; the lowest rank that applies is the answer
+broken AS (
+  SELECT airplane_id, purchase_date, manufacturer, size, reg_rows, reg_cols, first_rows, first_cols,
+    list_filter([
+      CASE WHEN list_bool_or([coalesce(trim(x), '') = '' FOR x IN [airplane_id, purchase_date, manufacturer, size, reg_rows, reg_cols]]) THEN 'missing field' END,
+      CASE WHEN day IS NULL THEN 'bad date' END,
+      CASE WHEN day > CAST({TS} AS DATE) THEN 'date in the future' END,
+      CASE WHEN id IS NULL OR rr IS NULL OR rc IS NULL OR (trim(first_rows) <> '' AND fr IS NULL) OR (trim(first_cols) <> '' AND fc IS NULL) THEN 'not numeric' END,
+      CASE WHEN greatest(rc, coalesce(fc, 0)) > 26 THEN 'too many columns' END,
+      CASE WHEN least(id, rr, rc) <= 0 THEN 'not positive' END,
+      CASE WHEN size <> 'Small' AND least(coalesce(fr, 0), coalesce(fc, 0)) <= 0 THEN 'Big needs First' END,
+      CASE WHEN id IN (SELECT ID FROM airplane) THEN 'id exists' END, 'ok'], lambda r: r IS NOT NULL)[1] AS reason
+  FROM n)
+SELECT * FROM broken
 """)
 def _v06(t):
     return Q.validate_aircraft(aircraft_rows(t), t, asof())

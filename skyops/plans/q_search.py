@@ -6,17 +6,14 @@ from pyspark.sql import functions as F
 
 from skyops.plans import search as S
 from skyops.plans.catalog import AS_OF, asof, query
+from skyops.plans.q_reports import SOLD
 
 TS = f"TIMESTAMP '{AS_OF}'"
 
-STATS = """
-SELECT f.*, a.Manufacturer, a.Size,
-  (SELECT MIN(Price) FROM ticket t WHERE t.Flight_ID = f.ID AND t.CLASS_Type = 'Regular') AS price_regular,
-  (SELECT MIN(Price) FROM ticket t WHERE t.Flight_ID = f.ID AND t.CLASS_Type = 'First') AS price_first,
-  (SELECT COUNT(*) FROM ticket t WHERE t.Flight_ID = f.ID) AS total_tickets,
-  (SELECT COUNT(*) FROM ticket t WHERE t.Flight_ID = f.ID AND t.Availability = 1) AS available_tickets
-FROM flight f JOIN airplane a ON a.ID = f.Airplane_ID
-WHERE f.Status IN ('Active', 'Full') AND f.dep_ts >= {ts}{extra}"""
+STATS = f"""
+SELECT f.*, a.Manufacturer, a.Size, price_regular, price_first, coalesce(total_tickets, 0) AS total_tickets, coalesce(available_tickets, 0) AS available_tickets
+FROM (WITH {SOLD} SELECT * FROM sold) s RIGHT JOIN flight f ON s.Flight_ID = f.ID JOIN airplane a ON a.ID = f.Airplane_ID
+WHERE f.Status IN ('Active', 'Full') AND f.dep_ts >= {{ts}}{{extra}}"""
 
 COLS = ["ID", "dep_ts", "arr_ts", "Status", "Type", "Airplane_ID", "Origin_airport", "Arrival_airport", "Manufacturer",
         "Size", "price_regular", "price_first", "total_tickets", "available_tickets"]
@@ -97,18 +94,14 @@ WITH lines AS (
   JOIN ticket t ON t.Airplane_ID = x.Airplane_ID AND t.Flight_ID = x.Flight_ID AND t.SEAT_Row_num = x.SEAT_Row_num
    AND t.SEAT_Column_number = x.SEAT_Column_number AND t.CLASS_Type = x.CLASS_Type
   JOIN flight f ON f.ID = t.Flight_ID),
-firstleg AS (
-  SELECT Order_ID, dep_ts FROM (
-    SELECT Order_ID, dep_ts, ROW_NUMBER() OVER (PARTITION BY Order_ID
-                                                ORDER BY Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number) AS rn
-    FROM lines) z WHERE rn = 1),
+firstleg AS (SELECT Order_ID, MIN(dep_ts) AS dep_ts FROM lines GROUP BY 1),
 elig AS (
   SELECT b.ID AS Order_ID, b.Status AS order_status, date_diff('microsecond', {TS}, fl.dep_ts) / 3600000000.0 AS hrs,
          fl.Order_ID IS NOT NULL AS has_lines
   FROM booking b LEFT JOIN firstleg fl ON fl.Order_ID = b.ID)
 SELECT l.*, e.order_status, COALESCE(e.order_status = 'Active' AND e.hrs >= 36, false) AS can_cancel,
-       CASE WHEN e.order_status <> 'Active' THEN 'Order is not active.'
-            WHEN e.has_lines AND e.hrs < 36 THEN 'Orders can''t be cancelled less than 36 hours before departure.' END
+       CASE WHEN e.order_status <> 'Active' THEN 'not active'
+            WHEN e.has_lines AND e.hrs < 36 THEN 'too late' END
          AS cancel_reason
 FROM lines l JOIN elig e ON e.Order_ID = l.Order_ID
 """)
@@ -130,18 +123,14 @@ def _q07(t):
     return S.order_search(t, status="Active", q="12")
 
 
-@query("flight_roster", """
-SELECT f.ID, f.dep_ts, f.Status, f.arr_ts, f.Type, f.Airplane_ID, f.Origin_airport, f.Arrival_airport, a.Size, a.Manufacturer,
-  (SELECT COUNT(*) FROM ticket t WHERE t.Flight_ID = f.ID) AS total_tickets,
-  (SELECT COUNT(*) FROM ticket t WHERE t.Flight_ID = f.ID AND t.Availability = 1) AS available_tickets,
-  string_agg(CASE WHEN c.Type = 'Pilot' THEN c.First_name || ' ' || c.Last_name || ' (#' || CAST(c.ID AS VARCHAR) || ')' END,
-             ', ' ORDER BY c.ID) AS pilots,
-  string_agg(CASE WHEN c.Type = 'Flight attendant' THEN c.First_name || ' ' || c.Last_name || ' (#' || CAST(c.ID AS VARCHAR) || ')' END,
-             ', ' ORDER BY c.ID) AS attendants
-FROM flight f JOIN airplane a ON a.ID = f.Airplane_ID
-LEFT JOIN aircrew_assignment aa ON aa.Flight_ID = f.ID
-LEFT JOIN aircrew c ON c.ID = aa.Aircrew_ID
-GROUP BY f.ID, f.dep_ts, f.Status, f.arr_ts, f.Type, f.Airplane_ID, f.Origin_airport, f.Arrival_airport, a.Size, a.Manufacturer
+@query("flight_roster", f"""
+WITH {SOLD},
+named AS (SELECT Flight_ID, c.ID, c.Type, printf('%s %s (#%d)', First_name, Last_name, CAST(c.ID AS BIGINT)) AS who FROM aircrew_assignment JOIN aircrew c ON c.ID = Aircrew_ID),
+crew AS (SELECT Flight_ID, string_agg(who, ', ' ORDER BY ID) FILTER (Type = 'Pilot') AS pilots,
+                string_agg(who, ', ' ORDER BY ID) FILTER (Type = 'Flight attendant') AS attendants FROM named GROUP BY 1)
+SELECT f.ID, dep_ts, Status, arr_ts, f.Type, f.Airplane_ID, Origin_airport, Arrival_airport, Size, Manufacturer,
+       coalesce(total_tickets, 0) AS total_tickets, coalesce(available_tickets, 0) AS available_tickets, pilots, attendants
+FROM flight f JOIN airplane a ON a.ID = f.Airplane_ID LEFT JOIN sold ON sold.Flight_ID = f.ID LEFT JOIN crew ON crew.Flight_ID = f.ID
 """)
 def _q08(t):
     return S.flight_roster(t)

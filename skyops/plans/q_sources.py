@@ -41,29 +41,36 @@ def _s07(t):
 
 
 @query("upsert", """
-WITH n AS (SELECT 'g' || CAST(c_custkey AS VARCHAR) || '@example.com' AS Email, upper(c_name) AS Last_name_in_English
-           FROM customer WHERE c_custkey % 5 = 0)
+WITH n AS (SELECT 'g' || CAST(c_custkey AS VARCHAR) || '@example.com' AS Email,
+                  CASE WHEN c_custkey % 7 <> 0 THEN upper(c_name) END AS Last_name_in_English
+           FROM customer WHERE c_custkey % 3 <> 1)
 SELECT COALESCE(g.Email, n.Email) AS Email, g.First_name_in_English,
-       COALESCE(n.Last_name_in_English, g.Last_name_in_English) AS Last_name_in_English
+       CASE WHEN n.Email IS NOT NULL THEN n.Last_name_in_English ELSE g.Last_name_in_English END AS Last_name_in_English
 FROM guest g FULL OUTER JOIN n ON n.Email = g.Email
 """)
 def _s08(t):
-    c = t.raw("customer")
-    new = c.where(F.col("c_custkey") % 5 == 0).select(
-        F.concat(F.lit("g"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("Email"),
-        F.upper("c_name").alias("Last_name_in_English"))
-    return S.upsert(t.guest, new, ["Email"], ["Last_name_in_English"])
+    # guests are the customers of remainder 0; those of remainder 2 are new. Every new row comes twice,
+    # the second, later one with another name; every seventh name is NULL
+    c = t.raw("customer").where(F.col("c_custkey") % 3 != 1)
+    email = F.concat(F.lit("g"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("Email")
+    first = c.select(email, F.lit(1).alias("seq"), F.when(F.col("c_custkey") % 7 != 0, F.upper("c_name")).alias("Last_name_in_English"))
+    second = c.select(email, F.lit(2).alias("seq"), F.col("c_name").alias("Last_name_in_English"))
+    return S.upsert(t.guest, first.unionByName(second), ["Email"], ["Last_name_in_English"], ["seq"])
 
 
 @query("conditional_update", f"""
-SELECT ID, CASE WHEN Status = 'Active' AND dep_ts < TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY THEN 'Full' ELSE Status END AS Status
-FROM flight
+SELECT ID, CASE WHEN hit THEN 'Full' ELSE Status END AS Status, CASE WHEN hit THEN dep_ts + INTERVAL 90 MINUTE ELSE dep_ts END AS dep_ts
+FROM (SELECT *, Status = 'Active' AND dep_ts < TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY AS hit FROM flight)
 """)
 def _s09(t):
     pred = (F.col("Status") == "Active") & (F.col("dep_ts") < F.timestamp_add("DAY", F.lit(30), asof()))
-    return S.update_where(t.flight, pred, {"Status": "Full"}).select("ID", "Status")
+    later = F.timestamp_add("MINUTE", F.lit(90), F.col("dep_ts"))
+    return S.update_where(t.flight, pred, {"Status": "Full", "dep_ts": later}).select("ID", "Status", "dep_ts")
 
 
-@query("json_rows")
+@query("json_rows", """
+SELECT DISTINCT '{"code":"' || f.Origin_airport || '","label":"' || coalesce(a.Label, f.Origin_airport) || '"}' AS json
+FROM flight f LEFT JOIN airport a ON a.Code = f.Origin_airport
+""")
 def _s11(t):
     return S.to_json_rows(Srch.route_origins(t), ["code", "label"])

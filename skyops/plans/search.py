@@ -143,32 +143,26 @@ def member_orders(t: Airline, email: str | None = None, status: str | None = Non
             .orderBy(F.desc("Date_of_purchase"), F.desc("ID"))
 
 
-CANCEL_TOO_LATE = "Orders can't be cancelled less than 36 hours before departure."
-NOT_ACTIVE = "Order is not active."
-
-
 def order_detail(t: Airline, as_of: Column, orders: DataFrame | None = None) -> DataFrame:
     """Q-06: ticket lines of each order with cancel eligibility.
 
-    The order's reference leg is its first line under (Flight_ID, class, row, column);
-    an Active order with lines may be cancelled when that leg departs ≥ 36 h after
-    ``as_of``.
+    As in :func:`skyops.operators.booking.order_cancel`, the earliest departure of the order's
+    legs counts: an Active order with lines may be cancelled when that is ≥ 36 h after ``as_of``.
     """
     b = t.booking if orders is None else t.booking.join(orders.select("ID"), "ID", "left_semi")
     lines = (t.ticket_order.join(b.select(F.col("ID").alias("Order_ID")), "Order_ID", "left_semi")
              .join(t.ticket, SEAT5, "inner")
              .join(t.flight.select(F.col("ID").alias("Flight_ID"), "dep_ts", "Origin_airport", "Arrival_airport",
                                    F.col("Status").alias("flight_status")), "Flight_ID", "inner"))
-    first = lines.groupBy("Order_ID").agg(F.min(F.struct("Flight_ID", "CLASS_Type", "SEAT_Row_num",
-                                                         "SEAT_Column_number", "dep_ts")).alias("f"))
+    first = lines.groupBy("Order_ID").agg(F.min("dep_ts").alias("first_dep"))
     elig = (b.select(F.col("ID").alias("Order_ID"), F.col("Status").alias("order_status"))
             .join(first, "Order_ID", "left")
-            .withColumn("hrs", X.hours_until(F.col("f.dep_ts"), as_of))
+            .withColumn("hrs", X.hours_until(F.col("first_dep"), as_of))
             .select("Order_ID", "order_status",
                     F.coalesce((F.col("order_status") == "Active") & (F.col("hrs") >= X.CANCEL_MIN_HOURS),
                                F.lit(False)).alias("can_cancel"),
-                    F.when(F.col("order_status") != "Active", F.lit(NOT_ACTIVE))
-                     .when(F.col("f").isNotNull() & (F.col("hrs") < X.CANCEL_MIN_HOURS), F.lit(CANCEL_TOO_LATE))
+                    F.when(F.col("order_status") != "Active", F.lit("not active"))
+                     .when(F.col("hrs") < X.CANCEL_MIN_HOURS, F.lit("too late"))
                      .alias("cancel_reason")))
     return (lines.join(elig, "Order_ID", "inner")
             .select("Order_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Price", "Flight_ID", "dep_ts",

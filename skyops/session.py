@@ -50,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if cur:
             return cur
     if not cur:
-        # unset (tests, local runs): a scratch directory; on a cluster the shared dir is configured
+        # unset: a scratch directory where driver and executors share the machine; a cluster has to name one
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="skyops-ckpt-", dir=os.environ.get("SKYOPS_SCRATCH", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", cur)

@@ -42,8 +42,8 @@ def ts_ntz(text: str) -> Column:
 
 
 def flight_code_of(partkey: Column) -> Column:
-    """``'F' || lpad(partkey, 7, '0')`` — fixture flight id."""
-    return F.concat(F.lit("F"), F.lpad(partkey.cast("string"), 7, "0"))
+    """``F`` and the part key, padded to seven digits and never cut — fixture flight id."""
+    return F.format_string("F%07d", partkey.cast("bigint"))
 
 
 def seat_letter(n: Column) -> Column:
@@ -123,8 +123,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Airline:
             .select(F.col("Type").alias("Class_Type"), "Airplane_ID", "Row_num",
                     seat_letter(F.col("c")).alias("Column_number")))
 
-    # all ordered pairs of distinct nations; nation is a fixed-size dimension, so the pairs are
-    # generated from its single collected array inside one task (bounded by |nation|^2)
+    # all ordered pairs of distinct nations: a cross product of the 25 rows that the nation
+    # dimension has at every scale, formed from one array
     ns = nation.agg(F.collect_list(F.struct(F.col("n_nationkey").alias("k"),
                                             F.col("n_name").alias("name"))).alias("ns"))
     route_keys = (ns.select(F.explode("ns").alias("a"), "ns")
@@ -147,7 +147,7 @@ def derive(spark: SparkSession, sf_dir: str) -> Airline:
         ((pk % 25 + 1 + F.col("p_size") % 24) % 25).cast("int").alias("a_key"),
         F.timestamp_add("MINUTE", minutes, ts_ntz(FLIGHT_EPOCH)).alias("dep_ts"),
     )
-    fb = flight_base.join(F.broadcast(route_keys), ["o_key", "a_key"], "inner")
+    fb = flight_base.join(route_keys, ["o_key", "a_key"], "inner")
     flight = fb.select(
         flight_code_of(F.col("p_partkey")).alias("ID"),
         "dep_ts",
@@ -188,9 +188,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Airline:
                                & (F.col("l_suppkey") % 6 < 4), "First")
                          .otherwise("Regular").alias("CLASS_Type"),
                         F.col("l_orderkey").alias("Order_ID"))
-                    # partition on the flight first: the DISTINCT (whose keys include Flight_ID)
-                    # then reuses this partitioning instead of shuffling on all six columns
-                    .repartition("Flight_ID")
+                    # tasks drop repeats before the shuffle, and its key has the seat and the order, so a
+                    # flight with a third of the links is spread over all tasks
                     .distinct())
 
     flight_priced = flight.select(F.col("ID").alias("Flight_ID"), "Airplane_ID", "Status", "p_retailprice")

@@ -31,7 +31,7 @@ SELECT p_partkey, p_size, p_retailprice, p_partkey % (SELECT count(*) FROM suppl
          + INTERVAL '1' MINUTE * CAST((p_partkey % 1095) * 1440 + (p_partkey % 24) * 60 + (p_partkey % 12) * 5 AS INT) AS dep_ts
 FROM part"""),
     ("flight_x", """
-SELECT 'F' || lpad(CAST(f.p_partkey AS VARCHAR(10)), 7, '0') AS ID, f.dep_ts,
+SELECT printf('F%07d', CAST(f.p_partkey AS BIGINT)) AS ID, f.dep_ts,
        f.dep_ts + INTERVAL '1' MINUTE * CAST(r.Flight_duration AS INT) AS arr_ts,
        CASE WHEN f.p_size % 10 = 0 THEN 'Canceled'
             WHEN f.dep_ts <= TIMESTAMP '2001-01-01 00:00:00' THEN 'Completed'
@@ -58,7 +58,7 @@ SELECT DISTINCT f.Airplane_ID, f.ID AS Flight_ID, l.l_linenumber AS SEAT_Row_num
        substr('ABCDEF', CAST(l.l_suppkey % 6 + 1 AS INT), 1) AS SEAT_Column_number,
        CASE WHEN f.Airplane_ID % 2 = 0 AND l.l_linenumber <= 2 AND l.l_suppkey % 6 < 4 THEN 'First' ELSE 'Regular' END AS CLASS_Type,
        l.l_orderkey AS Order_ID
-FROM lineitem l JOIN flight_x f ON f.ID = 'F' || lpad(CAST(l.l_partkey AS VARCHAR(10)), 7, '0')"""),
+FROM lineitem l JOIN flight_x f ON f.ID = printf('F%07d', CAST(l.l_partkey AS BIGINT))"""),
     ("ticket", """
 SELECT f.Airplane_ID, f.ID AS Flight_ID, s.Row_num AS SEAT_Row_num, s.Column_number AS SEAT_Column_number, s.Class_Type AS CLASS_Type,
        CASE WHEN s.Class_Type = 'First' THEN f.p_retailprice * 3 ELSE f.p_retailprice END AS Price,
@@ -73,7 +73,7 @@ SELECT c_custkey AS ID, 'City' AS City, 'Street' AS Street, '1' AS House_Number,
        CASE WHEN c_custkey % 3 = 0 THEN 'Pilot' ELSE 'Flight attendant' END AS Type, c_nationkey % 2 AS Training
 FROM customer"""),
     ("aircrew_assignment", """
-SELECT DISTINCT o.o_custkey AS Aircrew_ID, 'F' || lpad(CAST(l.l_partkey AS VARCHAR(10)), 7, '0') AS Flight_ID
+SELECT DISTINCT o.o_custkey AS Aircrew_ID, printf('F%07d', CAST(l.l_partkey AS BIGINT)) AS Flight_ID
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1"""),
     ("member", """
 SELECT 'm' || CAST(c_custkey AS VARCHAR(10)) || '@example.com' AS Email, c_mktsegment AS First_name_in_English,
@@ -97,6 +97,8 @@ def with_views(query: str) -> str:
     """Prefix ``query`` with the airline views as CTEs."""
     ctes = ",\n".join(f"{name} AS ({body.strip()})" for name, body in VIEWS)
     q = query.strip()
+    if q.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{q[15:]}"
     if q.upper().startswith("WITH "):
         return f"WITH {ctes},\n{q[5:]}"
     return f"WITH {ctes}\n{q}"

@@ -7,7 +7,6 @@ input it is reading.
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Sequence
 
@@ -67,28 +66,37 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 # S-07
-def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``INSERT OR IGNORE``: new rows whose key is absent from ``target`` are added."""
-    fresh = new.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+def first_per_key(new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the smallest by ``order``, then by the other columns, so a retry picks the same row."""
+    rest = [c for c in new.columns if c not in keys]
+    by = [c for c in order if c in rest] + [c for c in rest if c not in order]
+    if not by:
+        return new.distinct()
+    return new.groupBy(*keys).agg(F.min(F.struct(*by)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``INSERT OR IGNORE``: new rows whose key is absent from ``target`` are added; of several new rows of
+    one key the first by ``order``."""
+    fresh = first_per_key(new, keys, order).join(target.select(*keys), list(keys), "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 
 # S-08
-def upsert(target: DataFrame, new: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Update ``cols`` of existing keys from ``new``; insert the other new rows."""
-    n = new.dropDuplicates(list(keys)).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols])
+def upsert(target: DataFrame, new: DataFrame, keys: Sequence[str], cols: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Update ``cols`` of existing keys from ``new`` (NULLs are written too); insert the other new rows. Of
+    several new rows of one key the first by ``order`` counts."""
+    n = first_per_key(new, keys, order).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = target.join(n, list(keys), "full_outer")
-    return j.select(*keys, *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
+    return j.select(*keys, *[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                              for c in target.columns if c not in keys])
 
 
 # S-09
 def update_where(df: DataFrame, pred: Column, assignments: dict[str, Column | object]) -> DataFrame:
-    """``UPDATE … SET col = v … WHERE pred`` as a projection."""
-    out = df
-    for c, v in assignments.items():
-        out = out.withColumn(c, F.when(pred, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)))
-    return out
+    """``UPDATE … SET col = v … WHERE pred`` as one projection: predicate and values read the row as it was."""
+    new = {c: v if isinstance(v, Column) else F.lit(v) for c, v in assignments.items()}
+    return df.select(*[F.when(pred, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 # S-10
@@ -113,9 +121,5 @@ def to_json_rows(df: DataFrame, cols: Sequence[str], out: str = "json") -> DataF
     return df.select(F.to_json(F.struct(*cols)).alias(out))
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return functools.reduce(lambda a, b: a.unionByName(b), frames)
-
-
 __all__ = ["read_table", "jdbc_options", "read_jdbc", "run_sql", "load", "append", "insert_ignore", "upsert",
            "update_where", "write_summary", "revenue_summary_text", "to_json_rows"]
