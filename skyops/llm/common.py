@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyops.session import ensure_checkpoint_dir
 
 #: bytes of text handled at once inside a task (a longer document is handled alone)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
