@@ -52,11 +52,11 @@ def aircraft_locations(flight: DataFrame) -> DataFrame:
 
 
 def in_flight_at(flight: DataFrame, requests: DataFrame) -> DataFrame:
-    """J-10: (request, aircraft) pairs where an Active/Full leg has ``dep_ts <= ts < arr_ts``."""
+    """J-10: the requests ``(…, Airplane_ID, ts)`` whose own aircraft is mid-flight: one of its Active/Full
+    legs has ``dep_ts <= ts < arr_ts``."""
     legs = flight.where(F.col("Status").isin(*OPEN)).select(
         "Airplane_ID", F.col("dep_ts").alias("_f"), F.col("arr_ts").alias("_to"))
-    j = I.interval_point_join(requests, legs, [], "ts", "_f", "_to")
-    return j.select(*requests.columns, "Airplane_ID").distinct()
+    return I.interval_point_join(requests, legs, ["Airplane_ID"], "ts", "_f", "_to", how="left_semi")
 
 
 def last_arrival_at(flight: DataFrame, requests: DataFrame) -> DataFrame:
@@ -193,8 +193,9 @@ def crew_counts(t: Airline, requests: DataFrame, intervals: DataFrame | None = N
 
     Located crew at (airport, ts) = intervals covering ts, counted per (airport, type, training)
     with :func:`~skyops.operators.intervals.count_covering` (intervals are disjoint per crew and
-    airport, so the count is of distinct crew), minus those covering crew assigned to a flight
-    departing exactly at ts (an equi join on the instant, bounded by that flight's crew).
+    airport, so the count is of distinct crew), minus the busy ones: crew that depart exactly at ts,
+    located and counted per (airport, ts, type, training) before they meet the requests. Every join
+    is of keys to counts, and the work is linear in legs, intervals and requests.
     """
     req = crew_requirement(requests, "type") if "need_training" not in requests.columns else requests
     iv = merged_crew_intervals(crew_intervals(t) if intervals is None else intervals)
@@ -210,13 +211,12 @@ def crew_counts(t: Airline, requests: DataFrame, intervals: DataFrame | None = N
            .groupBy("rid", "ts").agg(F.sum(F.when((F.col("Type") == "Pilot") & ok, F.col("n")).otherwise(0)).alias("_p"),
                                      F.sum(F.when((F.col("Type") == "Flight attendant") & ok, F.col("n"))
                                            .otherwise(0)).alias("_a")))
-    # covering crew that are busy at exactly ts
     busy = crew_legs(t).select("Aircrew_ID", F.col("dep_ts").alias("ts")).distinct()
-    bp = req.select("rid", "airport", "ts", "need_training").join(busy, "ts")
-    bp = I.interval_point_join(bp, iv, ["Aircrew_ID", "airport"], "ts", "from_ts", "to_ts", how="left_semi")
-    sub = (bp.join(crew, "Aircrew_ID")
-           .groupBy("rid", "ts").agg(F.count_if((F.col("Type") == "Pilot") & ok).alias("_bp"),
-                                     F.count_if((F.col("Type") == "Flight attendant") & ok).alias("_ba")))
+    busy_at = (I.interval_point_join(busy, iv, ["Aircrew_ID"], "ts", "from_ts", "to_ts").select("Aircrew_ID", "airport", "ts")
+               .distinct().join(crew, "Aircrew_ID").groupBy("airport", "ts", "Type", "Training").agg(F.count(F.lit(1)).alias("n")))
+    sub = (req.select("rid", "airport", "ts", "need_training").join(busy_at, ["airport", "ts"])
+           .groupBy("rid", "ts").agg(F.sum(F.when((F.col("Type") == "Pilot") & ok, F.col("n")).otherwise(0)).alias("_bp"),
+                                     F.sum(F.when((F.col("Type") == "Flight attendant") & ok, F.col("n")).otherwise(0)).alias("_ba")))
     fc = floating_crew(t)
     fp_all = _scalar_count(fc, F.col("Type") == "Pilot")
     fp_tr = _scalar_count(fc, (F.col("Type") == "Pilot") & (F.col("Training") == 1))

@@ -177,6 +177,26 @@ def validate_aircraft(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
     return rows.withColumn("_id", whole["airplane_id"]).join(known, "_id", "left").select(*rows.columns, reason.alias("reason"))
 
 
+def validate_aircrew(rows: DataFrame, t: Airline) -> DataFrame:
+    """V-08: crew rows (all text: id, first, last, phone, city, street, house, start, type) → first failing
+    reason: missing field, id not numeric, id not positive, first / last name not English, house number
+    not numeric, house number not positive, id exists; ``ok`` otherwise."""
+    required = ["id", "first", "last", "phone", "city", "street", "house", "start", "type"]
+    missing = functools.reduce(lambda a, b: a | b, [F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in required])
+    number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("long"))
+    known = t.aircrew.select(F.col("ID").cast("long").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    reason = (F.when(missing, "missing field")
+               .when(number("id").isNull(), "id not numeric")
+               .when(number("id") <= 0, "id not positive")
+               .when(~X.is_english_name(F.trim("first")), "first name not English")
+               .when(~X.is_english_name(F.trim("last")), "last name not English")
+               .when(number("house").isNull(), "house number not numeric")
+               .when(number("house") <= 0, "house number not positive")
+               .when(F.col("_known").isNotNull(), "id exists")
+               .otherwise("ok"))
+    return rows.withColumn("_id", number("id")).join(known, "_id", "left").select(*rows.columns, reason.alias("reason"))
+
+
 def check_seat_state(t: Airline) -> DataFrame:
     """V-07: seats held by more than one Active order, and tickets whose ``Availability``
     disagrees with their Active links (cancelled flights must be 0) → (seat key, issue)."""

@@ -182,6 +182,33 @@ def _v06(t):
     return Q.validate_aircraft(aircraft_rows(t), t, asof())
 
 
+def aircrew_rows(t):
+    """Crew rows derived from the customers; by remainder each fails another check."""
+    c, k = t.raw("customer"), F.col("c_custkey") % 12
+    fresh = (F.col("c_custkey") + 10_000_000).cast("string")
+    return c.select(
+        F.when(k == 1, F.lit("12a")).when(k == 2, F.concat(F.lit("-"), fresh)).when(k == 7, F.col("c_custkey").cast("string")).otherwise(fresh).alias("id"),
+        F.when(k == 3, F.lit("Zoë 4")).otherwise(F.lit(" Ann-Marie ")).alias("first"), F.when(k == 4, F.lit("O")).when(k == 8, F.lit("9")).otherwise(F.lit("O'Neil")).alias("last"),
+        F.lit("050").alias("phone"), F.lit("City").alias("city"), F.lit("Street").alias("street"),
+        F.when(k == 5, F.lit("5b")).when(k == 6, F.lit("0")).otherwise(F.lit("7")).alias("house"),
+        F.lit("2001-01-01").alias("start"), F.when(k == 0, F.lit(" ")).when(k == 9, F.lit(None)).otherwise(F.lit("Pilot")).alias("type"))
+
+
+# the answer by remainder of the customer key, written out
+@query("validate_aircrew", """
+WITH k AS (SELECT c_custkey AS key, c_custkey % 12 AS k, CAST(c_custkey + 10000000 AS VARCHAR) AS fresh FROM customer),
+answer(k, reason) AS (VALUES (0, 'missing field'), (1, 'id not numeric'), (2, 'id not positive'), (3, 'first name not English'), (4, 'ok'), (5, 'house number not numeric'),
+  (6, 'house number not positive'), (7, 'id exists'), (8, 'last name not English'), (9, 'missing field'), (10, 'ok'), (11, 'ok'))
+SELECT CASE k WHEN 1 THEN '12a' WHEN 2 THEN '-' || fresh WHEN 7 THEN CAST(key AS VARCHAR) ELSE fresh END AS id,
+       CASE k WHEN 3 THEN 'Zoë 4' ELSE ' Ann-Marie ' END AS first, CASE k WHEN 4 THEN 'O' WHEN 8 THEN '9' ELSE 'O''Neil' END AS last,
+       '050' AS phone, 'City' AS city, 'Street' AS street, CASE k WHEN 5 THEN '5b' WHEN 6 THEN '0' ELSE '7' END AS house, '2001-01-01' AS start,
+       CASE k WHEN 0 THEN ' ' WHEN 9 THEN NULL ELSE 'Pilot' END AS type, reason
+FROM k JOIN answer USING (k)
+""")
+def _v08(t):
+    return Q.validate_aircrew(aircrew_rows(t), t)
+
+
 @query("check_seat_state", """
 WITH act AS (SELECT x.Airplane_ID, x.Flight_ID, x.SEAT_Row_num, x.SEAT_Column_number, x.CLASS_Type, COUNT(*) AS n_active
              FROM ticket_order x JOIN booking b ON b.ID = x.Order_ID WHERE b.Status = 'Active' GROUP BY 1, 2, 3, 4, 5)

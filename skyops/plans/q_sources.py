@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyops.plans import reports as R
 from skyops.plans import search as Srch
 from skyops.plans.catalog import AS_OF, asof, query
+from skyops.plans.q_reports import SQL_R4_BODY
 from skyops.sources import tables as S
 
 
@@ -68,6 +70,18 @@ def _s09(t):
     return S.update_where(t.flight, pred, {"Status": "Full", "dep_ts": later}).select("ID", "Status", "dep_ts")
 
 
+@query("cancellation_text", f"""
+WITH r AS ({SQL_R4_BODY}),
+top AS (SELECT Month, Cancellation_Rate FROM r ORDER BY Cancellation_Rate DESC, Month LIMIT 1)
+SELECT 'Average cancellation rate: ' || format('{{:.2f}}', (SELECT avg(Cancellation_Rate) FROM r)) || '% | Peak month: ' || Month || ' with ' || format('{{:.2f}}', Cancellation_Rate)
+  || '% | Months above 10%: ' || coalesce((SELECT string_agg(Month, ', ' ORDER BY Month) FROM r WHERE Cancellation_Rate > 10), 'none')
+  || ' | Conclusion: ' || CASE WHEN Cancellation_Rate > 10 THEN 'look into the cancellations of ' || Month ELSE 'rates look stable' END AS value
+FROM top
+""")
+def _s10c(t):
+    return S.cancellation_summary_text(R.report_cancel_rate(t))
+
+
 @query("json_rows", """
 SELECT DISTINCT '{"code":"' || f.Origin_airport || '","label":"' || coalesce(a.Label, f.Origin_airport) || '"}' AS json
 FROM flight f LEFT JOIN airport a ON a.Code = f.Origin_airport

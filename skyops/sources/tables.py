@@ -115,6 +115,19 @@ def revenue_summary_text(summary: DataFrame) -> DataFrame:
         .alias("value"))
 
 
+def cancellation_summary_text(rates: DataFrame, limit: float = 10.0) -> DataFrame:
+    """Text of the cancellation executive summary from monthly rates ``(Month, Cancellation_Rate)``: the
+    average, the worst month (ties: the first), the months above ``limit`` per cent, and what follows from it."""
+    high = F.col("Cancellation_Rate") > limit
+    s = rates.agg(F.avg("Cancellation_Rate").alias("mean"), F.min(F.struct((-F.col("Cancellation_Rate")).alias("r"), F.col("Month").alias("m"))).alias("top"),
+                  F.array_join(F.array_sort(F.collect_list(F.when(high, F.col("Month")))), ", ").alias("months"))  # one row per month
+    advice = F.when(-F.col("top.r") > limit, F.concat(F.lit("look into the cancellations of "), F.col("top.m"))).otherwise(F.lit("rates look stable"))
+    return s.select(F.concat(
+        F.lit("Average cancellation rate: "), F.format_number("mean", 2), F.lit("% | Peak month: "), F.col("top.m"), F.lit(" with "), F.format_number(-F.col("top.r"), 2),
+        F.lit("% | Months above "), F.lit(str(int(limit))), F.lit("%: "), F.when(F.col("months") == "", F.lit("none")).otherwise(F.col("months")),
+        F.lit(" | Conclusion: "), advice).alias("value"))
+
+
 # S-11
 def to_json_rows(df: DataFrame, cols: Sequence[str], out: str = "json") -> DataFrame:
     """One JSON object per row with ``cols`` (e.g. ``{"code":…,"label":…}``)."""
