@@ -6,9 +6,10 @@ equal sets form one class; all further work is on classes, so groups of copies c
 1. Candidates. Shingles have one total order: by an estimate of their number of documents (counts in ``slots`` hashed counters over all
    documents), then by hash. Two sets that link share one of the first n - ceil(t n) + 1 shingles of this order. Classes that share such
    a shingle form a run.
-2. First links. Within a run, ordered by size, each class is paired with the smallest class of its size band (sizes up to 1/t times that class).
-3. Remaining links. After the components of the first links are known, each run is cut into tiles of at most ``tile`` classes; in a tile, all
-   pairs of different components and of compatible sizes are compared by their bitmaps.
+2. Tiles. Each run (of runs of the same classes, one), ordered by size, is cut into tiles of at most ``tile`` classes; in a tile, all pairs of classes of
+   different components and of compatible sizes (a size band: up to 1/t times the smaller) are compared by their bitmaps.
+3. Rounds. ``rounds`` times each class passes on its nearest partner in each tile alone, which joins most components; then all pairs of different
+   components that are left pass on.
 4. Bitmaps. Each shingle toggles one bit; the differing bits of two bitmaps are at most the size of the sets' symmetric difference, so
    they bound the overlap from above. A bitmap has as many bits as its size band needs; a wider one is folded to the narrower.
 5. Pairs that pass are verified on the sorted arrays: 100 |A n B| >= 100 t |A u B|.
@@ -59,8 +60,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def width_of(size: int) -> int:
-    """Bits of the bitmap of a set: a power of two of about half its size, 64 at least."""
-    return max(64, 1 << int(size // 2).bit_length())
+    """Bits of the bitmap of a set: a power of two above twice its size, 64 at least."""
+    return max(64, 1 << int(2 * size).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -167,15 +168,14 @@ def _runs(batches, names: list[str], by: list[str]):
         yield rest.select(names)
 
 
-def run_members(entries: DataFrame, percent: int) -> DataFrame:
-    """Rows (shingle, size, key, centre, centre_size) of all runs of two classes or more; a centre is its own centre. Streams over rows
-    sorted by shingle and size, holding one shingle's state."""
+def run_members(entries: DataFrame) -> DataFrame:
+    """Rows (shingle, size, key) of all runs of two classes or more, each class once. Streams over rows sorted by shingle, size and key, holding
+    one row."""
 
     def run(batches):
-        last_shingle = last_key = centre = centre_size = None
-        held: list[tuple] = []  # the run's first row, until a second class shows up
+        first = None  # the row that waits for a second class of its shingle
+        last = None
         for batch in batches:
-            out: list[tuple] = []
             shingle, size, key = (np.asarray(batch.column(c)) for c in ("shingle", "size", "key"))
             if not len(shingle):
                 continue
@@ -185,48 +185,27 @@ def run_members(entries: DataFrame, percent: int) -> DataFrame:
             lone[1:] &= ~equal
             lone[:-1] &= ~equal
             lone[0] = lone[-1] = False
-            for s, m, k in zip(shingle[~lone].tolist(), size[~lone].tolist(), key[~lone].tolist(), strict=True):
-                if s != last_shingle:
-                    last_shingle, last_key, centre, centre_size = s, k, k, m
-                    held = [(s, m, k, k, m)]
-                    continue
-                if k == last_key:  # the same class from another task
-                    continue
-                last_key = k
-                if 100 * centre_size < percent * m:
-                    centre, centre_size = k, m
-                out += held
-                held = []
-                out.append((s, m, k, centre, centre_size))
+            out: list[tuple] = []
+            for row in zip(shingle[~lone].tolist(), size[~lone].tolist(), key[~lone].tolist(), strict=True):
+                if last is None or row[0] != last[0]:
+                    first = row
+                elif row != last:  # the same class comes from other tasks too
+                    if first is not None:
+                        out.append(first)
+                        first = None
+                    out.append(row)
+                last = row
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)],
-                                                 names=["shingle", "size", "key", "centre", "centre_size"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                                                 names=["shingle", "size", "key"])
 
     return (entries.repartition("shingle").sortWithinPartitions("shingle", "size", "key")
-            .mapInArrow(run, "shingle bigint, size int, key bigint, centre bigint, centre_size int"))
-
-
-def bitmap_filter(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, size_a, b, size_b) whose bitmaps leave a large enough overlap possible."""
-
-    def run(batches):
-        for batch in batches:
-            size_a, size_b = (np.asarray(batch.column(c)).tolist() for c in ("size_a", "size_b"))
-            keep = []
-            for x, y, p, q in zip(size_a, size_b, batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist(), strict=True):
-                u, v = np.frombuffer(p, U), np.frombuffer(q, U)
-                m = min(len(u), len(v))
-                keep.append(_may_link(x, y, int(np.bitwise_count(fold(u, m) ^ fold(v, m)).sum()), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return (pairs.join(maps.select(F.col("key").alias("a"), F.col("bitmap").alias("map_a")), "a")
-            .join(maps.select(F.col("key").alias("b"), F.col("bitmap").alias("map_b")), "b")
-            .select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(run, "shingle bigint, size int, key bigint"))
 
 
 def key_filter(keys: DataFrame, max_bits: int = 1 << 27) -> np.ndarray:
     """A Bloom filter (64-bit words, at most ``max_bits`` bits) of a column ``key``; beyond that size it only lets more through."""
+    keys = keys.select("key").distinct()
     n = keys.count()
     size = min(max_bits, 1 << max(16, (10 * n).bit_length())) // 64
 
@@ -238,7 +217,7 @@ def key_filter(keys: DataFrame, max_bits: int = 1 << 27) -> np.ndarray:
         held = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(out[held].view(np.int64))], names=["word", "bits"])
 
-    rows = keys.select("key").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = keys.coalesce(1 + n // 500_000).mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(size, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(U)
@@ -294,50 +273,70 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
     sets = sets_of(docs, keys, n)
     return (pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b")
             .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"))
+            .select("a", "b", "set_a", "set_b").coalesce(1 + pairs.count() // 10_000).mapInArrow(run, "a bigint, b bigint"))
 
 
-def tile_pairs(members: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Pairs of classes of different components that share a run and pass the size and bitmap bounds.
+def tile_pairs(members: DataFrame, maps: DataFrame, percent: int, tile: int, nearest: bool) -> DataFrame:
+    """Pairs of classes of different components that share a run and pass the size and bitmap bounds; ``nearest``: of each class and tile, the
+    pair with the fewest differing bits.
 
-    ``members``: shingle, size, key, root, bitmap. A run of more than ``tile`` classes is dealt into several blocks by hash of the key, and
-    each pair of blocks is one tile, so no task holds a whole hot run."""
-    sizes = members.groupBy("shingle").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    split = members.join(sizes.where("lo <> hi").select("shingle", "blocks"), "shingle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    ``members``: shingle, size, key, root. A run of more than ``tile`` classes is dealt into several blocks by hash of the key, and each pair of
+    blocks is one tile, so no task holds a whole hot run."""
+    runs = (members.groupBy("shingle").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .where("lo <> hi").groupBy("n", "held").agg(F.min("shingle").alias("shingle"))  # runs of the same classes
+            .select("shingle", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
+    split = members.join(runs, "shingle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(maps.select("key", "bitmap"), "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = (split.select("shingle", "size", "key", "root", "bitmap", "block", other)
              .select("shingle", "size", "key", "root", "bitmap", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
 
+    def pairs_of(size, key, root, bits) -> list[tuple[int, int]]:
+        n, out = len(size), []
+        width = np.array([len(b) for b in bits])
+        folded: dict[int, tuple[int, np.ndarray]] = {}
+        best, at = np.full(n, 1 << 60), np.full(n, -1)
+        for x in range(n - 1):  # sizes ascend: partners of x are the next rows up to its band's end
+            end = int(np.searchsorted(size, size[x] * 100 // percent, "right"))
+            y = x + 1 + np.flatnonzero(root[x + 1: end] != root[x])
+            if not len(y):
+                continue
+            w = int(width[x])
+            if w not in folded:
+                first = int(np.searchsorted(width, w))
+                folded[w] = first, np.stack([fold(b, w) for b in bits[first:]])
+            first, rows = folded[w]
+            differing = np.bitwise_count(rows[y - first] ^ rows[x - first]).sum(1).astype(np.int64)
+            near = _may_link(size[x], size[y], differing, percent)
+            y, differing = y[near], differing[near]
+            if not nearest:
+                out += [(x, k) for k in y.tolist()]
+            elif len(y):
+                better = differing < best[y]
+                best[y[better]], at[y[better]] = differing[better], x
+                k = int(differing.argmin())
+                if differing[k] < best[x]:
+                    best[x], at[x] = differing[k], y[k]
+        out += [(x, int(at[x])) for x in np.flatnonzero(at >= 0).tolist()]
+        return [(int(min(key[x], key[y])), int(max(key[x], key[y]))) for x, y in out]
+
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int]] = set()  # only spares rows: distinct() follows
         for t in _runs(batches, ["shingle", "i", "j", "size", "key", "root", "bitmap"], ["shingle", "i", "j"]):
             where = [np.asarray(t.column(c)) for c in ("shingle", "i", "j")]
             size, key, root = (np.asarray(t.column(c)).astype(np.int64) for c in ("size", "key", "root"))
-            maps = t.column("bitmap")
+            maps = t.column("bitmap").combine_chunks()
             edge = np.flatnonzero(np.logical_or.reduce([w[1:] != w[:-1] for w in where])) + 1
             out = []
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(size)], strict=True):
-                if (root[a:b] == root[a]).all():
-                    continue
-                bits = [np.frombuffer(maps[i].as_buffer(), U) for i in range(a, b)]
-                for x in range(a, b - 1):  # sizes ascend: partners of x are the next rows up to its band's end
-                    end = b if 100 * size[x] >= percent * size[b - 1] else a + int(np.searchsorted(size[a:b], size[x] * 100 // percent, "right"))
-                    y = x + 1 + np.flatnonzero(root[x + 1: end] != root[x])
-                    if not len(y):
-                        continue
-                    own = bits[x - a]
-                    differing = np.array([np.bitwise_count(fold(bits[k - a], len(own)) ^ own).sum() for k in y.tolist()], np.int64)
-                    for k in y[_may_link(size[x], size[y], differing, percent)].tolist():
-                        p = (int(min(key[x], key[k])), int(max(key[x], key[k])))
-                        if p not in seen:
-                            seen.add(p)
-                            out.append(p)
-                if len(seen) > 2_000_000:
-                    seen.clear()
+                if (root[a:b] != root[a]).any():
+                    out += [p for p in pairs_of(size[a:b], key[a:b], root[a:b], [np.frombuffer(maps[i].as_buffer(), U) for i in range(a, b)]) if p not in seen]
+            seen.update(out)
+            if len(seen) > 1_000_000:
+                seen.clear()
             if out:
                 p, q = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b"])
@@ -346,24 +345,21 @@ def tile_pairs(members: DataFrame, percent: int, tile: int) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 18, tile: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 18, tile: int = 2048, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, class_key, component_id (the smallest doc_id reachable by links)."""
     found = stage(classes_of(docs, n), "classes")
-    full = found.where("n_shingles > 0")
-    maps = full.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap"))
-    members = stage(run_members(prefix_entries(docs, n, percent, counter_slots(docs, n, slots)), percent), "runs")
-    pairs = (members.where("key <> centre").select(F.col("centre").alias("a"), F.col("centre_size").alias("size_a"), F.col("key").alias("b"), F.col("size").alias("size_b"))
-             .distinct())
-    maps = stage(maps, "bitmaps")
-    first = stage(bitmap_filter(pairs, maps, percent), "pairs")
-    roots = stage(components(verified(docs, first, n, percent)), "roots")
-    labelled = (members.select("shingle", "size", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-                .withColumn("root", F.coalesce("root", "key")).join(maps.select("key", "bitmap"), "key"))
-    more = stage(tile_pairs(labelled, percent, tile), "pairs")
-    more = more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    if not more.isEmpty():
-        links = verified(docs, stage(more, "pairs"), n, percent).union(roots.where("node <> root").select("node", "root"))
-        roots = stage(components(links), "roots")
+    maps = stage(found.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap")), "bitmaps")
+    members = stage(run_members(prefix_entries(docs, n, percent, counter_slots(docs, n, slots))), "runs")
+    roots = tested = None
+    for last in [False] * rounds + [True]:
+        labelled = members.withColumn("root", F.col("key")) if roots is None else \
+            members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        pairs = tile_pairs(labelled, maps, percent, tile, nearest=not last)
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = stage(verified(docs, pairs, n, percent), "links") if not pairs.isEmpty() else pairs
+        tested = pairs if tested is None else tested.union(pairs)
+        if roots is None or not links.isEmpty():
+            roots = stage(components(links if roots is None else links.union(roots.where("node <> root").select("node", "root"))), "roots")
     joined = maps.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = joined.join(least, "root").select("key", "component_id")
