@@ -277,7 +277,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     sets = sets_of(docs, keys, n)
     return (pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b")
             .join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .select("a", "b", "set_a", "set_b").coalesce(1 + pairs.count() // 10_000).mapInArrow(run, "a bigint, b bigint"))
+            .select("a", "b", "set_a", "set_b").coalesce(1 + pairs.count() // 2_000).mapInArrow(run, "a bigint, b bigint"))
 
 
 def tile_pairs(members: DataFrame, maps: DataFrame, percent: int, tile: int, nearest: bool) -> DataFrame:

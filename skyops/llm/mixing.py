@@ -52,7 +52,8 @@ class DomainModel:
 
 def fit_domains(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), sample: int = 5_000,
                 evidence: float = 64.0, bits: int = 13, smooth: float = 0.5) -> DomainModel:
-    """Fit the classifier; the priors are the domains' shares of all labelled rows. At most 64 domains."""
+    """Fit the classifier on the labelled rows of ``docs``; the priors are the domains' shares of these. At most 64 domains."""
+    labels = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     found = labels.dropna(subset=["doc_id", *columns]).groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).limit(65).collect()
     if len(found) > 64:
         raise ValueError("the label columns have more than 64 combinations")
