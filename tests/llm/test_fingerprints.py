@@ -72,6 +72,7 @@ def test_equal_substrings_share_interior_names():
         alone, own = mix(np.frombuffer(passage, np.uint8).astype(np.uint64) + np.uint64(1)), np.array([0, len(passage)])
         for _ in range(4):
             names, off = fp.parse(names, off)
+            alone, own = fp.parse(alone, own)
             a, b = set(names[:off[1]].tolist()), set(names[off[1]:].tolist())
             assert len(a & b & set(alone.tolist())) >= len(set(alone.tolist())) - 8
 
