@@ -32,9 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: unless the session says otherwise, Arrow batches hold 1,000 rows instead of 10,000, which bounds what a task and its
+    Python worker hold at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """``doc_id`` (and ``columns``) with the text as bytes, null text empty. Other columns stay behind, so
     extra or clashing names in ``docs`` do no harm."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", *columns, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import texts
+from skyops.llm.common import small_batches, texts
 from skyops.llm.words import ALNUM_TABLE
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -207,4 +207,5 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, ma
                     columns[k] = pa.array([new.get(i, v) for i, v in enumerate(columns[k].to_pylist())], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(cut, docs.schema)

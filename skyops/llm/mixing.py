@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import slices, stage, texts
+from skyops.llm.common import slices, small_batches, stage, texts
 from skyops.llm.features import class_counts, document_sums, hashed_features, sample_ids
 from skyops.llm.words import mix
 
@@ -194,17 +194,17 @@ def mix_documents(docs: DataFrame, model: DomainModel, rates: Rates, seed: int =
     """``docs`` drawn by their rates: floor(rate + u) copies, u from a hash of doc_id and seed; ``at_most_once`` caps that at one. The rates are
     replayed in place, so no text is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast((model, rates))
-    schema, n = docs.schema, len(docs.columns)
+    schema, n, at = docs.schema, len(docs.columns), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            noise = np.asarray(batch.column(n + 1)).view(np.uint64)
+            noise = np.asarray(batch.column(n)).view(np.uint64)
             u = (mix(noise + np.uint64(seed + 1)) >> np.uint64(11)).astype(float) / 2**53
-            parts = [shared.value[1].of(shared.value[0].posteriors(data, off)[1]) for _, _, data, off in slices(batch.column(n))]
+            parts = [shared.value[1].of(shared.value[0].posteriors(data, off)[1]) for _, _, data, off in slices(batch.column(at).fill_null(""))]
             copies = np.floor(np.concatenate(parts) + u).astype(np.int64) if parts else np.zeros(0, np.int64)
             if at_most_once:
                 copies = np.minimum(copies, 1)
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=schema.names).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select("*", text.alias("__text"), F.xxhash64("doc_id").alias("__noise")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select("*", F.xxhash64("doc_id").alias("__noise")).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import slices, stage, texts
+from skyops.llm.common import slices, small_batches, stage, texts
 from skyops.llm.features import class_counts, document_sums, hashed_features, sample_ids
 from skyops.llm.words import mix
 
@@ -110,15 +110,15 @@ def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 0, **options)
     """``docs`` without the rows that :func:`resample` leaves out; scored again in place, so no text is shuffled."""
     _, ratio, cut = resample(docs, labels, seed=seed, **options)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    schema, n = docs.schema, len(docs.columns)
+    schema, n, at = docs.schema, len(docs.columns), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            noise, keep = np.asarray(batch.column(n + 1)), []
-            for i, j, data, off in slices(batch.column(n)):
+            noise, keep = np.asarray(batch.column(n)), []
+            for i, j, data, off in slices(batch.column(at).fill_null("")):
                 keep.append(_ordered(_key(_scores(data, off, shared.value)[1], noise[i:j], seed)) >= cut)
             mask = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=schema.names).filter(mask)
 
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select("*", text.alias("__text"), F.xxhash64("doc_id").alias("__noise")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select("*", F.xxhash64("doc_id").alias("__noise")).mapInArrow(run, schema)

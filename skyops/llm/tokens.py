@@ -7,7 +7,7 @@ as a stream within each task; ids of different documents never meet in one task'
 
 The tokenizer drops white space and lower-cases, so the ids of a text are those of its lower-cased pieces without ASCII white space, in turn; and those
 of a Latin word with ASCII punctuation behind it are those of the word, then those of the punctuation. A worker process keeps the ids of up to ``CACHE``
-pieces from one task to the next.
+pieces from one task to the next, those used last.
 
 Defined results: null and empty text have the end id alone; equal doc_ids are ordered by text; null doc_ids come first; an empty
 table gives an empty directory of files; other columns are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from skyops.llm.common import texts
 
 #: pieces whose ids a worker keeps (some 200 bytes each), and the longest piece that is kept (bytes)
-CACHE, LONGEST = 1_000_000, 48
+CACHE, LONGEST = 500_000, 48
 #: letters of ASCII and Latin-1, then ASCII punctuation without ' (it starts suffixes like 's) and < (special tokens)
 _WORD_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]+)")
 
@@ -42,14 +42,18 @@ class PieceIds(dict):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        if parts := _WORD_AND_MARKS.fullmatch(piece):
+        if (ids := self.older.get(piece)) is not None:
+            pass
+        elif parts := _WORD_AND_MARKS.fullmatch(piece):
             ids = self[parts[1]] + self[parts[2]]
         else:
             ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:  # what was used since the last time becomes the older half
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

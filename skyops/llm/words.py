@@ -68,12 +68,6 @@ def word_hashes(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray = NOT_
     return hash_spans(data, starts, ends), words
 
 
-def hash_of(word: bytes) -> int:
-    """The hash of one word, equal to what :func:`word_hashes` gives."""
-    data = np.frombuffer(word, np.uint8)
-    return int(hash_spans(data, np.zeros(1, np.int64), np.full(1, len(data), np.int64))[0])
-
-
 def grams(hashes: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams that lie within one document, and the documents' n + 1 offsets into them."""
     counts = np.maximum(np.diff(off) - (n - 1), 0)
