@@ -7,8 +7,9 @@ span in both; it is normalised to k(s, s) = 1. Gaps and inserted characters lowe
 Landmarks are the strings whose share of toxic training texts most exceeds their share of the others (by z score). A text's kernel values are, landmark by
 landmark, the largest over its strings and log(1 + the sum of those of ``LIKE`` or more); Nystroem features are these times K^(-1/2) of the
 landmarks' own kernel matrix. A linear support
-vector machine with squared hinge loss on these features, and a logistic curve on its margins, give the score. A string that holds under
-``OVERLAP`` of a landmark's pairs of neighbouring characters, at most ``REACH`` places apart, counts as 0 there.
+vector machine with squared hinge loss on these features, and a logistic curve on its margins, give the score. Kernel values with landmarks are exact
+for every string: the ordered triples of a string that some landmark holds too are found in a prefix tree of the landmarks' triples, and a string
+without such a triple has the value 0.
 
 Training uses at most ``sample`` labelled texts (those of the smallest hashes of doc_id); scoring reads whole texts. A text's label, language,
 source and id are never features.
@@ -20,6 +21,7 @@ the share of toxic rows (0 without rows); repeated rows are scored each; an empt
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from skyops.llm.common import SLICE_BYTES, slices, stage, texts
 from skyops.llm.features import sample_ids
 from skyops.llm.words import LOWER, hash_spans, spans
 
-ORDER, DECAY, LENGTH, REACH, OVERLAP, LIKE = 3, 0.6, 24, 3, 0.75, 0.6
+ORDER, DECAY, LENGTH, LIKE = 3, 0.6, 24, 0.6
+#: shared triples that are held at once
+HELD = 1 << 20
 
 
 def strings(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +84,8 @@ def _gather(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of rows of s with rows of t (same number, or one row of t for all). 0 bytes match nothing."""
-    n, width = len(s), int(np.max((t != 0).sum(1))) if len(t) else 0
-    long = int(np.max((s != 0).sum(1))) if n else 0
+    n, width = len(s), int(_lengths(t).max()) if len(t) else 0
+    long = int(_lengths(s).max()) if n else 0
     s, t = s[:, :long], t[:, :width]
     d = np.float32(DECAY)
     prefix = np.ones((width + 1, n), np.float32)  # K' of the order below, for the prefix of s so far, by prefix of t
@@ -103,30 +107,19 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-def pair_masks(rows: np.ndarray, reach: int) -> np.ndarray:
-    """256-bit masks (4 words, one row each) of the ordered pairs of characters at most ``reach`` places apart."""
-    n = len(rows)
-    out = np.zeros(4 * n, np.uint64)
-    wide = np.ascontiguousarray(rows.T).astype(np.uint32)
-    at = np.arange(n)
-    for gap in range(1, reach + 1):
-        for i in range(LENGTH - gap):
-            if not (k := int(np.count_nonzero(wide[i + gap]))):
-                break
-            use = at if k == n else np.flatnonzero(wide[i + gap])
-            a, b = wide[i][use], wide[i + gap][use]
-            h = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE35)) >> np.uint32(24)
-            out[(h >> 6).astype(np.int64) * n + use] |= np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
-    return out.reshape(4, n)
-
-
-def _by_size(values, size: np.ndarray, chunk: int = 8192) -> np.ndarray:
-    """``values`` of all indices, in chunks of strings of like sizes."""
-    out = np.zeros(len(size), np.float32)
-    order = np.argsort(size, kind="stable")
-    for k in range(0, len(order), chunk):
-        part = order[k: k + chunk]
-        out[part] = values(part)
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    """Places up to the last character."""
+    return np.where((rows != 0).any(1), LENGTH - np.argmax(rows[:, ::-1] != 0, axis=1), 0)
+
+
+def own_kernel(s: np.ndarray) -> np.ndarray:
+    """Kernel of rows with themselves. Without repeated characters, each triple of places meets itself alone."""
+    plain = np.array([sum((size - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(ORDER, size + 1)) for size in range(LENGTH + 1)])
+    length = _lengths(s)
+    out = plain[length]
+    order = np.sort(s, axis=1)
+    again = np.flatnonzero(((order[:, 1:] == order[:, :-1]) & (order[:, 1:] != 0)).any(1) | ((s != 0).sum(1) < length))
+    out[again] = kernel(s[again], s[again])
     return out
 
 
@@ -135,42 +128,98 @@ class Landmarks:
 
     def __init__(self, words: list[bytes]):
         self.rows = np.frombuffer(b"".join(w.ljust(LENGTH, b"\0") for w in words), np.uint8).reshape(-1, LENGTH)
-        self.masks = pair_masks(self.rows, 1)
-        self.need = np.ceil(OVERLAP * np.bitwise_count(self.masks).sum(0)).astype(int)
         self.own = kernel(self.rows, self.rows)
-
-    def values(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string, landmark, normalised kernel) of all pairs that share enough pairs of characters."""
-        masks, size = pair_masks(rows, REACH), (rows != 0).sum(1)
-        found = [np.flatnonzero(sum(np.bitwise_count(m & x) for m, x in zip(masks, own, strict=True)) >= need)
-                 for own, need in zip(self.masks.T, self.need, strict=True)]
-        string = np.concatenate([np.zeros(0, np.int64), *found])
-        mark = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        used, inverse = np.unique(string, return_inverse=True)
-        own = _by_size(lambda i: kernel(rows[used[i]], rows[used[i]]), size[used])
-        both = _by_size(lambda i: kernel(rows[string[i]], self.rows[mark[i]]), size[string])
-        return string, mark, both / np.sqrt(own[inverse] * self.own[mark]) if len(string) else both
+        used = np.unique(self.rows[self.rows > 0])
+        self.code = np.zeros(256, np.int32)
+        self.code[used] = np.arange(1, len(used) + 1)
+        # the prefix tree: first characters, pairs and triples of the landmarks, each numbered from 1 (0: in no landmark)
+        pairs: dict[tuple[int, int], int] = {}
+        triples: dict[tuple[int, int], int] = {}
+        cells: dict[tuple[int, int], float] = {}
+        for mark, row in enumerate(self.code[self.rows].tolist()):
+            for i, j, k in combinations([at for at, c in enumerate(row) if c], ORDER):
+                pair = pairs.setdefault((row[i], row[j]), len(pairs) + 1)
+                triple = triples.setdefault((pair, row[k]), len(triples) + 1)
+                cells[triple, mark] = cells.get((triple, mark), 0.0) + DECAY ** (k - i + 1)
+        self.pair = np.zeros((len(used) + 1, len(used) + 1), np.int32)
+        self.triple = np.zeros((len(pairs) + 1, len(used) + 1), np.int32)
+        for tree, known in ((self.pair, pairs), (self.triple, triples)):
+            for place, number in known.items():
+                tree[place] = number
+        # the landmarks of each triple, with its weight there
+        held = sorted(cells)
+        self.first = np.searchsorted(np.array([t for t, _ in held], np.int64), np.arange(len(triples) + 2)).astype(np.int32)
+        self.mark = np.array([m for _, m in held], np.int32)
+        self.weight = np.array([cells[c] for c in held])
+
+    def _shared(self, rows: np.ndarray) -> np.ndarray:
+        """Unnormalised kernel of rows, longest first, with all landmarks: (string, landmark)."""
+        n, size = len(rows), len(self.rows)
+        out = np.zeros(n * size)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        code, length, width = self.code[rows], _lengths(rows), self.pair.shape[1]
+        power = DECAY ** np.arange(LENGTH + 1)
+
+        def add():
+            string, triple, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            for x in range(0, len(string), HELD):
+                t = triple[x: x + HELD]
+                many = self.first[t + 1] - self.first[t]
+                at = np.repeat(self.first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = np.repeat(string[x: x + HELD] * size, many) + self.mark[at]
+                out[:] += np.bincount(cell, np.repeat(weight[x: x + HELD], many) * self.weight[at], len(out))
+
+        waiting = 0
+        for i in range(LENGTH - 2):
+            for j in range(i + 1, LENGTH - 1):
+                m = int(np.searchsorted(-length, -(j + 1)))  # strings of more than j + 1 places
+                if not m:
+                    break
+                pair = self.pair.ravel().take(code[:m, i] * width + code[:m, j])
+                string = np.flatnonzero(pair)
+                triple = self.triple.ravel().take((pair.take(string) * width)[:, None] + code[:, j + 1: length[0]].take(string, 0)).ravel()
+                at = np.flatnonzero(triple)
+                if len(at):
+                    a, k = np.divmod(at, length[0] - j - 1)
+                    found.append((string.take(a), triple.take(at), power.take(k + (j - i + 2))))
+                    waiting += len(at)
+                    if waiting > HELD:
+                        add()
+                        waiting = 0
+        if found:
+            add()
+        return out.reshape(n, size)
+
+    def table(self, rows: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Normalised kernel of all strings with all landmarks: (string, landmark)."""
+        out = np.zeros((len(rows), len(self.rows)), np.float32)
+        order = np.argsort(-_lengths(rows), kind="stable")
+        for x in range(0, len(order), chunk):
+            part = order[x: x + chunk]
+            both = self._shared(rows[part])
+            held = np.flatnonzero(both.any(1))
+            own = own_kernel(rows[part[held]])
+            out[part[held]] = both[held] / np.sqrt(own[:, None] * self.own)
+        return out
 
     def of_texts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Documents x (landmarks twice): largest kernel value over a document's distinct strings, and log(1 + the sum of the large ones)."""
         rows, docs, ids = strings(data, off)
         size = len(self.rows)
         out = np.zeros((len(off) - 1, 2 * size), np.float32)
-        string, mark, value = self.values(rows)
-        if not len(string):
+        if not len(rows):
             return out
-        held = np.zeros(len(rows), bool)
-        held[string] = True
-        own = held[ids]
-        pairs = np.unique(np.stack([ids[own], docs[own]], 1), axis=0)  # by string
-        lo, hi = np.searchsorted(pairs[:, 0], string), np.searchsorted(pairs[:, 0], string, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        doc, mark, value = pairs[at, 1], np.repeat(mark, n), np.repeat(value, n)
-        np.maximum.at(out, (doc, mark), value)
-        like = value >= LIKE
-        np.add.at(out, (doc[like], size + mark[like]), value[like])
-        out[:, size:] = np.log1p(out[:, size:])
+        value = np.ascontiguousarray(self.table(rows).T)
+        pairs = np.sort(docs.astype(np.int64) * len(rows) + ids)  # by document
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        doc, string = pairs // len(rows), pairs % len(rows)
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        for mark in range(size):
+            own = value[mark].take(string)
+            out[doc[first], mark] = np.maximum.reduceat(own, first)
+            like = np.flatnonzero(own >= LIKE)
+            out[:, size + mark] = np.log1p(np.bincount(doc.take(like), own.take(like), len(out)))
         return out
 
 
@@ -265,9 +314,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, landm
     rows = training.mapInArrow(run, "x array<float>, label int").toPandas()
     raw, label = np.stack(rows["x"].to_numpy()).astype(float), rows["label"].to_numpy()
     size = len(words)
-    string, mark, value = marks.values(marks.rows)
-    gram = np.zeros((size, size))
-    gram[string, mark] = value
+    gram = marks.table(marks.rows).astype(float)
     gram = (gram + gram.T) / 2
     lam, vec = np.linalg.eigh(gram)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 1e-2))) @ vec.T

@@ -171,6 +171,20 @@ def test_gaps_and_inserted_characters_keep_a_likeness():
     assert x[0, 0] > 0.1 and x[1, 1] > 0.6 and x[2].max() < 0.1
 
 
+def test_kernel_values_are_exact_for_dropped_and_replaced_letters():
+    words = [b"pathetic", b"stupid", b"loser", b"idiot", b"worthless"]
+    strings = [b"pathtic", b"stupd", b"stpid", b"st*pid", b"loer", b"l0ser", b"idxiot", b"wrthles", b"", b"ab", b"abcdefghijklmnopqrstuvwx", *words]
+    r = random.Random(5)
+    strings += ["".join(r.choices("abdehiloprstuw", k=r.randrange(0, 14))).encode() for _ in range(80)]
+    want = [[brute_kernel(t, s) / (brute_kernel(t, t) * own) ** 0.5 if (own := brute_kernel(s, s)) else 0.0 for s in strings] for t in words]
+    marks = toxicity.Landmarks(words)
+    assert marks.table(rows(strings)).T == pytest.approx(np.array(want), rel=1e-4, abs=1e-6)
+    data = b"a pathtic thing|st*pid stupd|nothing"
+    off = np.array([0, 16, 29, len(data)])
+    x = marks.of_texts(np.frombuffer(data.replace(b"|", b" "), np.uint8), off)
+    assert x[0, 0] == pytest.approx(0.71, abs=0.01) and x[1, 1] == pytest.approx(0.68, abs=0.01) and x[2].max() < 0.1
+
+
 def test_strings_of_long_words_and_letters():
     data = ("x" * 100 + " a b c dd é f g").encode()
     found, docs, ids = toxicity.strings(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
