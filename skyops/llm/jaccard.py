@@ -346,7 +346,8 @@ def tile_pairs(members: DataFrame, maps: DataFrame, percent: int, tile: int, nea
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 18, tile: int = 2048, rounds: int = 2) -> DataFrame:
-    """Per document: doc_id, text_hash, n_shingles, class_key, component_id (the smallest doc_id reachable by links)."""
+    """Per document: doc_id, text_hash, n_shingles, class_key, root_key (the component's own key, null for empty sets), component_id (the smallest
+    doc_id reachable by links)."""
     found = stage(classes_of(docs, n), "classes")
     maps = stage(found.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap")), "bitmaps")
     members = stage(run_members(prefix_entries(docs, n, percent, counter_slots(docs, n, slots))), "runs")
@@ -362,18 +363,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, slots: int =
             roots = stage(components(links if roots is None else links.union(roots.where("node <> root").select("node", "root"))), "roots")
     joined = maps.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = joined.join(least, "root").select("key", "component_id")
+    component = joined.join(least, "root").select("key", F.col("root").alias("root_key"), "component_id")
     return (found.drop("bitmap").join(component, "key", "left")
-            .select("doc_id", "text_hash", "n_shingles", F.col("key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "text_hash", "n_shingles", F.col("key").alias("class_key"), "root_key", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group: the one whose doc_id names it. Rows that repeat a doc_id and a text stay once."""
+    """``docs`` with one row of each group: the one whose doc_id names it. Rows that repeat a doc_id and a text stay once. Groups are components:
+    null or repeated doc_ids never join them."""
     found = stage(near_duplicates(docs, **options), "members")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     repeated = not kept.where("times > 1").isEmpty()
     # of different texts of one group under one doc_id, the one of the smallest hash stays
-    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("root_key", "component_id").agg(F.min("text_hash").alias("text_hash")).drop("root_key")
     lone = found.where("n_shingles = 0").select(F.col("doc_id").alias("component_id"), "text_hash")
     kept = own.union(lone).distinct().withColumnsRenamed({"component_id": "_id", "text_hash": "_hash"})
     rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))

@@ -90,6 +90,15 @@ def test_empty_table_and_one_row_per_group(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 8, 9]
 
 
+def test_null_and_repeated_ids_name_no_common_group(make_docs):
+    """Unrelated texts stay, whether their doc_id is null or one and the same; copies under them go."""
+    texts = ["a b c d e f", "q w e r t y", "z x c v b n", "one two three four five six"]
+    docs = make_docs([(None, t) for t in texts[:3]] + [(None, texts[0])] + [(7, t) for t in texts[3:]] + [(7, "h j k l m n"), (7, "h j k l m n"), (9, "H j k l m n"),
+                                                                                          (None, texts[3]), (None, None), (7, None)])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_one(docs).collect())
+    assert kept == sorted([(0, t) for t in texts[:3]] + [(7, texts[3]), (7, "h j k l m n"), (0, ""), (7, "")])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (600, 600)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
