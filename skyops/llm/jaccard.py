@@ -14,8 +14,9 @@ equal sets form one class; all further work is on classes, so groups of copies c
    they bound the overlap from above. A bitmap has as many bits as its size band needs; a wider one is folded to the narrower.
 5. Pairs that pass are verified on the sorted arrays: 100 |A n B| >= 100 t |A u B|.
 
-A pair that is left out has its two classes already in one component, so components are exact; links between members of one
-component are not all listed.
+``similar_classes`` is the join itself: it tests every pair of different classes that steps 1, 2 and 4 pass, with no rounds, and returns all links.
+``near_duplicates`` is the component search alone: a pair that it leaves out has its two classes already in one component, so components are exact,
+but it does not list all links.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; repeated rows are copies of each other; null doc_ids
 count as rows but never name a component unless all its rows are null; an empty table gives no rows; other columns are ignored.
@@ -345,12 +346,26 @@ def tile_pairs(members: DataFrame, maps: DataFrame, percent: int, tile: int, nea
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def _prepared(docs: DataFrame, n: int, percent: int, slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their classes, bitmaps of the classes, and the runs."""
+    found = stage(classes_of(docs, n), "classes")
+    maps = stage(found.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap")), "bitmaps")
+    return found, maps, stage(run_members(prefix_entries(docs, n, percent, counter_slots(docs, n, slots))), "runs")
+
+
+def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 18, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, class_key) of all documents, and every link (a, b), a < b, between different classes. The links of two
+    documents are those of their classes; documents of one class link too."""
+    found, maps, members = _prepared(docs, n, percent, slots)
+    pairs = stage(tile_pairs(members.withColumn("root", F.col("key")), maps, percent, tile, nearest=False), "pairs")
+    links = stage(verified(docs, pairs, n, percent), "links") if not pairs.isEmpty() else pairs
+    return found.select("doc_id", "text_hash", "n_shingles", F.col("key").alias("class_key")), links
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 18, tile: int = 2048, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, class_key, root_key (the component's own key, null for empty sets), component_id (the smallest
     doc_id reachable by links)."""
-    found = stage(classes_of(docs, n), "classes")
-    maps = stage(found.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bitmap").alias("bitmap")), "bitmaps")
-    members = stage(run_members(prefix_entries(docs, n, percent, counter_slots(docs, n, slots))), "runs")
+    found, maps, members = _prepared(docs, n, percent, slots)
     roots = tested = None
     for last in [False] * rounds + [True]:
         labelled = members.withColumn("root", F.col("key")) if roots is None else \

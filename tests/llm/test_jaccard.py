@@ -70,6 +70,22 @@ def test_given_table(spark):
     assert any(i != c for i, _, c in got)
 
 
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_every_link_between_different_classes(make_docs, tile):
+    """All pairs of a group of near copies, not only those that join it."""
+    base = ["v%d" % i for i in range(100)]
+    texts = [" ".join(base[:-k or None] + ["t%d" % j for j in range(k)]) for k in range(0, 16, 2)] + families(4, groups=3, copies=6) + ["", "a b"]
+    members, links = jaccard.similar_classes(make_docs(texts), tile=tile)
+    key = {r.doc_id: r.class_key for r in members.collect()}
+    want = set()
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if key[i] is not None and key[j] is not None and key[i] < key[j] and len({c for _, _, c in brute([(0, a), (1, b)])}) == 1:
+                want.add((key[i], key[j]))
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_edge_texts(make_docs):
     check(make_docs([None, "", "  ", "a b", "a b", "A  B", "a b c d e", "a b c d e f", "x " * 3000, "x " * 9, "a", "b", "a b c d", "Eé é"]))
 
