@@ -83,4 +83,49 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r LEFT JOIN size USING (doc_id)
 """
 
-SQL = {"op2_license_scan": OP2, "op4_benchmark_hits": OP4, "op5_perspectives": OP5, "op8_jaccard_groups": OP8}
+#: crc32 (unsigned) of the decimal doc_id, bit by bit; 3988292384 is the polynomial
+_CRC = ("xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))")
+
+OP11 = rf"""
+WITH split AS (SELECT doc_id, {_CRC} AS h, text IS NULL AS missing, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT *, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM split),
+d AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_concat(w[1:a], list_transform(range(len(w) - a), lambda i: w[a + i % (1 + (len(w) - a) // (3 + g % 8)) + 1])) ELSE w END AS w
+  FROM cut),
+six AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM d, unnest(range(len(w) - 5)) t(i)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+stretch AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q + 5 AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair) GROUP BY doc_id, q, island),
+long AS (SELECT * FROM stretch WHERE n >= greatest(12, 2 * q)),
+run AS (SELECT * FROM long x WHERE NOT EXISTS (FROM long y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.start <= x.start AND x.start + x.n <= y.start + y.n)),
+best AS (SELECT doc_id, count(*) AS n_runs, max({{'n': n, 's': -start, 'q': -q}}) AS b, string_agg(start || ',' || n || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + n)) AS i FROM run),
+kept AS (
+  SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS t FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d) k
+  WHERE NOT EXISTS (FROM gone WHERE gone.doc_id = k.doc_id AND gone.i = k.i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -b.s AS start, b.n AS length, -b.q AS period, 1000 * b.n // -b.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _group(k: int) -> str:
+    """The k-th group of eight hex digits of ``digest`` as a number."""
+    return f"list_reduce(list_transform(string_split(substr(digest, {8 * k - 7}, 8), ''), lambda c: instr('0123456789abcdef', c)::BIGINT - 1), lambda x, y: 16 * x + y)"
+
+
+OP13 = f"""
+WITH unit AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS digest FROM documents),
+drawn AS (SELECT *, len(u) AS n, {_group(1)} AS h1, {_group(2)} AS h2, {_group(3)} AS h3, {_group(4)} AS h4 FROM unit),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+part AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM part
+"""
+
+SQL = {"op2_license_scan": OP2, "op4_benchmark_hits": OP4, "op5_perspectives": OP5, "op8_jaccard_groups": OP8, "op11_word_runs": OP11, "op13_infilled": OP13}

@@ -1,4 +1,4 @@
-"""The registered queries op1_ ... op10_ and their DuckDB SQL, where SQL can express them."""
+"""The registered queries op1_ ... op13_ and their DuckDB SQL, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyops.llm import decontamination, fingerprints, jaccard, katz, licenses, mixing, oracles, resampling, rotation, tokens, toxicity
+from skyops.llm import (decontamination, fingerprints, infilling, jaccard, katz, licenses, mixing, oracles, resampling, rotation, runs, sharding, tokens,
+                        toxicity)
 from skyops.llm.common import scratch, table
 
 #: target weights of the label domains for op3 (quality and toxic labels), of the mixture's tokens
 MIX_SHARES = {"quality0_toxic0": 0.05, "quality0_toxic1": 0.0, "quality1_toxic0": 0.93, "quality1_toxic1": 0.02}
 
+#: shards of op12
+SHARDS = 24
+
 
 def _remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -80,6 +84,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (_remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _altered(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth id (by crc32) become periodic from a word on: its words from word a repeat the first p words after a."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def periodic(w):
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = F.transform(F.sequence(F.lit(0).cast("bigint"), n - a - 1), lambda i: F.get(w, (a + i % p).cast("int")))
+        return F.when(n > 0, F.concat_ws(" ", F.slice(w, F.lit(1), a.cast("int")), tail)).otherwise(F.lit(""))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    changed = F.get(F.transform(F.array(words), periodic), F.lit(0))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_altered(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digests = found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return digests.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+                          F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.length(body) + 8).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
+    return sharding.assign_shards(rows, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infilling.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(infilling.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -96,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_word_runs": op11_word_runs,
+    "op12_ring_shards": op12_ring_shards,
+    "op13_infilled": op13_infilled,
 }
 QUERIES["pipeline"] = pipeline
 SQL: dict[str, str] = oracles.SQL

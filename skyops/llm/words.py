@@ -54,11 +54,11 @@ def spans(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray = NOT_SPACE)
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each lower-cased span of bytes."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The hash of each span of bytes, lower-cased if ``fold``."""
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * power[: len(data)], dtype=np.uint64, out=total[1:])
+    np.cumsum(_BYTE[LOWER[data] if fold else data] * power[: len(data)], dtype=np.uint64, out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
