@@ -1,4 +1,4 @@
-"""Benchmark the headline queries (R-01 … R-05, Q-01, D-03) and the heavy ones (D-06, D-10) and print ONE JSON line.
+"""Benchmark the headline queries (R-01 … R-05, Q-01, D-03) and the heavy ones (D-06 to D-08, D-10) and print ONE JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
@@ -72,6 +72,8 @@ def main() -> None:
     }
     heavy = {
         "feasibility": lambda: A.feasibility(t, requests_of(t)),
+        "earliest_slot": lambda: A.earliest_slot(t, requests_of(t)),
+        "crew_recommend": lambda: A.crew_recommend(t, requests_of(t)),
         "cart_admission": lambda: B.cart_admission(t, rebook_carts(t)),
     }
     times = {"ingest": round(ingest, 3)}

@@ -183,3 +183,60 @@ def count_covering(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     off = per_b.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).select(*keys, "_b", "_off")
     return (local.join(off, keys + ["_b"], "inner")
             .select(*keys, F.col("_t").alias(point_ts), (F.col("_off") + F.col("_loc")).cast("long").alias(out)))
+
+
+def carry_scan(events: DataFrame, keys: Sequence[str], ts: str, sums: Sequence[str] = (), lasts: Sequence[str] = (),
+               lead: str | None = None) -> DataFrame:
+    """A scan of each key's events in time order, without a window over a key's rows.
+
+    ``events`` has one row per (keys, ts) at most, so a (key, day) holds no more rows than a day has instants, however many
+    rows a hot key came from. Each column of ``sums`` becomes its running total up to and with the row, each of ``lasts`` its
+    last value so far that is not NULL; ``lead`` names a new column, the next row's instant. What one day hands to the
+    next goes through a table with a row per (key, day).
+    """
+    keys = list(keys)
+    e = events.withColumn("_b", F.timestamp_diff("DAY", _base(), F.col(ts)))
+    w = Window.partitionBy(*keys, "_b").orderBy(ts)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = e.select(*[c for c in e.columns if c not in {*sums, *lasts}], *[F.sum(c).over(so_far).alias(c) for c in sums],
+                     *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in lasts], *([F.lead(ts).over(w).alias(lead)] if lead else []))
+    days = e.groupBy(*keys, "_b").agg(F.min(ts).alias("_first"), *[F.sum(c).alias(f"_{c}") for c in sums],
+                                      *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_{c}") for c in lasts])
+    wd = Window.partitionBy(*keys).orderBy("_b")
+    before = wd.rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(*keys, "_b", *[F.sum(f"_{c}").over(before).alias(f"_{c}") for c in sums],
+                          *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}") for c in lasts], F.lead("_first").over(wd).alias("_next"))
+    j = local.join(carried, [*keys, "_b"])
+    j = j.withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums} | {c: F.coalesce(c, f"_{c}") for c in lasts}
+                      | ({lead: F.coalesce(lead, "_next")} if lead else {}))
+    return j.drop("_b", "_next", *[f"_{c}" for c in (*sums, *lasts)])
+
+
+def rank_cover(ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows × the canonical dyadic blocks ``(_lvl, _k)`` of the ranks ``lo <= r < hi``: at most two a level, and only levels that the
+    range's length reaches. Block k of level l holds the ranks k * 2^l to (k + 1) * 2^l - 1. Empty ranges give no rows."""
+    lv = ranges.where(F.col(lo) < F.col(hi)).withColumn("_lvl", F.expr(f"explode(sequence(0, length(bin({hi} - {lo})) - 1))"))
+    # whole blocks of a level inside the range, and of the level above
+    lv = (lv.withColumn("_a", F.expr(f"shiftright({lo} + shiftleft(1L, _lvl) - 1, _lvl)")).withColumn("_e", F.expr(f"shiftright({hi}, _lvl)"))
+          .withColumn("_pa", F.expr(f"2 * shiftright({lo} + shiftleft(2L, _lvl) - 1, _lvl + 1)")).withColumn("_pe", F.expr(f"2 * shiftright({hi}, _lvl + 1)")))
+    ex = lv.where("_a < _e").withColumn("_k", F.explode(F.array_distinct(F.expr("array(_a, _e - 1)"))))
+    return ex.where("_pa >= _pe OR _k < _pa OR _k >= _pe").drop("_a", "_e", "_pa", "_pe")
+
+
+def enclosing_blocks(ranks: DataFrame, rank: str, most: Column) -> DataFrame:
+    """Rows × the blocks ``(_lvl, _k)`` that hold their rank, for all levels a range of ``most`` ranks can reach."""
+    return (ranks.withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.length(F.bin(most)) - 1)))
+            .withColumn("_k", F.expr(f"shiftright({rank}, _lvl)")))
+
+
+def events_between(pairs: DataFrame, events: DataFrame, keys: Sequence[str], lo: str, hi: str, event_ts: str, out: str) -> DataFrame:
+    """(keys, lo, hi, out) for the distinct pairs of instants of ``pairs`` (``hi`` not NULL): how many distinct events with equal ``keys`` lie
+    in ``(lo, hi]``, as a difference of running counts."""
+    key = [*keys, "_one"]  # never an empty key
+    pairs = pairs.where(F.col(hi).isNotNull()).select(*keys, lo, hi).distinct()
+    points = pairs.select(*keys, F.explode(F.array(lo, hi)).alias("_at")).distinct().withColumn("_one", F.lit(0))
+    since = events.select(*keys, F.lit(0).alias("_one"), F.col(event_ts).alias("_from")).distinct().withColumn("_to", F.lit(None).cast("timestamp_ntz"))
+    upto = count_covering(points, since, key, "_at", "_from", "_to", "_n").drop("_one")
+    both = pairs.join(upto.select(*keys, F.col("_at").alias(lo), F.col("_n").alias("_n0")), [*keys, lo]).join(
+        upto.select(*keys, F.col("_at").alias(hi), F.col("_n").alias("_n1")), [*keys, hi])
+    return both.select(*keys, lo, hi, (F.col("_n1") - F.col("_n0")).alias(out))
