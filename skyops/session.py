@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,9 +65,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint directory and return a frame reading it.
+    """Write ``df`` as a table in the shared checkpoint directory and return a frame reading it.
 
-    Used where one intermediate feeds several branches of a deep plan; the reliable checkpoint
-    survives executor loss (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Used where one intermediate feeds several branches of a deep plan; the table survives executor loss (never a local
+    checkpoint), is computed once (a checkpoint runs its last stage twice) and read by columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
