@@ -5,20 +5,26 @@ ids. ORC stores the integer columns in run-length encoding, keeps a row index pe
 readers split files by stripes and skip stripes and row groups by doc_id. Documents are dealt by ranges of doc_id, sorted and encoded
 as a stream within each task; ids of different documents never meet in one task's memory beyond a batch.
 
-The tokenizer drops white space and lower-cases, so the ids of a text are those of its lower-cased pieces without ASCII white space, in turn; and those
-of a Latin word with ASCII punctuation behind it are those of the word, then those of the punctuation. A worker process keeps the ids of up to ``CACHE``
-pieces from one task to the next, those used last.
-
-Defined results: null and empty text have the end id alone; equal doc_ids are ordered by text; null doc_ids come first; an empty
-table gives an empty directory of files; other columns are ignored.
+With a tokenizer file whose normaliser and splitter are ``NORMALISER`` and ``SPLITTER`` (white space dropped, lower case, runs of letters, single digits, runs of
+marks), the ids of a text are those of its lower-cased pieces between ASCII white space, in turn; those of a Latin word with ASCII marks behind it are
+those of the word, then those of the marks; and those of a Latin word alone come straight from the merge model. A worker process keeps the
+ids of up to ``CACHE`` pieces from one task to the next, those used last, and encodes the new pieces
+of a slice of texts together (equal pieces of a slice are found by 64-bit hashes). With any other tokenizer
+file the texts are encoded whole.
+
+Defined results: null and empty text have the end id alone; equal doc_ids are ordered by a hash of the text; null doc_ids come first; an empty
+table gives an empty directory of files; other columns are ignored, whatever their names; bytes that are not UTF-8 count as U+FFFD. Ranges are of (doc_id, hash of the
+text), so a doc_id with a third of the rows spreads over tasks.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,40 +33,95 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skyops.llm.common import texts
+from skyops.llm.common import slices, texts
+from skyops.llm.words import NOT_SPACE, hash_spans, spans
 
 #: pieces whose ids a worker keeps (some 200 bytes each), and the longest piece that is kept (bytes)
 CACHE, LONGEST = 500_000, 48
+#: fixed values: the normaliser and splitter for which ids go by pieces
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: letters of ASCII and Latin-1, then ASCII punctuation without ' (it starts suffixes like 's) and < (special tokens)
-_WORD_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]+)")
+_WORD = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_WORD_AND_MARKS = re.compile(rb"(" + _WORD + rb")([!-&(-/:;=-@\[-`{-~]+)?")
 
 
-class PieceIds(dict):
-    """Piece (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit integers."""
+class PieceIds:
+    """Ids of texts, by way of the ids of their pieces (bytes without ASCII white space), kept as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_pieces = (spec.get("normalizer"), spec.get("pre_tokenizer")) == (NORMALISER, SPLITTER) and spec.get("post_processor") is None
+        # the model alone, for words that need no normalising: their bytes stand as the letters that the splitter names them by
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: "".join(x for x, _ in byte_level.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
+        self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if (ids := self.older.get(piece)) is not None:
-            pass
-        elif parts := _WORD_AND_MARKS.fullmatch(piece):
-            ids = self[parts[1]] + self[parts[2]]
-        else:
-            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= CACHE // 2:  # what was used since the last time becomes the older half
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def of_text(self, text: bytes) -> bytes:
-        # special tokens are matched as they are written, so a text that may hold one is not lower-cased beforehand
-        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+    def _add(self, tokenizer, pieces: list[bytes], strings: list[str]) -> None:
+        """Encode all ``strings`` and keep their ids under ``pieces``."""
+        ids = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
+        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        self.ids.update(zip(pieces, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain, words, marked, others = [], [], [], []
+        for p in pieces:
+            if (ids := self.older.get(p)) is not None:
+                self.ids[p] = ids
+            elif p.isalpha() and p.islower():  # a-z alone
+                plain.append(p)
+            elif parts := _WORD_AND_MARKS.fullmatch(p):
+                if parts[2]:
+                    marked.append(parts.group(0, 1, 2))
+                else:
+                    words.append(p)
+            else:
+                others.append(p)
+        self._add(self.bare, plain, [w.decode() for w in plain])
+        self._add(self.bare, words, [w.decode().lower().translate(self.letters) for w in words])
+        self._add(self.tokenizer, others, [p.decode(errors="replace") for p in others])
+        if marked:
+            self._learn([x for x in {x for parts in marked for x in parts[1:]} if x not in self.ids])
+            self.ids.update((p, self.ids[word] + self.ids[marks]) for p, word, marks in marked)
+
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, each followed by ``end_id``, and how many each has."""
+        raw = data.tobytes()
+        if not self.by_pieces:
+            whole = self.tokenizer.encode_batch_fast([raw[a:b].decode(errors="replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
+            ids = [[*e.ids, end_id] for e in whole]
+            return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+        if len(self.ids) >= CACHE // 2:  # what was used since the last time becomes the older half
+            self.older, self.ids = self.ids, {}
+        # special tokens are matched as they are written, so a slice that may hold one is not lower-cased beforehand
+        fold = b"<|" not in raw
+        raw = raw.lower() if fold else raw
+        starts, ends, words = spans(data, off, NOT_SPACE)
+        _, first, which = np.unique(hash_spans(data, starts, ends, fold), return_index=True, return_inverse=True)
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if new := [p for p in pieces if p not in self.ids]:
+            self._learn(new)
+        kept = [self.ids[p] for p in pieces] + [np.array([end_id], "<u4").tobytes()]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.ids[p]
+        which = np.insert(which, words[1:], len(pieces))  # the end id is one more piece of each text
+        size = np.fromiter(map(len, kept), np.int64, len(kept)) >> 2
+        head = np.cumsum(size) - size
+        out = size[which]
+        place = np.cumsum(out) - out
+        ids = np.frombuffer(b"".join(kept), "<u4")[np.repeat(head[which] - place, out) + np.arange(out.sum())]
+        return ids, np.add.reduceat(out, words[:-1] + np.arange(len(off) - 1))
 
 
 @cache
@@ -75,20 +136,19 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     def encode(batches):
         pieces, done = piece_ids(tokenizer_path), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            bodies = [pieces.of_text(t.as_py()) + end for t in batch.column("text")]
-            n = np.fromiter((len(b) >> 2 for b in bodies), np.int64, len(bodies))
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(bodies), "<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), pa.array(done + offsets[:-1], pa.int64()), pa.array(n, pa.int64()), ids],
-                names=["doc_id", "part", "local_start", "n_tokens", "ids"])
-            done += int(offsets[-1])
+            for i, j, data, off in slices(batch.column("text")):
+                ids, n = pieces.encode(data, off, end_id)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), batch.column("part").slice(i, j - i), pa.array(done + offsets[:-1], pa.int64()), pa.array(n, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))],
+                    names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+                done += int(offsets[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    (texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .withColumn("part", F.spark_partition_id())
+    (texts(docs).withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+     .drop("hash").withColumn("part", F.spark_partition_id())
      .mapInArrow(encode, f"doc_id {kind}, part int, local_start bigint, n_tokens bigint, ids array<int>")
      .write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", stride)
      .option("orc.stripe.size", stripe_bytes).orc(path))

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skyops.llm import tokens
@@ -27,17 +28,28 @@ def written(spark, docs, **options):
     return tokens.read_token_orc(spark, path), path
 
 
+def encoded(pieces, texts):
+    """Ids of each text of a slice as bytes, without the end id."""
+    bodies = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+    ids, n = pieces.encode(np.frombuffer(b"".join(bodies), np.uint8), off, 1)
+    parts = np.split(ids, np.cumsum(n)[:-1])
+    assert all(p[-1] == 1 for p in parts)
+    return [p[:-1].astype("<u4").tobytes() for p in parts]
+
+
 def check(spark, docs, tokenizer):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0], r[1].encode()))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = [(r.doc_id, bytes(r.t).decode(errors="replace")) for r in docs.select("doc_id", text.alias("t")).orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(text), text).collect()]
     got, _ = written(spark, docs)
-    ids = sorted((r.part, r.local_start, r.doc_id, r.ids) for r in got.collect())
+    ids = sorted(((r.part, r.local_start, r.doc_id, r.ids) for r in got.collect()), key=lambda r: r[:2])
     want, start = [], 0
     for i, t in rows:
         own = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
         want.append((i, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
         start += len(own)
     assert [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for _, _, i, x in ids] == [(i, n, c) for i, _, n, c in want]
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_digest(got).collect()) == sorted(want)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_digest(got).collect()), key=lambda r: r[1]) == want
 
 
 def test_given_table(spark, tokenizer):
@@ -49,6 +61,37 @@ def test_edge_texts(spark, make_docs, tokenizer):
                             (8, "é É, café!  nb sp İI ΣΣ ﬁ 12345 a1b2 ,,;; a×b ÷"), (5, "word " * 20000)]), tokenizer)
 
 
+def test_hot_and_null_ids_spread_over_tasks(spark, make_docs, tokenizer):
+    docs = make_docs([(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i}") for i in range(1500)], 8)
+    check(spark, docs, tokenizer)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    got, _ = written(spark, docs)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+    assert max(sizes) <= 2 * 1500 / 8
+
+
+def test_bytes_that_are_not_utf8(spark, tokenizer):
+    check(spark, spark.sql("SELECT id doc_id, cast(unhex(concat('41FF42', '20C3', '20', hex(id), 'C3A9')) AS string) text, 1 part, 'x' ids FROM range(40, 50)"), tokenizer)
+
+
+@pytest.mark.parametrize("cache", [2, 40, 500_000])
+def test_small_caches(monkeypatch, tokenizer, cache):
+    monkeypatch.setattr(tokens, "CACHE", cache)
+    pieces = tokens.PieceIds(PATH)
+    texts = [f"Word{i % 7} Émile's thing{i}, (thing{i % 3}) {'y' * 60} été! a1 été ß ÿ É" for i in range(40)]
+    for k in range(0, 40, 5):
+        assert encoded(pieces, texts[k: k + 5]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[k: k + 5]]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces, whole = tokens.PieceIds(path), Tokenizer.from_file(path)
+    texts = ["Some  text\n with SPACES, it's kept.", "", "é  É"]
+    assert not pieces.by_pieces and tokens.PieceIds(PATH).by_pieces
+    assert encoded(pieces, texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_empty_table(spark, make_docs):
     got, _ = written(spark, make_docs(["a"]).limit(0))
     assert tokens.token_digest(got).count() == 0
@@ -64,7 +107,7 @@ def test_rows_are_pruned_by_doc_id(spark, make_docs):
 @given(st.text(alphabet=st.one_of(st.sampled_from("aB'’sS.,!<|>#1é É́ñ÷× \n"), st.characters(blacklist_categories=["Cs"])), max_size=30))
 def test_pieces_are_the_whole_text(text):
     want = np.array(_whole().tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-    assert _whole().of_text(text.encode()) == want
+    assert encoded(_whole(), [text]) == [want]
 
 
 def _whole():
