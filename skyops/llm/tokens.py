@@ -6,11 +6,10 @@ readers split files by stripes and skip stripes and row groups by doc_id. Docume
 as a stream within each task; ids of different documents never meet in one task's memory beyond a batch.
 
 With a tokenizer file whose normaliser and splitter are ``NORMALISER`` and ``SPLITTER`` (white space dropped, lower case, runs of letters, single digits, runs of
-marks), the ids of a text are those of its lower-cased pieces between ASCII white space, in turn; those of a Latin word with ASCII marks behind it are
-those of the word, then those of the marks; and those of a Latin word alone come straight from the merge model. A worker process keeps the
-ids of up to ``CACHE`` pieces from one task to the next, those used last, and encodes the new pieces
-of a slice of texts together (equal pieces of a slice are found by 64-bit hashes). With any other tokenizer
-file the texts are encoded whole.
+marks), the ids of a text are those of its lower-cased pieces in turn: the stretches between ASCII white space, cut further where they hold Latin letters, ASCII marks
+and digits alone; the ids of a Latin word come straight from the merge model. A worker process keeps the ids of up to ``CACHE`` pieces from one task
+to the next, those used last, and encodes the new pieces of a slice of texts together (equal pieces of a slice are found by 64-bit hashes). With any other
+tokenizer file the texts are encoded whole.
 
 Defined results: null and empty text have the end id alone; equal doc_ids are ordered by a hash of the text; null doc_ids come first; an empty
 table gives an empty directory of files; other columns are ignored, whatever their names; bytes that are not UTF-8 count as U+FFFD. Ranges are of (doc_id, hash of the
@@ -43,9 +42,38 @@ NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Rep
 SPLITTER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-#: letters of ASCII and Latin-1, then ASCII punctuation without ' (it starts suffixes like 's) and < (special tokens)
-_WORD = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-_WORD_AND_MARKS = re.compile(rb"(" + _WORD + rb")([!-&(-/:;=-@\[-`{-~]+)?")
+#: a word of letters of ASCII and Latin-1
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: kinds of bytes: white space, letters, marks, digits, and all that the splitter may treat otherwise (' starts suffixes like 's, < special tokens)
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<"]] = _MARK
+_KIND[48:58] = _DIGIT
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False  # the signs of multiplication and division
+
+
+def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of the pieces of a slice, and the texts' n + 1 offsets into them. Stretches between white space that hold Latin letters, marks and digits
+    alone are cut into runs of letters, runs of marks and single digits."""
+    starts, ends, words = spans(data, off, NOT_SPACE)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_AFTER_C3[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    others = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1
+    stretch = np.searchsorted(starts, cut, "right") - 1
+    inside = (stretch >= 0) & (kind[cut] != _SPACE) & (cut > starts[stretch]) & (cut < ends[stretch]) if len(starts) else np.zeros(len(cut), bool)
+    cut, stretch = cut[inside], stretch[inside]
+    cut = cut[others[ends[stretch]] == others[starts[stretch]]]
+    if not len(cut):
+        return starts, ends, words
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends, np.searchsorted(starts, off)
 
 
 class PieceIds:
@@ -74,25 +102,18 @@ class PieceIds:
         self.ids.update(zip(pieces, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def _learn(self, pieces: list[bytes]) -> None:
-        plain, words, marked, others = [], [], [], []
+        plain, words, others = [], [], []
         for p in pieces:
             if (ids := self.older.get(p)) is not None:
                 self.ids[p] = ids
             elif p.isalpha() and p.islower():  # a-z alone
                 plain.append(p)
-            elif parts := _WORD_AND_MARKS.fullmatch(p):
-                if parts[2]:
-                    marked.append(parts.group(0, 1, 2))
-                else:
-                    words.append(p)
+            elif _WORD.fullmatch(p):
+                words.append(p)
             else:
                 others.append(p)
-        self._add(self.bare, plain, [w.decode() for w in plain])
-        self._add(self.bare, words, [w.decode().lower().translate(self.letters) for w in words])
+        self._add(self.bare, plain + words, [w.decode() for w in plain] + [w.decode().lower().translate(self.letters) for w in words])
         self._add(self.tokenizer, others, [p.decode(errors="replace") for p in others])
-        if marked:
-            self._learn([x for x in {x for parts in marked for x in parts[1:]} if x not in self.ids])
-            self.ids.update((p, self.ids[word] + self.ids[marks]) for p, word, marks in marked)
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each followed by ``end_id``, and how many each has."""
@@ -106,7 +127,7 @@ class PieceIds:
         # special tokens are matched as they are written, so a slice that may hold one is not lower-cased beforehand
         fold = b"<|" not in raw
         raw = raw.lower() if fold else raw
-        starts, ends, words = spans(data, off, NOT_SPACE)
+        starts, ends, words = pieces_of(data, off)
         _, first, which = np.unique(hash_spans(data, starts, ends, fold), return_index=True, return_inverse=True)
         pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if new := [p for p in pieces if p not in self.ids]:
