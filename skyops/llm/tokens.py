@@ -7,9 +7,9 @@ as a stream within each task; ids of different documents never meet in one task'
 
 With a tokenizer file whose normaliser and splitter are ``NORMALISER`` and ``SPLITTER`` (white space dropped, lower case, runs of letters, single digits, runs of
 marks), the ids of a text are those of its lower-cased pieces in turn: the stretches between ASCII white space, cut further where they hold Latin letters, ASCII marks
-and digits alone; the ids of a Latin word come straight from the merge model. A worker process keeps the ids of up to ``CACHE`` pieces from one task
-to the next, those used last, and encodes the new pieces of a slice of texts together (equal pieces of a slice are found by 64-bit hashes). With any other
-tokenizer file the texts are encoded whole.
+and digits alone; the ids of a Latin word come straight from the merge model. A worker process keeps the ids of pieces
+from one task to the next, in flat arrays with one slot for 2^-``SLOT_BITS`` of all hashes, and encodes the new pieces of a slice of texts together; pieces are told apart
+by 64-bit hashes. With any other tokenizer file the texts are encoded whole.
 
 Defined results: null and empty text have the end id alone; equal doc_ids are ordered by a hash of the text; null doc_ids come first; an empty
 table gives an empty directory of files; other columns are ignored, whatever their names; bytes that are not UTF-8 count as U+FFFD. Ranges are of (doc_id, hash of the
@@ -35,8 +35,8 @@ from pyspark.sql.window import Window
 from skyops.llm.common import slices, texts
 from skyops.llm.words import NOT_SPACE, hash_spans, spans
 
-#: pieces whose ids a worker keeps (some 200 bytes each), and the longest piece that is kept (bytes)
-CACHE, LONGEST = 500_000, 48
+#: the piece table of a worker: 2^SLOT_BITS slots of 16 bytes and their ids, and the longest piece that is kept (bytes)
+SLOT_BITS, LONGEST = 20, 48
 #: fixed values: the normaliser and splitter for which ids go by pieces
 NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = {"type": "Sequence", "pretokenizers": [
@@ -59,17 +59,16 @@ _AFTER_C3[[0x97, 0xB7]] = False  # the signs of multiplication and division
 def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of the pieces of a slice, and the texts' n + 1 offsets into them. Stretches between white space that hold Latin letters, marks and digits
     alone are cut into runs of letters, runs of marks and single digits."""
-    starts, ends, words = spans(data, off, NOT_SPACE)
     kind = _KIND[data]
     lead = np.flatnonzero(data[:-1] == 0xC3)
     lead = lead[_AFTER_C3[data[lead + 1]]]
     kind[lead] = kind[lead + 1] = _LETTER
-    others = np.concatenate([[0], np.cumsum(kind == _OTHER)])
-    cut = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1
+    starts, ends, words = spans(data, off, NOT_SPACE)
+    cut = np.flatnonzero(((kind[1:] != kind[:-1]) & (kind[1:] != _SPACE) & (kind[:-1] != _SPACE)) | ((kind[1:] == _DIGIT) & (kind[:-1] == _DIGIT))) + 1
     stretch = np.searchsorted(starts, cut, "right") - 1
-    inside = (stretch >= 0) & (kind[cut] != _SPACE) & (cut > starts[stretch]) & (cut < ends[stretch]) if len(starts) else np.zeros(len(cut), bool)
-    cut, stretch = cut[inside], stretch[inside]
-    cut = cut[others[ends[stretch]] == others[starts[stretch]]]
+    others = np.concatenate([[0], np.cumsum(kind == _OTHER, dtype=np.int32)])
+    keep = (cut > starts[stretch]) & (others[ends[stretch]] == others[starts[stretch]])  # a text's first byte is no cut
+    cut = cut[keep]
     if not len(cut):
         return starts, ends, words
     starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
@@ -77,7 +76,7 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class PieceIds:
-    """Ids of texts, by way of the ids of their pieces (bytes without ASCII white space), kept as little-endian unsigned 32-bit integers."""
+    """Ids of texts, by way of the ids of their pieces (bytes without ASCII white space), kept as unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,29 +90,45 @@ class PieceIds:
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(x for x, _ in byte_level.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
-        self.ids: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _add(self, tokenizer, pieces: list[bytes], strings: list[str]) -> None:
-        """Encode all ``strings`` and keep their ids under ``pieces``."""
-        ids = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
-        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        self.ids.update(zip(pieces, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-
-    def _learn(self, pieces: list[bytes]) -> None:
+        # slot (top bits of a piece's hash) -> hash, and where its ids are; a piece takes the place of the one that has its slot
+        self.keys, self.head, self.size = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 1  # the first is the end id's
+
+    def _append(self, ids: np.ndarray) -> int:
+        """Put ``ids`` behind the others; those that no slot names any more are dropped when they would outgrow the store."""
+        if self.used + len(ids) > len(self.store):
+            live = np.flatnonzero(self.keys)
+            size = self.size[live]
+            place = np.cumsum(size, dtype=np.int64) - size
+            kept = self.store[np.repeat(self.head[live] - place, size) + np.arange(size.sum())]
+            self.store = np.zeros(max(len(self.store), 2 * (1 + len(kept) + len(ids))), np.uint32)
+            self.store[1: 1 + len(kept)] = kept
+            self.head[live], self.used = 1 + place, 1 + len(kept)
+        at = self.used
+        self.store[at: at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode the pieces: where their ids are, and how many each has."""
         plain, words, others = [], [], []
-        for p in pieces:
-            if (ids := self.older.get(p)) is not None:
-                self.ids[p] = ids
-            elif p.isalpha() and p.islower():  # a-z alone
-                plain.append(p)
+        for k, p in enumerate(pieces):
+            if p.isalpha() and p.islower():  # a-z alone
+                plain.append(k)
             elif _WORD.fullmatch(p):
-                words.append(p)
+                words.append(k)
             else:
-                others.append(p)
-        self._add(self.bare, plain + words, [w.decode() for w in plain] + [w.decode().lower().translate(self.letters) for w in words])
-        self._add(self.tokenizer, others, [p.decode(errors="replace") for p in others])
+                others.append(k)
+        bare = [pieces[k].decode() for k in plain] + [pieces[k].decode().lower().translate(self.letters) for k in words]
+        ids = [e.ids for e in self.bare.encode_batch_fast(bare, add_special_tokens=False)]
+        if others:
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k].decode(errors="replace") for k in others], add_special_tokens=False)]
+        by = np.array(plain + words + others)
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        at = self._append(np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
+        head, size = np.empty(len(ids), np.int32), np.empty(len(ids), np.int32)
+        head[by], size[by] = at + np.cumsum(n) - n, n
+        return head, size
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each followed by ``end_id``, and how many each has."""
@@ -121,28 +136,31 @@ class PieceIds:
         if not self.by_pieces:
             whole = self.tokenizer.encode_batch_fast([raw[a:b].decode(errors="replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
             ids = [[*e.ids, end_id] for e in whole]
-            return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
-        if len(self.ids) >= CACHE // 2:  # what was used since the last time becomes the older half
-            self.older, self.ids = self.ids, {}
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
         # special tokens are matched as they are written, so a slice that may hold one is not lower-cased beforehand
         fold = b"<|" not in raw
-        raw = raw.lower() if fold else raw
         starts, ends, words = pieces_of(data, off)
-        _, first, which = np.unique(hash_spans(data, starts, ends, fold), return_index=True, return_inverse=True)
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if new := [p for p in pieces if p not in self.ids]:
-            self._learn(new)
-        kept = [self.ids[p] for p in pieces] + [np.array([end_id], "<u4").tobytes()]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.ids[p]
-        which = np.insert(which, words[1:], len(pieces))  # the end id is one more piece of each text
-        size = np.fromiter(map(len, kept), np.int64, len(kept)) >> 2
-        head = np.cumsum(size) - size
-        out = size[which]
-        place = np.cumsum(out) - out
-        ids = np.frombuffer(b"".join(kept), "<u4")[np.repeat(head[which] - place, out) + np.arange(out.sum())]
-        return ids, np.add.reduceat(out, words[:-1] + np.arange(len(off) - 1))
+        key = hash_spans(data, starts, ends, fold)
+        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            raw = raw.lower() if fold else raw
+            new_key, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            a, b = starts[new[first]], ends[new[first]]
+            # ids move when the store is cleared, so the slots are read after this
+            new_head, new_size = self._learn([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        head, size = self.head[slot], self.size[slot]
+        if len(new):
+            head[new], size[new] = new_head[which], new_size[which]
+            kept = np.flatnonzero(b - a <= LONGEST)
+            into, last = np.unique((new_key[kept] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_index=True)
+            kept = kept[last]
+            self.keys[into], self.head[into], self.size[into] = new_key[kept], new_head[kept], new_size[kept]
+        self.store[0] = end_id  # one more piece of each text
+        head, size = np.insert(head, words[1:], 0), np.insert(size, words[1:], 1)
+        place = np.cumsum(size, dtype=np.int64) - size
+        ids = self.store[np.repeat(head - place, size) + np.arange(size.sum())]
+        return ids, np.add.reduceat(size, words[:-1] + np.arange(len(off) - 1), dtype=np.int64)
 
 
 @cache
