@@ -105,16 +105,25 @@ def plane_label(manufacturer, size) -> Column:
     return F.format_string("%s (%s)", _c(manufacturer), _c(size))
 
 
+#: fixed value: the characters that count as white space at the ends of form fields
+WHITE_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def strip(x) -> Column:
+    """Text without white space at both ends: tabs, line ends and Unicode spaces too, unlike ``trim``."""
+    return F.regexp_replace(_c(x).cast("string"), f"^{WHITE_SPACE}|{WHITE_SPACE}\\z", "")
+
+
 # F-11
 def is_english_name(x) -> Column:
-    t = F.trim(F.coalesce(_c(x).cast("string"), F.lit("")))
+    t = strip(F.coalesce(_c(x).cast("string"), F.lit("")))
     return (t != "") & t.rlike(ENGLISH_NAME_PATTERN)
 
 
 # F-12
 def positive_int(x) -> Column:
-    """Digits only (after trim) and > 0 → the number, else NULL."""
-    t = F.trim(_c(x).cast("string"))
+    """ASCII digits only (after :func:`strip`) and > 0 → the number, else NULL."""
+    t = strip(x)
     n = (t).try_cast("long")
     return F.when(t.rlike(r"^[0-9]+$") & (n > 0), n)
 

@@ -185,7 +185,7 @@ def order_cancel(t: Airline, requests: DataFrame, as_of: Column) -> tuple[DataFr
                                 "Total_price", "Cancellation_fee"), "order_id", "left")
          .join(legs.withColumnRenamed("Order_ID", "order_id"), "order_id", "left"))
     owner = (F.coalesce(F.col("MEMBER_Email") == F.col("req_member"), F.lit(False))
-             | F.coalesce((F.trim(F.coalesce("req_guest", F.lit(""))) != "")
+             | F.coalesce((X.strip(F.coalesce("req_guest", F.lit(""))) != "")
                           & (F.col("GUEST_Email") == F.col("req_guest")), F.lit(False)))
     reason = (F.when(F.col("Status").isNull(), "not found")
                .when(~owner, "not owner")

@@ -89,11 +89,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def check_domain(t: Airline) -> DataFrame:
-    """V-01: rows breaking an enumeration / positivity / letter rule → (tbl, key, rule)."""
-    tabs = t.tables()
-    return _union([tabs[tb].where(~ok).select(F.lit(tb).alias("tbl"), _key(PRIMARY_KEYS[tb]).alias("key"),
-                                              F.lit(rule).alias("rule"))
-                   for tb, rule, ok in _domain_rules()])
+    """V-01: rows breaking an enumeration / positivity / letter rule → (tbl, key, rule); one pass per table."""
+    tabs, rules = t.tables(), {}
+    for tb, rule, ok in _domain_rules():
+        rules.setdefault(tb, []).append((~ok, rule))
+    return _union([_broken(tabs[tb], tb, checks, "rule") for tb, checks in rules.items()])
+
+
+def _broken(df: DataFrame, tb: str, checks: list[tuple[Column, str]], out: str) -> DataFrame:
+    """(tbl, key, ``out``): a row for each check, ``(broken, name)``, that a row of ``df`` fails."""
+    names = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]))
+    return df.select(F.lit(tb).alias("tbl"), _key(PRIMARY_KEYS[tb]).alias("key"), F.explode(names).alias(out))
 
 
 def check_unique(t: Airline) -> DataFrame:
@@ -117,19 +123,14 @@ def check_fk(t: Airline) -> DataFrame:
 
 
 def check_not_null(t: Airline) -> DataFrame:
-    """V-04: required fields that are NULL or blank text → (tbl, key, col)."""
+    """V-04: required fields that are NULL or blank text → (tbl, key, col); one pass per table."""
     out = []
     for tb, df in t.tables().items():
         if tb not in PRIMARY_KEYS:
             continue
-        for f in df.schema.fields:
-            if (tb, f.name) in NULLABLE:
-                continue
-            bad = F.col(f.name).isNull()
-            if f.dataType.simpleString() == "string":
-                bad = bad | (F.trim(F.col(f.name)) == "")
-            out.append(df.where(bad).select(F.lit(tb).alias("tbl"), _key(PRIMARY_KEYS[tb]).alias("key"),
-                                            F.lit(f.name).alias("col")))
+        required = [f for f in df.schema.fields if (tb, f.name) not in NULLABLE]
+        blank = {f.name: X.strip(f.name) == "" for f in required if f.dataType.simpleString() == "string"}
+        out.append(_broken(df, tb, [(F.col(f.name).isNull() | blank.get(f.name, F.lit(False)), f.name) for f in required], "col"))
     return _union(out)
 
 
@@ -138,10 +139,10 @@ def validate_people(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
     failing reason: missing field, first / last name not English, bad date of birth, under 18,
     e-mail already a member; ``ok`` otherwise."""
     req = ["email", "first", "last", "passport", "dob", "phone"]
-    missing = functools.reduce(lambda a, b: a | b, [F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in req])
-    dob = F.try_to_timestamp(F.trim("dob"), F.lit("yyyy-MM-dd")).cast("date")
+    missing = functools.reduce(lambda a, b: a | b, [X.strip(F.coalesce(F.col(c), F.lit(""))) == "" for c in req])
+    dob = F.try_to_timestamp(X.strip("dob"), F.lit("yyyy-MM-dd")).cast("date")
     members = t.member.select(F.col("Email").alias("_e")).distinct().withColumn("_member", F.lit(True))
-    r = rows.withColumn("_e", F.trim("email")).join(members, "_e", "left")
+    r = rows.withColumn("_e", X.strip("email")).join(members, "_e", "left")
     reason = (F.when(missing, "missing field")
                .when(~X.is_english_name("first"), "first name not English")
                .when(~X.is_english_name("last"), "last name not English")
@@ -157,10 +158,10 @@ def validate_aircraft(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
     size, reg_rows, reg_cols, first_rows, first_cols) → first failing reason: missing field, bad
     date, date in the future, not numeric, too many columns, not positive, Big needs First, id
     exists; ``ok`` otherwise. First rows and columns of a Small aircraft don't count."""
-    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("long"))
+    given = lambda c: X.strip(F.coalesce(F.col(c), F.lit(""))) != ""
+    number = lambda c: F.when(X.strip(c).rlike(r"^[+-]?[0-9]+$"), X.strip(c).try_cast("long"))
     required = ["airplane_id", "purchase_date", "manufacturer", "size", "reg_rows", "reg_cols"]
-    bought = F.try_to_timestamp(F.trim("purchase_date"), F.lit("yyyy-MM-dd")).cast("date")
+    bought = F.try_to_timestamp(X.strip("purchase_date"), F.lit("yyyy-MM-dd")).cast("date")
     whole = {c: number(c) for c in ("airplane_id", "reg_rows", "reg_cols", "first_rows", "first_cols")}
     any_of = lambda conds: functools.reduce(lambda a, b: a | b, conds)
     no_first = any_of([F.coalesce(whole[c], F.lit(0)) <= 0 for c in ("first_rows", "first_cols")])
@@ -171,7 +172,7 @@ def validate_aircraft(rows: DataFrame, t: Airline, as_of: Column) -> DataFrame:
                .when(any_of([given(c) & whole[c].isNull() for c in whole]), "not numeric")
                .when(any_of([F.coalesce(whole[c], F.lit(0)) > 26 for c in ("reg_cols", "first_cols")]), "too many columns")
                .when(any_of([whole[c] <= 0 for c in ("airplane_id", "reg_rows", "reg_cols")]), "not positive")
-               .when((F.trim("size") != "Small") & no_first, "Big needs First")
+               .when((X.strip("size") != "Small") & no_first, "Big needs First")
                .when(F.col("_known").isNotNull(), "id exists")
                .otherwise("ok"))
     return rows.withColumn("_id", whole["airplane_id"]).join(known, "_id", "left").select(*rows.columns, reason.alias("reason"))
@@ -182,14 +183,14 @@ def validate_aircrew(rows: DataFrame, t: Airline) -> DataFrame:
     reason: missing field, id not numeric, id not positive, first / last name not English, house number
     not numeric, house number not positive, id exists; ``ok`` otherwise."""
     required = ["id", "first", "last", "phone", "city", "street", "house", "start", "type"]
-    missing = functools.reduce(lambda a, b: a | b, [F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in required])
-    number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("long"))
+    missing = functools.reduce(lambda a, b: a | b, [X.strip(F.coalesce(F.col(c), F.lit(""))) == "" for c in required])
+    number = lambda c: F.when(X.strip(c).rlike(r"^[+-]?[0-9]+$"), X.strip(c).try_cast("long"))
     known = t.aircrew.select(F.col("ID").cast("long").alias("_id")).distinct().withColumn("_known", F.lit(True))
     reason = (F.when(missing, "missing field")
                .when(number("id").isNull(), "id not numeric")
                .when(number("id") <= 0, "id not positive")
-               .when(~X.is_english_name(F.trim("first")), "first name not English")
-               .when(~X.is_english_name(F.trim("last")), "last name not English")
+               .when(~X.is_english_name(X.strip("first")), "first name not English")
+               .when(~X.is_english_name(X.strip("last")), "last name not English")
                .when(number("house").isNull(), "house number not numeric")
                .when(number("house") <= 0, "house number not positive")
                .when(F.col("_known").isNotNull(), "id exists")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyops.functions import exprs as X
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
@@ -236,10 +238,11 @@ def distinct_sorted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def next_key(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    """A-11: ``IFNULL(MAX(id), 0)``; with a prefix, the max numeric suffix (lenient)."""
+    """A-11: ``IFNULL(MAX(id), 0)``; with a prefix, the largest number right behind it, over the ids that start with it in
+    either case (leading digits count, an id without any counts as 0)."""
     v = F.col(col)
     if prefix:
-        v = F.coalesce(F.substring(v, len(prefix) + 1, 1 << 20).try_cast("long"), F.lit(0).cast("long"))
+        v = F.when(F.lower(v).startswith(prefix.lower()), X.lenient_int(F.substring(v, len(prefix) + 1, 1 << 20)))
     return df.agg(F.coalesce(F.max(v), F.lit(0).cast("long")).cast("long").alias("max_key"))
 
 

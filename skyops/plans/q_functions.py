@@ -85,26 +85,42 @@ def _f10b(t):
     return t.flight_route.select(X.route_label("Origin_airport", "Arrival_airport").alias("r"))
 
 
-@query("english_name_ok", r"""
-SELECT Email, regexp_full_match(trim(First_name_in_English), '^[A-Za-z](?:[A-Za-z \-'']{0,48}[A-Za-z])?$') AS first_ok,
-       regexp_full_match(trim(Last_name_in_English), '^[A-Za-z](?:[A-Za-z \-'']{0,48}[A-Za-z])?$') AS last_ok
+# white space of several kinds that forms send around a value, by a number
+PADS = ["", "\t", " \n", "\u00a0", "\r\n", "\u2003 "]
+SPACES = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8195)"
+
+
+def padded(value: str, n: str) -> F.Column:
+    pad = F.expr("element_at(array(" + ", ".join("'" + p.encode("unicode_escape").decode().replace("\\xa0", "\\u00a0") + "'" for p in PADS) + f"), cast(({n}) % {len(PADS)} AS int) + 1)")
+    return F.concat(pad, F.col(value), pad)
+
+
+def padded_sql(value: str, n: str) -> str:
+    pad = f"list_extract(['', chr(9), ' ' || chr(10), chr(160), chr(13) || chr(10), chr(8195) || ' '], CAST(({n}) % {len(PADS)} AS INTEGER) + 1)"
+    return f"trim({pad} || {value} || {pad}, {SPACES})"
+
+
+@query("english_name_ok", rf"""
+SELECT Email, regexp_full_match({padded_sql("First_name_in_English", "length(Email)")}, '^[A-Za-z](?:[A-Za-z \-'']{{0,48}}[A-Za-z])?$') AS first_ok,
+       regexp_full_match({padded_sql("regexp_replace(Last_name_in_English, '[#0-9]', '', 'g')", "length(Email) + 2")}, '^[A-Za-z](?:[A-Za-z \-'']{{0,48}}[A-Za-z])?$') AS last_ok
 FROM member
 """)
 def _f11(t):
-    return t.member.select("Email", X.is_english_name("First_name_in_English").alias("first_ok"),
-                           X.is_english_name("Last_name_in_English").alias("last_ok"))
+    m = t.member.withColumn("last", F.regexp_replace("Last_name_in_English", "[#0-9]", ""))
+    return m.select("Email", X.is_english_name(padded("First_name_in_English", "length(Email)")).alias("first_ok"),
+                    X.is_english_name(padded("last", "length(Email) + 2")).alias("last_ok"))
 
 
-@query("positive_int", """
+@query("positive_int", f"""
 SELECT o_orderkey, CASE WHEN regexp_full_match(trim(o_orderpriority), '[0-9]+') AND TRY_CAST(trim(o_orderpriority) AS BIGINT) > 0
                         THEN TRY_CAST(trim(o_orderpriority) AS BIGINT) END AS p1,
-       CASE WHEN TRY_CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) > 0 THEN o_orderkey END AS p2
+       nullif(TRY_CAST({padded_sql("CAST(o_orderkey AS VARCHAR)", "o_orderkey")} AS BIGINT), 0) AS p2
 FROM orders
 """)
 def _f12(t):
-    o = t.raw("orders")
+    o = t.raw("orders").withColumn("key", F.col("o_orderkey").cast("string"))
     return o.select("o_orderkey", X.positive_int("o_orderpriority").alias("p1"),
-                    X.positive_int(F.col("o_orderkey").cast("string")).alias("p2"))
+                    X.positive_int(padded("key", "o_orderkey")).alias("p2"))
 
 
 @query("adult_cutoff", f"""

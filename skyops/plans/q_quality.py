@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,53 @@ def k(*cols):
 
 PK = {tb: k(*cols) for tb, cols in Q.PRIMARY_KEYS.items()}
 
+# Violations added to the derived tables, at least one kind per rule: copies of the rows that meet a condition, with a column replaced by an expression
+# (None: a plain copy). Conditions and expressions are SQL that both engines read alike.
+COPIES = {
+    "aircrew": "ID % 50 = 7", "flight_route": "Flight_duration % 50 = 7", "guest": "length(Email) % 4 = 3", "member": "length(Email) % 4 = 3", "booking": "ID % 97 = 5",
+    "phone_number_guest": "length(Email) % 4 = 3", "phone_number_member": "length(Email) % 4 = 3", "airplane": "ID % 7 = 1", "class": "Airplane_ID % 7 = 1",
+    "seat": "Airplane_ID % 7 = 1 AND Row_num = 1", "flight": "ID LIKE '%77'", "ticket": "Flight_ID LIKE '%77' AND SEAT_Row_num = 1",
+    "ticket_order": "Order_ID % 97 = 5", "aircrew_assignment": "Aircrew_ID % 50 = 7",
+}
+BROKEN = [
+    ("aircrew", "Type", "'Robot'"), ("flight_route", "Flight_duration", "-Flight_duration"), ("booking", "Status", "'Lost'"), ("airplane", "Manufacturer", "'Fokker'"),
+    ("airplane", "Size", "'Huge'"), ("class", "Type", "'Coach'"), ("class", "Number_of_rows", "0"), ("class", "Number_of_columns", "-1"), ("seat", "Class_Type", "'Coach'"),
+    ("seat", "Column_number", "'a'"), ("seat", "Row_num", "0"), ("flight", "Status", "'Late'"), ("flight", "Type", "'Medium'"), ("ticket", "CLASS_Type", "'Coach'"),
+    ("ticket_order", "CLASS_Type", "'Coach'"),
+    # keys without a parent
+    ("booking", "GUEST_Email", "'no' || GUEST_Email"), ("booking", "MEMBER_Email", "'no' || MEMBER_Email"), ("phone_number_guest", "Email", "'no' || Email"),
+    ("phone_number_member", "Email", "'no' || Email"), ("class", "Airplane_ID", "-Airplane_ID"), ("seat", "Airplane_ID", "Airplane_ID + 1000000"), ("flight", "Airplane_ID", "-Airplane_ID"),
+    ("flight", "Origin_airport", "'NOWHERE'"), ("ticket", "SEAT_Row_num", "99"), ("ticket", "Flight_ID", "'X' || Flight_ID"), ("ticket_order", "SEAT_Row_num", "99"),
+    ("ticket_order", "Order_ID", "-Order_ID"), ("aircrew_assignment", "Aircrew_ID", "-Aircrew_ID"), ("aircrew_assignment", "Flight_ID", "'X' || Flight_ID"),
+]
+
+
+def broken_rows() -> list[tuple[str, str | None, str | None]]:
+    """(table, column, expression): plain copies, :data:`BROKEN`, and a missing value for each required column (blank text in every second one)."""
+    missing = [(tb, c, "'  '" if c in TEXT or (tb == "flight" and c == "ID") else "NULL") for tb, cols in REQUIRED.items() for c in cols]
+    return [(tb, None, None) for tb in COPIES] + BROKEN + missing + [(tb, c, "NULL") for tb, c, e in missing[::2] if e != "NULL"]
+
+
+def with_broken_rows(t):
+    """The airline tables with :func:`broken_rows`."""
+    seeded = {}
+    for tb, c, e in broken_rows():
+        df = t.tables()[tb]
+        copy = df.where(COPIES[tb])
+        copy = copy if c is None else copy.withColumn(c, F.expr(e).cast(df.schema[c].dataType))
+        seeded[tb] = seeded.get(tb, df).unionByName(copy)
+    seeded["klass"] = seeded.pop("class")
+    return replace(t, **seeded)
+
+
+def broken_sql(query: str) -> str:
+    """``query`` over the tables with :func:`broken_rows`, which it calls ``s_<table>``."""
+    parts = {tb: [f"SELECT * FROM {tb}"] for tb in COPIES}
+    for tb, c, e in broken_rows():
+        parts[tb].append(f"SELECT * {'' if c is None else f'REPLACE ({e} AS {c}) '}FROM {tb} WHERE {COPIES[tb]}")
+    return "WITH " + ",\n".join(f"s_{tb} AS ({' UNION ALL '.join(p)})" for tb, p in parts.items()) + "\n" + query
+
+
 DOMAIN_SQL = [
     ("aircrew", "type_domain", "Type IN ('Pilot', 'Flight attendant')"),
     ("flight_route", "duration_positive", "Flight_duration > 0"),
@@ -36,30 +84,6 @@ DOMAIN_SQL = [
 ]
 
 
-@query("check_domain", "\nUNION ALL\n".join(
-    f"SELECT '{tb}' AS tbl, {PK[tb]} AS key, '{rule}' AS rule FROM {tb} WHERE NOT COALESCE({ok}, false)"
-    for tb, rule, ok in DOMAIN_SQL))
-def _v01(t):
-    return Q.check_domain(t)
-
-
-@query("check_unique", "\nUNION ALL\n".join(
-    f"SELECT '{tb}' AS tbl, {k(*cols)} AS key, COUNT(*) AS n FROM {tb} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1"
-    for tb, cols in Q.PRIMARY_KEYS.items()))
-def _v02(t):
-    return Q.check_unique(t)
-
-
-@query("check_fk", "\nUNION ALL\n".join(
-    f"SELECT '{ch}' AS tbl, {PK[ch]} AS key, '{pa}' AS parent FROM {ch} c WHERE "
-    + " AND ".join(f"c.{x} IS NOT NULL" for x in cc)
-    + f" AND NOT EXISTS (SELECT 1 FROM {pa} p WHERE "
-    + " AND ".join(f"p.{b} = c.{a}" for a, b in zip(cc, pc)) + ")"
-    for ch, cc, pa, pc in Q.FOREIGN_KEYS))
-def _v03(t):
-    return Q.check_fk(t)
-
-
 REQUIRED = {
     "aircrew": ["ID", "City", "Street", "House_Number", "Start_date_of_employment", "First_name", "Last_name",
                 "Phone_number", "Type", "Training"],
@@ -85,12 +109,36 @@ TEXT = {"City", "Street", "House_Number", "First_name", "Last_name", "Phone_numb
 def _nn(tb, c):
     is_text = c in TEXT or (tb == "flight" and c == "ID")
     cond = f"{c} IS NULL" + (f" OR trim({c}) = ''" if is_text else "")
-    return f"SELECT '{tb}' AS tbl, {PK[tb]} AS key, '{c}' AS col FROM {tb} WHERE {cond}"
+    return f"SELECT '{tb}' AS tbl, {PK[tb]} AS key, '{c}' AS col FROM s_{tb} WHERE {cond}"
+
+
+@query("check_domain", broken_sql("\nUNION ALL\n".join(
+    f"SELECT '{tb}' AS tbl, {PK[tb]} AS key, '{rule}' AS rule FROM s_{tb} WHERE NOT COALESCE({ok}, false)"
+    for tb, rule, ok in DOMAIN_SQL)))
+def _v01(t):
+    return Q.check_domain(with_broken_rows(t))
+
+
+@query("check_unique", broken_sql("\nUNION ALL\n".join(
+    f"SELECT '{tb}' AS tbl, {k(*cols)} AS key, COUNT(*) AS n FROM s_{tb} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1"
+    for tb, cols in Q.PRIMARY_KEYS.items())))
+def _v02(t):
+    return Q.check_unique(with_broken_rows(t))
+
+
+@query("check_fk", broken_sql("\nUNION ALL\n".join(
+    f"SELECT '{ch}' AS tbl, {PK[ch]} AS key, '{pa}' AS parent FROM s_{ch} c WHERE "
+    + " AND ".join(f"c.{x} IS NOT NULL" for x in cc)
+    + f" AND NOT EXISTS (SELECT 1 FROM s_{pa} p WHERE "
+    + " AND ".join(f"p.{b} = c.{a}" for a, b in zip(cc, pc)) + ")"
+    for ch, cc, pa, pc in Q.FOREIGN_KEYS)))
+def _v03(t):
+    return Q.check_fk(with_broken_rows(t))
 
 
-@query("check_not_null", "\nUNION ALL\n".join(_nn(tb, c) for tb, cols in REQUIRED.items() for c in cols))
+@query("check_not_null", broken_sql("\nUNION ALL\n".join(_nn(tb, c) for tb, cols in REQUIRED.items() for c in cols)))
 def _v04(t):
-    return Q.check_not_null(t)
+    return Q.check_not_null(with_broken_rows(t))
 
 
 def people_rows(t):

@@ -242,8 +242,8 @@ def guest_order_lookup(t: Airline, requests: DataFrame) -> DataFrame:
     j = r.join(b, "order_id", "left")
     reason = (F.when(F.col("order_id").isNull(), "invalid number")
                .when(F.col("Status").isNull(), "not found")
-               .when(F.trim(F.coalesce("email", F.lit(""))) == "", "email required")
-               .when(~F.coalesce(F.col("GUEST_Email") == F.trim("email"), F.lit(False)), "email mismatch")
+               .when(X.strip(F.coalesce("email", F.lit(""))) == "", "email required")
+               .when(~F.coalesce(F.col("GUEST_Email") == X.strip("email"), F.lit(False)), "email mismatch")
                .when(F.col("Status") != "Active", "not active")
                .otherwise("ok"))
     return j.select("order_text", "email", F.when(reason == "ok", F.col("order_id")).alias("found_order"),

@@ -92,3 +92,34 @@ def test_a_cluster_has_to_name_the_shared_folder():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(cluster)
+
+
+def test_every_quality_rule_finds_its_seeded_violation(t_small):
+    from skyops.operators import quality as Q
+    from skyops.plans.q_quality import BROKEN, COPIES, DOMAIN_SQL, REQUIRED, with_broken_rows
+    t = with_broken_rows(t_small)
+    found = lambda df, *cols: {tuple(r) for r in df.select(*cols).distinct().collect()}
+    assert found(Q.check_domain(t), "tbl", "rule") == {(tb, rule) for tb, rule, _ in DOMAIN_SQL}
+    assert found(Q.check_unique(t), "tbl") == {(tb,) for tb in COPIES}
+    assert found(Q.check_fk(t), "tbl", "parent") >= {(child, parent) for child, _, parent, _ in Q.FOREIGN_KEYS}
+    assert found(Q.check_not_null(t), "tbl", "col") == {(tb, c) for tb, cols in REQUIRED.items() for c in cols}
+    assert len(BROKEN) > 25
+    for check in (Q.check_domain, Q.check_unique, Q.check_fk, Q.check_not_null):
+        assert check(t_small).count() == 0
+
+
+def test_white_space_around_form_values(spark):
+    spaces = ["", " ", "\t", "\n", "\r\n", "\x0b\x0c", "\x1c", "\x85", " ", " ", "　"]
+    df = spark.createDataFrame([(a + "Ann" + b, a + "5" + b) for a in spaces for b in spaces], "name string, n string")
+    got = df.select(X.is_english_name("name").alias("ok"), X.positive_int("n").alias("n"), X.strip("name").alias("s")).distinct().collect()
+    assert [tuple(r) for r in got] == [(True, 5, "Ann")]
+    bad = spark.createDataFrame([("An\tn", "1 2"), ("", ""), (" \n", "\t"), (None, None), ("Ann​", "-5"), ("5", "0"), ("a-", "+5")], "name string, n string")
+    assert not [r for r in bad.select(X.is_english_name("name").alias("ok"), X.positive_int("n").alias("n")).collect() if r.ok or r.n is not None]
+
+
+def test_next_key_counts_only_its_own_series(spark):
+    from skyops.operators import relational as Rel
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "ID string")
+    most = lambda *x: Rel.next_key(ids(*x), "ID", prefix="F").first()[0]
+    assert most("F00012", "F13x", "G00099", None) == 13
+    assert (most("f20", "F3"), most("Fx9", "F-4"), most("G7"), Rel.next_key(ids("F1").limit(0), "ID", prefix="F").first()[0]) == (20, 0, 0, 0)
