@@ -47,6 +47,17 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", *columns, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column, and n + 1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):

@@ -178,10 +178,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> D
     return texts(docs).mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}")
 
 
+def as_bytes(column: pa.Array) -> pa.Array:
+    """A string column as it stands, its bytes unchecked."""
+    return column.view(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+
+
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without contaminated spans: hit runs are cut out of the text (``n_chars``, if there, is counted anew);
     a document whose hit words are more than ``max_coverage`` of its words goes as a whole. Clean rows and all other
-    columns stay as they are, null texts included."""
+    columns stay as they are, null texts included. In a text that is cut, bytes that are not UTF-8 become U+FFFD."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton_of(items, window))
     at = docs.columns.index("text")
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -189,9 +194,11 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, ma
     def cut(batches):
         for batch in batches:
             keep, changed, counts = [], {}, {}
-            for i, value in enumerate(batch.column(at)):
-                text = value.as_py()
-                raw = (text or "").encode()
+            held = as_bytes(batch.column(at))
+            for i, value in enumerate(held):
+                raw = value.as_py() or b""
+                text = raw.decode(errors="replace")
+                raw = text.encode()
                 n, runs, _ = hit_runs(shared.value, raw)
                 keep.append(sum(b - a for a, b in runs) <= max_coverage * n)
                 if runs and keep[-1]:
@@ -199,12 +206,13 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, ma
                     for first, end in in_chars(raw, runs):
                         pieces.append(text[last:first])
                         last = end
-                    changed[i] = "".join(pieces) + text[last:]
-                    counts[i] = len(changed[i])
+                    body = "".join(pieces) + text[last:]
+                    changed[i], counts[i] = body.encode(), len(body)
             columns = batch.columns
-            for k, new in ((at, changed), (count_at, counts)):
-                if k is not None and new:
-                    columns[k] = pa.array([new.get(i, v) for i, v in enumerate(columns[k].to_pylist())], columns[k].type)
+            if changed:
+                columns[at] = pa.array([changed.get(i, v) for i, v in enumerate(held.to_pylist())], held.type).view(columns[at].type)
+                if count_at is not None:
+                    columns[count_at] = pa.array([counts.get(i, v) for i, v in enumerate(columns[count_at].to_pylist())], columns[count_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     small_batches(docs.sparkSession)

@@ -131,10 +131,10 @@ def with_successors(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def edited(raw: bytes, after: bytes) -> bytes:
-    """The last quarter of the code points (rounded down) replaced by the first as many of ``after``."""
-    text = raw.decode()
+    """The last quarter of the code points (rounded down) replaced by the first as many of ``after``. Bytes that are not UTF-8 count as U+FFFD."""
+    text = raw.decode(errors="replace")
     n = len(text) // 4
-    return (text[: len(text) - n] + after[: 4 * n].decode(errors="ignore")[:n]).encode() if n else raw
+    return (text[: len(text) - n] + after[: 4 * n + 4].decode(errors="replace")[:n]).encode() if n else raw
 
 
 def fingerprint_edits(docs: DataFrame, size: int = 32, base: int = 3) -> DataFrame:
@@ -161,7 +161,7 @@ def fingerprint_edits(docs: DataFrame, size: int = 32, base: int = 3) -> DataFra
                 new = [edited(a[3], b[3]) for a, b in pairs]
                 prints = signatures(*flat(new), size, base)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a[1] for a, _ in pairs], pa.int64()), pa.array([len(a[3].decode()) for a, _ in pairs], pa.int64()),
+                    [pa.array([a[1] for a, _ in pairs], pa.int64()), pa.array([len(a[3].decode(errors="replace")) for a, _ in pairs], pa.int64()),
                      pa.array([hashlib.sha256(x).hexdigest() for x in new]), pa.array([to_hex(a[4]) for a, _ in pairs]),
                      pa.array([to_hex(s) for s in prints]), pa.array([likeness(a[4], s, size) for (a, _), s in zip(pairs, prints, strict=True)], pa.float64()),
                      pa.array([likeness(a[4], b[4], size) for a, b in pairs], pa.float64())],

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import slices, stage, texts
+from skyops.llm.common import slices, stage, texts, unused
 from skyops.llm.components import components
 from skyops.llm.words import grams, mix, word_hashes
 
@@ -393,6 +393,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("root_key", "component_id").agg(F.min("text_hash").alias("text_hash")).drop("root_key")
     lone = found.where("n_shingles = 0").select(F.col("doc_id").alias("component_id"), "text_hash")
     kept = own.union(lone).distinct().withColumnsRenamed({"component_id": "_id", "text_hash": "_hash"})
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"]), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "_text_hash"]) if repeated else rows).select(*docs.columns)
+    own_hash, = unused(docs, "_text_hash")
+    rows = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows[own_hash] == kept["_hash"]), "left_semi")
+    return (rows.dropDuplicates(["doc_id", own_hash]) if repeated else rows).drop(own_hash)

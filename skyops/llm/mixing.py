@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import slices, small_batches, stage, texts
+from skyops.llm.common import slices, small_batches, stage, texts, unused
 from skyops.llm.features import class_counts, document_sums, hashed_features, sample_ids
 from skyops.llm.words import mix
 
@@ -101,20 +101,24 @@ class Rates:
     size: float
     steps: list[np.ndarray] = field(default_factory=list)
     got: np.ndarray | None = None
+    top: float = np.inf
+    #: the largest distance of a domain from its target, in shares of all target tokens
+    gap: float = 0.0
 
     def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates of documents with posteriors ``p``; ``ahead``: the point of the next gradient instead."""
         rate = point = np.ones(len(p))
         t = 1.0
         for step in self.steps:
-            new, grown = np.maximum(0.0, point - self.size * (p @ step)), (1 + np.sqrt(1 + 4 * t * t)) / 2
+            new, grown = np.clip(point - self.size * (p @ step), 0.0, self.top), (1 + np.sqrt(1 + 4 * t * t)) / 2
             point, rate, t = new + (t - 1) / grown * (new - rate), new, grown
         return point if ahead else rate
 
 
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], tolerance: float = 1e-4, max_steps: int = 60) -> Rates:
-    """Rates whose expected domain tokens come to ``targets`` (domain -> tokens; others keep what they have). Stops when every domain is
-    within ``tolerance`` of its target (in shares of all target tokens), or after ``max_steps``."""
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], tolerance: float = 1e-4, max_steps: int = 200, top: float = np.inf) -> Rates:
+    """Rates from 0 to ``top`` whose expected domain tokens come to ``targets`` (domain -> tokens; others keep what they have). Ends when every domain is
+    within ``tolerance`` of its target (in shares of all target tokens), or when no domain moves any more, by a twentieth of that in five steps
+    running: then no rates come nearer, and ``gap`` says how far they stay. More than ``max_steps`` raise RuntimeError."""
     columns = [f"p_{n}" for n in names]
     k = len(names)
 
@@ -145,15 +149,19 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], t
     target = np.array([float(targets.get(n, now[i])) for i, n in enumerate(names)])
     held = now > 0
     weight = np.where(held, 1.0 / np.where(held, now, 1.0), 0.0)
-    top = np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight))[-1] if held.any() else 1.0
-    rates = Rates(names, now, target, 1.0 / max(top, 1e-12), got=now)
-    point = now
-    for _ in range(max_steps):
-        if (np.abs(rates.got - target)[held] <= tolerance * target.sum()).all():
-            break
+    curve = np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight))[-1] if held.any() else 1.0
+    rates = Rates(names, now, target, 1.0 / max(curve, 1e-12), got=now, top=top)
+    point, still, whole = now, 0, max(target.sum(), 1e-12)
+    while True:
+        rates.gap = float(np.abs(rates.got - target)[held].max(initial=0.0) / whole)
+        if rates.gap <= tolerance or still == 5:
+            return rates
+        if len(rates.steps) == max_steps:
+            raise RuntimeError(f"the rates have not settled after {max_steps} steps; the targets are missed by {rates.gap:.2g} of all tokens")
         rates.steps.append((point - target) * weight)
+        before = rates.got
         rates.got, point = sums(rates)[:, :2].T
-    return rates
+        still = still + 1 if np.abs(rates.got - before).max() <= tolerance / 20 * whole else 0
 
 
 def share_targets(members: DataFrame, names: list[str], shares: dict[str, float], total: float | None = None) -> dict[str, float]:
@@ -164,9 +172,9 @@ def share_targets(members: DataFrame, names: list[str], shares: dict[str, float]
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, factors: dict[str, float] | None = None,
-                **options) -> tuple[DataFrame, DomainModel, Rates]:
+                top: float = np.inf, **options) -> tuple[DataFrame, DomainModel, Rates]:
     """Classifier, posteriors (a written table) and rates. ``shares``: target weights of the domains; or ``factors``: what to multiply
-    the expected tokens of some domains by."""
+    the expected tokens of some domains by. ``top``: the largest rate, 1 where documents are drawn at most once."""
     model = fit_domains(docs, labels, **options)
     members = stage(membership(docs, model), "membership")
     if shares is not None:
@@ -174,7 +182,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
     else:
         now = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{n}")).alias(n) for n in model.names)).first()
         targets = {n: (now[n] or 0.0) * (factors or {}).get(n, 1.0) for n in model.names}
-    return members, model, fit_rates(members, model.names, targets)
+    return members, model, fit_rates(members, model.names, targets, top=top)
 
 
 def with_rates(members: DataFrame, rates: Rates) -> DataFrame:
@@ -207,4 +215,4 @@ def mix_documents(docs: DataFrame, model: DomainModel, rates: Rates, seed: int =
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=schema.names).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     small_batches(docs.sparkSession)
-    return docs.select("*", F.xxhash64("doc_id").alias("__noise")).mapInArrow(run, schema)
+    return docs.select("*", F.xxhash64("doc_id").alias(unused(docs, "_noise")[0])).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyops.llm.common import slices, small_batches, stage, texts
+from skyops.llm.common import slices, small_batches, stage, texts, unused
 from skyops.llm.features import class_counts, document_sums, hashed_features, sample_ids
 from skyops.llm.words import mix
 
@@ -121,4 +121,4 @@ def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 0, **options)
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=schema.names).filter(mask)
 
     small_batches(docs.sparkSession)
-    return docs.select("*", F.xxhash64("doc_id").alias("__noise")).mapInArrow(run, schema)
+    return docs.select("*", F.xxhash64("doc_id").alias(unused(docs, "_noise")[0])).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyops.llm.common import stage
+from skyops.llm.common import stage, unused
 
 CELLS = 1 << 16
 #: bits counted at once, and rows of a shard among which the last one it takes is looked up directly
@@ -47,17 +47,6 @@ def routes(points: list[tuple[int, int]], full: set[int]) -> np.ndarray:
     return shard[np.searchsorted(at, np.arange(CELLS)) % len(shard)]
 
 
-def _unused(df: DataFrame, *names: str) -> list[str]:
-    """``names``, lengthened until no column of ``df`` has them."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def _last_taken(rows: DataFrame, shard: str, turn: str, row: str, first: dict[int, dict[int, int]], room: dict[int, int]) -> dict[int, tuple[int, int]]:
     """The (turn, row) of the ``room[s]``-th row of each shard ``s`` in that order. ``first``: counts by the top bits of the turn."""
     done: dict[int, tuple[int, int]] = {}
@@ -107,7 +96,7 @@ def assign_shards(rows: DataFrame, shards: int, key: str = "doc_id", nodes: int
     if clash := {"shard", "slot"} & {c.lower() for c in rows.columns}:
         raise ValueError(f"columns {sorted(clash)} are made here")
     spark, columns = rows.sparkSession, [f"`{c}`" for c in rows.columns]
-    cell, turn, row, part = _unused(rows, "_cell", "_turn", "_row", "_part")
+    cell, turn, row, part = unused(rows, "_cell", "_turn", "_row", "_part")
     k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null key"))
     pending = stage(rows.select("*", F.pmod(F.xxhash64(k, F.lit(1)), F.lit(CELLS)).cast("int").alias(cell),
                                 F.xxhash64(k, *columns, F.lit(2)).alias(turn), F.monotonically_increasing_id().alias(row)), "shard-rows")

@@ -99,7 +99,7 @@ def test_rates_reach_feasible_targets(spark):
     p = rows[[f"p_{n}" for n in model.names]].to_numpy()
     assert np.allclose(p.sum(1), 1) and (rows["rate"] >= 0).all() and len(rows) == docs.count()
     got = (rows["rate"] * rows["n_tokens"]).to_numpy() @ p
-    assert np.allclose(got, rates.got) and np.abs(got - rates.target).max() <= 2e-3 * rates.target.sum()
+    assert np.allclose(got, rates.got) and np.abs(got - rates.target).max() <= 1e-4 * rates.target.sum() and rates.gap <= 1e-4
 
 
 def test_rates_minimise_the_squares(spark):
@@ -108,12 +108,21 @@ def test_rates_minimise_the_squares(spark):
     p, n = r.dirichlet([1, 1], 40), r.integers(1, 100, 40)
     members = spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in zip(n, p)], "n_tokens long, p_x double, p_y double")
     target = {"x": 0.0, "y": 3000.0}
-    rates = mixing.fit_rates(members, ["x", "y"], target, tolerance=0.0, max_steps=60)
+    with pytest.raises(RuntimeError, match="not settled"):
+        mixing.fit_rates(members, ["x", "y"], target, tolerance=0.0, max_steps=10)
+    rates = mixing.fit_rates(members, ["x", "y"], target)
+    assert rates.gap > 0.01
+    capped = mixing.fit_rates(members, ["x", "y"], target, top=1.0)
+    assert capped.of(p).max() <= 1.0 and capped.of(p).min() >= 0.0
     s, t = n @ p, np.array([0.0, 3000.0])
     x = np.ones(40)
     for _ in range(200_000):
         x = np.maximum(0, x - 0.5 * p @ (((n * x) @ p - t) / s))
     loss = lambda v: (((n * v) @ p - t) ** 2 / s).sum()
+    most = np.ones(40)
+    for _ in range(50_000):
+        most = np.clip(most - 0.5 * p @ (((n * most) @ p - t) / s), 0, 1)
+    assert loss(capped.of(p)) <= loss(most) + 0.005 * loss(np.ones(40))
     assert loss(rates.of(p)) <= loss(x) + 0.005 * loss(np.ones(40)) and (rates.of(p) >= 0).all()
 
 

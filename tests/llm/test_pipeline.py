@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from skyops.llm import decontamination
 from skyops.llm.common import scratch
 
 SF = "/root/testdata/sf0.01"
@@ -54,4 +55,31 @@ def test_edge_rows_and_extra_columns(spark, make_docs):
     docs = docs.withColumn("key", F.lit(1)).withColumn("rate", F.lit("x")).withColumn("quality", F.lit(None).cast("int"))
     out = run_stages(spark, docs, "/root/testdata/sf0.001")
     assert out[3].columns == docs.columns
+
+
+def test_stages_keep_values_of_clashing_columns_and_bytes(spark):
+    """Columns with names that the stages might use inside keep their values; bytes that are not UTF-8 end no stage and stay where nothing is cut."""
+    text = "concat('Some plain words that make one text of their own, number ', cast(id AS string), ', and more of them follow ', repeat(concat('word', cast(id AS string), ' '), 20), char(10))"
+    bad = f"CASE WHEN id % 2 = 0 THEN cast(unhex(concat(hex({text}), 'FFC3')) AS string) ELSE {text} END"
+    docs = spark.sql(f"SELECT id doc_id, {bad} text, 'en' lang, 's' source, 9L n_chars, concat('mine', id) _text_hash, id _noise, -id __noise, 'h' hash, 1 _hash, 2 _id FROM range(40)")
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: r for r in docs.selectExpr("*", "hex(text) h").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        rows = got.selectExpr("*", "hex(text) h").collect()
+        assert rows and all(r == want[r.doc_id] for r in rows), name
+    assert corpus_pipeline.token_files(spark, docs, sf).count() == 40
+
+
+def test_cut_texts_with_bytes_that_are_not_utf8(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.sql(f"SELECT 1L doc_id, cast(unhex(concat(hex('clean start of a text with {item} and a long enough rest of words to stay in '), 'FF', hex(' it'))) AS string) text, 5L n_chars")
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    row = decontamination.remove_contamination(docs, items).first()
+    assert row.text.split() == "clean start of a text with and a long enough rest of words to stay in \ufffd it".split() and row.n_chars == len(row.text)
+
+
+def test_empty_tables_and_more(spark, make_docs):
+    docs = make_docs(["a b c"]).withColumn("key", F.lit(1))
     assert all(x.count() == 0 for x in run_stages(spark, docs.limit(0), "/root/testdata/sf0.001"))
