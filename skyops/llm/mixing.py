@@ -100,6 +100,8 @@ class Rates:
     target: np.ndarray
     size: float
     steps: list[np.ndarray] = field(default_factory=list)
+    #: steps that start without momentum, because the one before went too far
+    restarts: set[int] = field(default_factory=set)
     got: np.ndarray | None = None
     top: float = np.inf
     #: the largest distance of a domain from its target, in shares of all target tokens
@@ -109,7 +111,9 @@ class Rates:
         """Rates of documents with posteriors ``p``; ``ahead``: the point of the next gradient instead."""
         rate = point = np.ones(len(p))
         t = 1.0
-        for step in self.steps:
+        for k, step in enumerate(self.steps):
+            if k in self.restarts:
+                point, t = rate, 1.0
             new, grown = np.clip(point - self.size * (p @ step), 0.0, self.top), (1 + np.sqrt(1 + 4 * t * t)) / 2
             point, rate, t = new + (t - 1) / grown * (new - rate), new, grown
         return point if ahead else rate
@@ -151,13 +155,18 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], t
     weight = np.where(held, 1.0 / np.where(held, now, 1.0), 0.0)
     curve = np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight))[-1] if held.any() else 1.0
     rates = Rates(names, now, target, 1.0 / max(curve, 1e-12), got=now, top=top)
-    point, still, whole = now, 0, max(target.sum(), 1e-12)
+    point, still, whole, least = now, 0, max(target.sum(), 1e-12), np.inf
     while True:
         rates.gap = float(np.abs(rates.got - target)[held].max(initial=0.0) / whole)
         if rates.gap <= tolerance or still == 5:
             return rates
         if len(rates.steps) == max_steps:
             raise RuntimeError(f"the rates have not settled after {max_steps} steps; the targets are missed by {rates.gap:.2g} of all tokens")
+        loss = ((rates.got - target) ** 2 * weight).sum()
+        if loss > least:
+            rates.restarts.add(len(rates.steps))
+            point = rates.got
+        least = loss
         rates.steps.append((point - target) * weight)
         before = rates.got
         rates.got, point = sums(rates)[:, :2].T
@@ -172,7 +181,7 @@ def share_targets(members: DataFrame, names: list[str], shares: dict[str, float]
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, factors: dict[str, float] | None = None,
-                top: float = np.inf, **options) -> tuple[DataFrame, DomainModel, Rates]:
+                top: float = np.inf, tolerance: float = 1e-4, **options) -> tuple[DataFrame, DomainModel, Rates]:
     """Classifier, posteriors (a written table) and rates. ``shares``: target weights of the domains; or ``factors``: what to multiply
     the expected tokens of some domains by. ``top``: the largest rate, 1 where documents are drawn at most once."""
     model = fit_domains(docs, labels, **options)
@@ -182,7 +191,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
     else:
         now = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{n}")).alias(n) for n in model.names)).first()
         targets = {n: (now[n] or 0.0) * (factors or {}).get(n, 1.0) for n in model.names}
-    return members, model, fit_rates(members, model.names, targets, top=top)
+    return members, model, fit_rates(members, model.names, targets, tolerance, top=top)
 
 
 def with_rates(members: DataFrame, rates: Rates) -> DataFrame:
