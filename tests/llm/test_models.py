@@ -108,7 +108,7 @@ def test_rates_minimise_the_squares(spark):
     p, n = r.dirichlet([1, 1], 40), r.integers(1, 100, 40)
     members = spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in zip(n, p)], "n_tokens long, p_x double, p_y double")
     target = {"x": 0.0, "y": 3000.0}
-    with pytest.raises(RuntimeError, match="not settled"):
+    with pytest.warns(UserWarning, match="not settled"):
         mixing.fit_rates(members, ["x", "y"], target, tolerance=0.0, max_steps=10)
     rates = mixing.fit_rates(members, ["x", "y"], target, tolerance=1e-3)
     assert rates.gap > 0.01
