@@ -163,7 +163,7 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], t
             return rates
         if len(rates.steps) == max_steps:
             warnings.warn(f"the rates have not settled after {max_steps} steps; the targets are missed by {rates.gap:.2g} of all tokens", stacklevel=2)
-                return rates
+            return rates
         loss = ((rates.got - target) ** 2 * weight).sum()
         if loss > least:
             rates.restarts.add(len(rates.steps))
