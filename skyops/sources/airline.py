@@ -269,8 +269,8 @@ def build_ticket(flight_priced: DataFrame, seat: DataFrame, ticket_order: DataFr
 def materialize(t: Airline, path: str, mode: str = "overwrite") -> None:
     """Write every table as parquet under ``path`` (one directory per table).
 
-    ``ticket_order`` and ``ticket`` are hash-partitioned on ``Flight_ID`` and sorted inside each
-    file, so row-group min/max statistics prune flight predicates without a sampling pass;
+    ``ticket`` is hash-partitioned on ``Flight_ID`` and sorted inside each file, so row-group min/max statistics prune flight
+    predicates without a sampling pass; ``ticket_order`` is sorted inside each file only (its keys are dealt by seat and order);
     ``flight`` is range-partitioned on ``dep_ts`` (the "not departed" predicates). ``ticket``
     is built from the stored ``ticket_order`` rather than re-deriving it.
     """
