@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyops.llm.licenses import PHRASES, TEMPLATES
+from skyops.llm.licenses import PHRASES, SLACK, TEMPLATES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -21,11 +21,15 @@ place AS (
   FROM (SELECT doc_id, w, p, label, len(string_split(p, ' ')) AS k FROM d, phrase WHERE len(w) >= len(string_split(p, ' '))) x, unnest(range(1, len(w) - k + 2)) t(i)
   WHERE array_to_string(w[i:i + k - 1], ' ') = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM place GROUP BY doc_id),
-template AS (SELECT row_number() OVER () AS k, label, list_distinct(string_split(t, ' ')) AS words FROM (VALUES {_values(TEMPLATES)}) v(label, t)),
-block AS (
-  SELECT doc_id, w[b * 32 + 1:b * 32 + 64] AS held
-  FROM d, unnest(range(0, greatest(0, CAST(ceil((len(w) - 64) / 32.0) AS BIGINT)) + 1)) t(b) WHERE len(w) > 0),
-near AS (SELECT doc_id, label, len(list_intersect(words, held)) / len(words) AS share FROM block, template WHERE len(list_intersect(words, held)) >= 0.9 * len(words) - 1e-9),
+template AS (
+  SELECT k, label, list_distinct(w) AS words, CAST(ceil({SLACK} * len(w) - 1e-9) AS BIGINT) AS width, ceil(0.9 * len(list_distinct(w)) - 1e-9) AS need
+  FROM (SELECT row_number() OVER () AS k, label, string_split(t, ' ') AS w FROM (VALUES {_values(TEMPLATES)}) v(label, t)) x),
+held AS (
+  SELECT doc_id, k, label, pos, word, width, need, len(words) AS size
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d) o JOIN (SELECT *, unnest(words) AS word FROM template) t USING (word)),
+near AS (
+  SELECT doc_id, label, n / size AS share
+  FROM (SELECT *, count(DISTINCT word) OVER (PARTITION BY doc_id, k ORDER BY pos RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS n FROM held) x WHERE n >= need),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM near GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,

@@ -66,23 +66,36 @@ def test_license_edges_match_sql(spark, make_docs, tmp_path):
 
 
 def test_license_join_is_exact(make_docs):
-    """Random templates and texts over few words: the filtered join finds what all pairs give."""
+    """Random templates and texts over few words: the filtered join covers what all windows at all starts cover."""
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(30)]
     templates = [(f"t{k}", " ".join(r.choices(vocabulary, k=r.randrange(1, 12)))) for k in range(25)]
     texts = [" ".join(r.choices(vocabulary, weights=[1 / (i + 1) for i in range(30)], k=r.randrange(0, 60))) for _ in range(60)]
     for threshold in (0.5, 0.8, 1.0):
-        got = {row.doc_id: {(m.label, m.block, round(m.containment, 9)) for m in row.matches}
-               for row in licenses.scan_licenses(make_docs(texts), templates, {}, threshold, block=16).collect()}
+        got = {row.doc_id: row.matches for row in licenses.scan_licenses(make_docs(texts), templates, {}, threshold, slack=1.6).collect()}
         for i, t in enumerate(texts):
-            w, want = t.split(), set()
-            for b in range(max(0, -(-(len(w) - 16) // 8)) + 1):
-                held = set(w[b * 8: b * 8 + 16])
-                for label, template in templates:
-                    own = set(template.split())
-                    if w and len(own & held) >= threshold * len(own) - 1e-9:
-                        want.add((label, b * 8, round(len(own & held) / len(own), 9)))
-            assert got[i] == want
+            w = t.split()
+            for k, (label, template) in enumerate(templates):
+                own, width = set(template.split()), -(-16 * len(template.split()) // 10)
+                windows = {s: len(own & set(w[s: s + width])) for s in range(len(w))}
+                hit = {p for s, n in windows.items() if n >= threshold * len(own) - 1e-9 for p in range(s, min(s + width, len(w))) if w[p] in own}
+                mine = [m for m in got[i] if m.template == k]
+                assert {p for m in mine for p in range(m.first, m.end) if w[p] in own} == hit
+                assert {m.label for m in mine} <= {label}
+                if mine:
+                    assert max(m.containment for m in mine) == max(windows.values()) / len(own)
+                    assert all(x.end <= y.first for x, y in zip(mine[:-1], mine[1:], strict=True))
+
+
+def test_verbatim_templates_are_found_at_every_start(make_docs):
+    templates = [(f"t{n}", " ".join(f"a{n}x{i % (n - 1)}" for i in range(n))) for n in (5, 17, 50, 64, 80, 129, 200)]
+    texts, want = [], []
+    for label, t in templates:
+        for start in range(0, 70, 1):
+            texts.append(" ".join([*(f"z{i}" for i in range(start)), t, *(f"y{i}" for i in range(start % 7))]))
+            want.append((label, start, start + len(t.split()), 1.0))
+    rows = licenses.scan_licenses(make_docs(texts), templates, {}).collect()
+    assert {r.doc_id: [(m.label, m.first, m.end, m.containment) for m in r.matches] for r in rows} == {i: [w] for i, w in enumerate(want)}
 
 
 def test_template_bound(make_docs):
