@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,24 +111,37 @@ def fingerprint(docs: DataFrame, size: int = 32, base: int = 3) -> DataFrame:
     return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, fingerprint string")
 
 
+def range_of(key: np.ndarray, spread: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of (key, spread) by sorted bounds of keys. A key that is m bounds at once is hot: its m ranges divide the 64-bit spread evenly."""
+    low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+    share = ((spread >> 1) + (1 << 62)) / 2.0**63
+    return np.where(high > low, low + 1 + np.minimum((share * (high - low)).astype(np.int64), high - low - 1), low).astype(np.int32)
+
+
 def with_successors(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text, part, halo: each part is a range of doc_ids, closed by a copy of the next part's first document (halo = 1; the last part
-    by the first document of all). Only the parts' bounds and first doc_ids reach the driver."""
+    """doc_id, text, part, halo: each part is a range of (doc_id, text hash), null doc_ids first, closed by a copy of the next part's first document
+    (halo = 1; the last part by the first document of all). Documents of one doc_id follow by their texts' hashes. Only the parts' bounds and the ids
+    and hashes of their first documents reach the driver; the bounds come back as a broadcast, the firsts as a broadcast table of a row per part."""
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
-    bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 1 / (8 * parts)) or []))
-    part = F.coalesce(F.expr(f"size(filter(array({','.join(f'{int(b)}L' for b in bounds)}), b -> b <= doc_id))") if bounds else F.lit(0), F.lit(0))
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
-    firsts = sorted((r.part, r.first_id) for r in rows.groupBy("part").agg(F.min("doc_id").alias("first_id")).collect())
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    rows = (texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).withColumn("key", key).withColumn("spread", F.xxhash64("text")))
+    found = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).cast("double").alias("d")).approxQuantile(
+        "d", [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
+    bounds = spark.sparkContext.broadcast(np.array(sorted(int(b) for b in found), np.int64))
+
+    @F.pandas_udf("int")
+    def part(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(k.to_numpy(np.int64), h.to_numpy(np.int64), bounds.value))
+
+    rows = rows.withColumn("part", part("key", "spread"))
+    firsts = sorted((r.part, *r.first) for r in rows.groupBy("part").agg(F.min(F.struct("key", "spread")).alias("first")).collect())
     if not firsts:
         return rows.withColumn("halo", F.lit(0))
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-    ids = [i for _, i in firsts if i is not None]
-    heads = rows.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("head"))
-    to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    halo = heads.select("head.doc_id", "head.text", to[F.col("part")].alias("part"), F.lit(1).alias("halo"))
-    return rows.withColumn("halo", F.lit(0)).unionByName(halo).repartition("part").sortWithinPartitions("part", "halo", "doc_id", "text")
+    closes = spark.createDataFrame([(p, k, h, firsts[i - 1][0]) for i, (p, k, h) in enumerate(firsts)], "part int, key bigint, spread bigint, to int")
+    heads = rows.join(F.broadcast(closes), ["part", "key", "spread"]).groupBy("to").agg(F.min(F.struct("doc_id", "text", "key", "spread")).alias("head"))
+    halo = heads.select("head.*", F.col("to").alias("part"), F.lit(1).alias("halo"))
+    return rows.withColumn("halo", F.lit(0)).unionByName(halo).repartition("part").sortWithinPartitions("part", "halo", "key", "spread", "text")
 
 
 def edited(raw: bytes, after: bytes) -> bytes:

@@ -27,7 +27,8 @@ def plain_edit(text, after):
 
 
 def check(docs, parts=None):
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0], r[1].encode()))
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64(F.col("text").cast("binary"))).collect()
+    rows = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id, r.h, r.text.encode()))]
     got = sorted(fp.fingerprint_edits(docs).collect(), key=lambda r: (r.doc_id, r.n_chars))
     assert len(got) == len(rows)
     want = []
@@ -62,6 +63,30 @@ def test_many_parts(spark, make_docs):
     check(docs)
 
 
+def test_hot_ids_spread_over_ranges(spark):
+    """With a third of the ids null and a third equal, no part holds more than twice its share, and rows follow each other in one order."""
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 77).otherwise(F.col("id")).alias("doc_id"),
+                                    F.concat(F.lit("text "), "id").alias("text"))
+    rows = fp.with_successors(docs, parts=12).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.part] = sizes.get(r.part, 0) + (r.halo == 0)
+    assert sum(sizes.values()) == 9000 and max(sizes.values()) <= 2 * 9000 / 12
+    assert sum(r.halo for r in rows) == len(sizes)
+    order = [(r.key, r.spread, r.text) for r in sorted(rows, key=lambda r: (r.part, r.key, r.spread)) if not r.halo]
+    assert order == sorted(order)
+    ends = {p: min((r.key, r.spread) for r in rows if r.part == p and not r.halo) for p in sizes}
+    parts = sorted(sizes)
+    assert {r.part: (r.key, r.spread) for r in rows if r.halo} == {p: ends[parts[(i + 1) % len(parts)]] for i, p in enumerate(parts)}
+
+
+def test_ranges_keep_the_order():
+    r = np.random.default_rng(3)
+    key, spread = r.integers(-5, 6, 5000), r.integers(-2**63, 2**63 - 1, 5000)
+    part = fp.range_of(key, spread, np.array([-3, 0, 0, 0, 0, 2, 4, 4]))
+    assert (np.diff(part[np.lexsort((spread, key))]) >= 0).all() and set(part.tolist()) == set(range(9))
+
+
 def test_equal_substrings_share_interior_names():
     """A long passage has the same phrases in any surroundings and at any offset, but near its ends."""
     r = random.Random(7)
