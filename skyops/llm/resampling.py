@@ -100,7 +100,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_shar
     scored = stage(score(docs, ratio, seed), "resample")
     if k is None:
         known = docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id bigint")  # at most ``sample`` rows
-        weights = sorted(r[0] for r in scored.join(F.broadcast(known), "doc_id", "left_semi").select("log_weight").collect())
+        held_out = scored.join(F.broadcast(known), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("log_weight"))  # one weight an id
+        weights = sorted(r[1] for r in held_out.collect())
         k = scored.where(F.col("log_weight") >= (weights[int((1 - keep_share) * len(weights))] if weights else float("-inf"))).count()
     cut = kth_largest(scored, k) if k else 2**63 - 1
     return scored.withColumn("selected", (F.col("key_bits") >= cut) & F.lit(k > 0)).drop("key_bits"), ratio, cut

@@ -290,13 +290,19 @@ def fit_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[floa
     return float(w[0]), float(w[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, landmarks: int = 96) -> Model:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, toxic), joined to their texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows (text, label), one for each sampled id."""
     known = labels.where(F.col("toxic").isin(0, 1))
     ids = sample_ids(known, F.lit(True), sample)
     wanted = docs.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id bigint")
     chosen = known.join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    training = stage(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic-training")  # at most ``sample`` ids
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("row")  # one text an id, so at most ``sample`` rows
+    return stage(texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("row.text", "row.label"), "toxic-training")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, landmarks: int = 96) -> Model:
+    """Fit on at most ``sample`` rows of ``labels`` (doc_id, toxic), joined to their texts; of rows that share a doc_id, the text of the least hash counts."""
+    training = training_rows(docs, labels, sample)
     share = training.agg(F.avg("label")).first()[0]
     if not share or share == 1:
         return Model(None, np.zeros(0), 0.0, 0.0, float(np.clip(np.log(share / (1 - share)), -30, 30)) if share == 0.5 else (30.0 if share else -30.0))

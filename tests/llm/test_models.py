@@ -221,3 +221,13 @@ def test_toxicity_edges(spark, make_docs):
         model = toxicity.fit_toxicity(docs, other)
         assert toxicity.score_toxicity(docs, model).select("score").distinct().count() == 1
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_bring_no_more_rows(make_docs, spark):
+    """An id that many rows share is one training row of the classifiers."""
+    docs = make_docs([*((i, f"you are kind w{i % 9}" if i % 2 else f"you are a stupid idiot w{i % 9}") for i in range(60)), *((7, f"copy number {i}") for i in range(300))])
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels, 50).count() == 50
+    assert toxicity.training_rows(docs, labels, 500).count() == 60
+    scored, _, _ = resampling.resample(docs, labels, sample=50)
+    assert scored.count() == docs.count()
