@@ -120,6 +120,14 @@ def cart_admission(t: Airline, carts: DataFrame) -> DataFrame:
                         .select("cart_id", "request_ts", "order_id", "valid", "n_seats"))
     place = F.struct("request_ts", "order_id", "cart_id").alias("_at")
     waiting = cut_lineage(seats.join(every.where("valid").select("cart_id", "n_seats", place), "cart_id"))
+    yes = admit_in_rounds(waiting).withColumn("accepted", F.lit(True))
+    return every.join(yes, "cart_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))) \
+        .select("cart_id", "request_ts", "order_id", "valid", "n_seats", "accepted")
+
+
+def admit_in_rounds(waiting: DataFrame) -> DataFrame:
+    """``cart_id`` of the carts that win all their seats. ``waiting``: a row per cart and seat, with ``n_seats`` and the cart's place ``_at``;
+    the rounds are those of :func:`cart_admission`."""
     accepted = []
     while not waiting.isEmpty():
         first = waiting.groupBy(*SEAT4).agg(F.min("_at").alias("_first"))
@@ -130,11 +138,7 @@ def cart_admission(t: Airline, carts: DataFrame) -> DataFrame:
         taken = waiting.join(won, "cart_id", "left_semi").select(*SEAT4)
         out = waiting.join(taken, SEAT4, "left_semi").select("cart_id").distinct()
         waiting = cut_lineage(waiting.join(out, "cart_id", "left_anti"))
-    if not accepted:
-        return every.withColumn("accepted", F.lit(False))
-    yes = functools.reduce(DataFrame.union, accepted).withColumn("accepted", F.lit(True))
-    return every.join(yes, "cart_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))) \
-        .select("cart_id", "request_ts", "order_id", "valid", "n_seats", "accepted")
+    return functools.reduce(DataFrame.union, accepted) if accepted else waiting.select("cart_id")
 
 
 # ---- D-11 ----------------------------------------------------------------------------------

@@ -59,4 +59,5 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # importing the query modules registers their entries
     from skyops.plans import (q_reports, q_relational, q_functions, q_search,  # noqa: F401
-                              q_availability, q_booking, q_planning, q_quality, q_sources)
+                              q_availability, q_booking, q_planning, q_quality, q_registration,
+                              q_sources)
