@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from skyops.functions import exprs as X
 from skyops.session import cut_lineage
-from skyops.sources.airline import Airline
+from skyops.sources.airline import Airline, order_links
 
 SEAT4 = ["Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number"]
 SEAT5 = ["Airplane_ID", "Flight_ID", "SEAT_Row_num", "SEAT_Column_number", "CLASS_Type"]
@@ -43,8 +43,21 @@ def dense_index(df: DataFrame, order: list[Column], out: str = "idx") -> DataFra
 
 def active_links(t: Airline, booking: DataFrame | None = None) -> DataFrame:
     b = t.booking if booking is None else booking
-    return t.ticket_order.join(b.where(F.col("Status") == "Active").select(F.col("ID").alias("Order_ID")),
-                               "Order_ID", "left_semi")
+    return order_links(t, b.where(F.col("Status") == "Active"))
+
+
+def asked_tickets(t: Airline, seats: DataFrame) -> DataFrame:
+    """The tickets of ``seats`` (the seat key), and only those, written once: flights nobody asks for drop out before their tickets are formed."""
+    asked = seats.select(*SEAT4).distinct()
+    flights = asked.select("Flight_ID").distinct()
+    return cut_lineage(t.ticket.join(flights, "Flight_ID", "left_semi").join(asked, SEAT4, "left_semi").select(*SEAT5, "Availability", "Price"))
+
+
+def held_seats(t: Airline, seats: DataFrame) -> DataFrame:
+    """Those of ``seats`` that an Active order holds, distinct."""
+    asked = seats.select(*SEAT4).distinct()
+    links = active_links(t).join(asked.select("Flight_ID").distinct(), "Flight_ID", "left_semi")
+    return links.select(*SEAT4).join(asked, SEAT4, "left_semi").distinct()
 
 
 # ---- D-01 ----------------------------------------------------------------------------------
@@ -94,14 +107,14 @@ def seat_admission(t: Airline, requests: DataFrame, extra_held: DataFrame | None
 
 # ---- D-10 ----------------------------------------------------------------------------------
 
-def cart_admission(t: Airline, carts: DataFrame) -> DataFrame:
+def cart_admission(t: Airline, carts: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
     """All-or-nothing carts. ``carts`` has one row per requested seat with ``cart_id``,
     ``request_ts``, ``order_id`` and the seat key. A cart is its ``cart_id``; its instant and order
     are the smallest of its rows. A cart precedes another by (request_ts, order_id, cart_id).
 
     A cart is accepted iff all of its seats are admissible (exist, available, not held) and
     none was taken by an earlier accepted cart; a rejected cart takes no seat (rollback).
-    → cart_id, request_ts, order_id, valid (its seats are admissible), n_seats, accepted.
+    → cart_id, request_ts, order_id, valid (its seats are admissible), n_seats, accepted. ``tickets`` as in :func:`order_create`.
 
     Carts with an inadmissible seat are rejected before the first round. The others are decided in
     rounds: a pending cart is *ready* when it is the earliest pending cart of every seat it asks for.
@@ -110,9 +123,10 @@ def cart_admission(t: Airline, carts: DataFrame) -> DataFrame:
     each other. A round drops the decided carts and all carts that ask for a seat just taken, and
     writes only what is still pending; no flight's carts are gathered into one task.
     """
-    tk = t.ticket.select(*SEAT4, "Availability")
-    held = active_links(t).select(*SEAT4).distinct().withColumn("_held", F.lit(True))
-    seats = carts.select("cart_id", *SEAT4).distinct()
+    carts = cut_lineage(carts.select("cart_id", "request_ts", "order_id", *SEAT4))
+    seats = cut_lineage(carts.select("cart_id", *SEAT4).distinct())
+    tk = (asked_tickets(t, seats) if tickets is None else tickets).select(*SEAT4, "Availability")
+    held = held_seats(t, seats).withColumn("_held", F.lit(True))
     checked = (seats.join(tk, SEAT4, "left").join(held, SEAT4, "left")
                .withColumn("_ok", F.coalesce((F.col("Availability") == 1) & F.col("_held").isNull(), F.lit(False))))
     order = carts.groupBy("cart_id").agg(F.min("request_ts").alias("request_ts"), F.min("order_id").alias("order_id"))
@@ -143,12 +157,14 @@ def admit_in_rounds(waiting: DataFrame) -> DataFrame:
 
 # ---- D-11 ----------------------------------------------------------------------------------
 
-def order_create(t: Airline, accepted: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def order_create(t: Airline, accepted: DataFrame, as_of: Column, tickets: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From accepted carts (one row per seat with ``cart_id``, ``request_ts``, ``order_id``
     (request order, not the new id), ``email`` and the seat key) build the new orders, their
-    ticket links and the updated tickets. New ids are ``max(ID) + 1 …`` in request order."""
-    tk = t.ticket.select(*SEAT5, "Price")
-    lines = accepted.join(tk, SEAT4, "inner")
+    ticket links and the updated tickets. New ids are ``max(ID) + 1 …`` in request order.
+    ``tickets``: the tickets of these seats or of more, where they are at hand (:func:`asked_tickets`)."""
+    accepted = cut_lineage(accepted)
+    tk = (asked_tickets(t, accepted) if tickets is None else tickets).select(*SEAT5, "Price")
+    lines = cut_lineage(accepted.join(tk, SEAT4, "inner"))
     carts = lines.groupBy("cart_id", "request_ts", "order_id").agg(
         F.sum("Price").alias("total"), F.min("email").alias("email"))
     base = t.booking.select(F.coalesce(F.max("ID"), F.lit(0)).cast("long")).scalar()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyops.functions import exprs as X
-from skyops.sources.airline import Airline
+from skyops.sources.airline import Airline, order_links
 
 # ---- fixed values: domains and keys of the schema -------------------------------------------
 CREW_TYPES = ("Pilot", "Flight attendant")
@@ -116,7 +116,7 @@ def check_fk(t: Airline) -> DataFrame:
     out = []
     for child, cc, parent, pc in FOREIGN_KEYS:
         c = tabs[child].where(functools.reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in cc]))
-        p = tabs[parent].select(*[F.col(a).alias(b) for a, b in zip(pc, cc)]).distinct()
+        p = tabs[parent].select(*[F.col(a).alias(b) for a, b in zip(pc, cc)])  # repeated keys do no harm to an anti join
         out.append(c.join(p, cc, "left_anti").select(F.lit(child).alias("tbl"), _key(PRIMARY_KEYS[child]).alias("key"),
                                                      F.lit(parent).alias("parent")))
     return _union(out)
@@ -202,8 +202,7 @@ def check_seat_state(t: Airline) -> DataFrame:
     """V-07: seats held by more than one Active order, and tickets whose ``Availability``
     disagrees with their Active links (cancelled flights must be 0) → (seat key, issue)."""
     seat = ["Airplane_ID", "Flight_ID", "SEAT_Row_num", "SEAT_Column_number", "CLASS_Type"]
-    act = t.ticket_order.join(t.booking.where(F.col("Status") == "Active").select(F.col("ID").alias("Order_ID")),
-                              "Order_ID", "left_semi")
+    act = order_links(t, t.booking.where(F.col("Status") == "Active"))
     per = act.groupBy(*seat).agg(F.count(F.lit(1)).alias("n_active"))
     double = per.where(F.col("n_active") > 1).select(*seat, F.lit("double sold").alias("issue"))
     canc = t.flight.where(F.col("Status") == "Canceled").select(F.col("ID").alias("Flight_ID")).withColumn("_c", F.lit(True))

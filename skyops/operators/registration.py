@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyops.functions import exprs as X
-from skyops.operators.booking import SEAT4, SEAT5, active_links, admit_in_rounds, dense_index, seat_generate
+from skyops.operators.booking import SEAT4, SEAT5, admit_in_rounds, asked_tickets, dense_index, held_seats, seat_generate
 from skyops.operators.quality import validate_aircraft, validate_aircrew, validate_people
 from skyops.session import cut_lineage
 from skyops.sources.airline import Airline
@@ -54,10 +54,11 @@ def checkout(t: Airline, forms: DataFrame, seats: DataFrame, as_of: Column) -> C
     strip = [X.strip(c).alias(c) for c in FORM]
     buyers = (forms.select("cart_id", "request_ts", "order_id", *strip)
               .groupBy("cart_id").agg(F.min(F.struct("request_ts", "order_id", *FORM)).alias("_f")).select("cart_id", "_f.*"))
-    lines = seats.select("cart_id", *SEAT4).distinct()
-    held = active_links(t).select(*SEAT4).join(lines, SEAT4, "left_semi").distinct().withColumn("_held", F.lit(True))
+    lines = cut_lineage(seats.select("cart_id", *SEAT4).distinct())
+    tickets = asked_tickets(t, lines)
+    held = held_seats(t, lines).withColumn("_held", F.lit(True))
     per = (lines.join(t.flight.select(F.col("ID").alias("Flight_ID"), "dep_ts"), "Flight_ID", "left")
-           .join(t.ticket.select(*SEAT4, "Availability", "Price"), SEAT4, "left").join(held, SEAT4, "left")
+           .join(tickets.select(*SEAT4, "Availability", "Price"), SEAT4, "left").join(held, SEAT4, "left")
            .groupBy("cart_id").agg(
                F.count(F.lit(1)).alias("n_seats"), F.bool_or(F.col("dep_ts").isNull()).alias("_lost"), F.bool_or(F.col("dep_ts") <= as_of).alias("_gone"),
                F.bool_or(F.coalesce(F.col("Availability") != 1, F.lit(True))).alias("_shut"), F.bool_or(F.col("_held").isNotNull()).alias("_held"),
@@ -89,7 +90,7 @@ def checkout(t: Airline, forms: DataFrame, seats: DataFrame, as_of: Column) -> C
         X.cancel_fee(price).alias("Cancellation_fee"), F.when(F.col("_guest"), F.col("_who")).alias("GUEST_Email"),
         F.when(~F.col("_guest"), F.col("_who")).alias("MEMBER_Email"))
     links = (lines.join(orders.select("cart_id", F.col("ID").alias("Order_ID")), "cart_id")
-             .join(t.ticket.select(*SEAT5), SEAT4).select(*SEAT5, "Order_ID"))
+             .join(tickets.select(*SEAT5), SEAT4).select(*SEAT5, "Order_ID"))
     outcomes = done.join(orders.select("cart_id", "ID", "Total_price", "Cancellation_fee"), "cart_id", "left").select(
         "cart_id", "request_ts", "order_id", "reason", "ID", "Total_price", "Cancellation_fee")
 

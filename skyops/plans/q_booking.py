@@ -13,7 +13,8 @@ from skyops.operators import booking as B
 from skyops.operators import relational as Rel
 from skyops.plans.catalog import AS_OF, asof, query
 from skyops.plans.q_reports import hu
-from skyops.sources.airline import ts_ntz
+from skyops.session import cut_lineage
+from skyops.sources.airline import order_links, ts_ntz
 
 TS = f"TIMESTAMP '{AS_OF}'"
 REFRESH_AT = "2001-06-01 00:00:00"
@@ -21,9 +22,9 @@ SEAT4 = "Flight_ID, CLASS_Type, SEAT_Row_num, SEAT_Column_number"
 
 
 def rebook_requests(t):
-    return (t.ticket_order.join(t.booking.where(F.col("Status") == "Customer Cancellation")
-                                .select(F.col("ID").alias("Order_ID"), "Date_of_purchase",
-                                        F.coalesce("MEMBER_Email", "GUEST_Email").alias("email")), "Order_ID")
+    cancelled = t.booking.where(F.col("Status") == "Customer Cancellation").select(
+        F.col("ID").alias("Order_ID"), "Date_of_purchase", F.coalesce("MEMBER_Email", "GUEST_Email").alias("email"))
+    return (order_links(t, cancelled.select(F.col("Order_ID").alias("ID"))).join(cancelled, "Order_ID")
             .select(F.col("Date_of_purchase").cast("timestamp_ntz").alias("request_ts"),
                     F.col("Order_ID").alias("order_id"), "email", "Flight_ID", "CLASS_Type", "SEAT_Row_num",
                     "SEAT_Column_number"))
@@ -112,10 +113,11 @@ num AS (SELECT *, CAST((SELECT COALESCE(MAX(ID), 0) FROM booking) + ROW_NUMBER()
 
 
 def _new_orders(t):
-    carts = rebook_carts(t)
-    won = B.cart_admission(t, carts).where("accepted").select("cart_id", F.col("request_ts").alias("_ts"), F.col("order_id").alias("_order"))
+    carts = cut_lineage(rebook_carts(t))
+    tickets = B.asked_tickets(t, carts)
+    won = B.cart_admission(t, carts, tickets).where("accepted").select("cart_id", F.col("request_ts").alias("_ts"), F.col("order_id").alias("_order"))
     lines = carts.join(won, "cart_id").select("cart_id", F.col("_ts").alias("request_ts"), F.col("_order").alias("order_id"), "email", *B.SEAT4).distinct()
-    return B.order_create(t, lines, asof())
+    return B.order_create(t, lines, asof(), tickets)
 
 
 @query("order_create", f"""

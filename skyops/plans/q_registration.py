@@ -13,6 +13,7 @@ from skyops.plans.catalog import AS_OF, asof, query
 from skyops.plans.q_booking import REBOOK, SEAT4, rebook_requests
 from skyops.plans.q_quality import aircraft_rows, aircrew_rows, people_rows
 from skyops.plans.q_reports import hu
+from skyops.session import cut_lineage
 
 TS = f"TIMESTAMP '{AS_OF}'"
 
@@ -21,7 +22,7 @@ def checkout_forms(t):
     """(forms, seats): a cart per seat of a customer-cancelled order."""
     k = F.col("order_id") % 9
     letter = F.char(F.lit(65) + F.col("order_id") % 26)
-    r = rebook_requests(t).withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), *SEAT4.split(", ")))
+    r = cut_lineage(rebook_requests(t).withColumn("cart_id", F.concat_ws("|", F.col("order_id").cast("string"), *SEAT4.split(", "))))
     forms = r.select(
         "cart_id", "request_ts", "order_id", F.when(F.col("email").startswith("m") & (k != 2), F.col("email")).alias("login"), "email",
         F.when(k == 0, F.lit(" ")).when(k == 3, F.lit("9")).otherwise(F.concat(F.lit(" Ann"), letter)).alias("first"),
