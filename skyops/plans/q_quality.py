@@ -47,13 +47,18 @@ def broken_rows() -> list[tuple[str, str | None, str | None]]:
 
 
 def with_broken_rows(t):
-    """The airline tables with :func:`broken_rows`."""
-    seeded = {}
+    """The airline tables with :func:`broken_rows`. Each row is followed by its copies where it is read, so a table is derived once, however many
+    rules it breaks."""
+    kinds = {}
     for tb, c, e in broken_rows():
-        df = t.tables()[tb]
-        copy = df.where(COPIES[tb])
-        copy = copy if c is None else copy.withColumn(c, F.expr(e).cast(df.schema[c].dataType))
-        seeded[tb] = seeded.get(tb, df).unionByName(copy)
+        kinds.setdefault(tb, []).append((c, e))
+    seeded = {}
+    for tb, df in t.tables().items():
+        if tb in kinds:
+            def row(c=None, e=None, df=df):
+                return F.struct(*[(F.expr(e).cast(f.dataType) if f.name == c else F.col(f.name)).alias(f.name) for f in df.schema.fields])
+            copies = F.when(F.expr(COPIES[tb]), F.array(row(), *[row(c, e) for c, e in kinds[tb]])).otherwise(F.array(row()))
+            seeded[tb] = df.select(F.explode(copies).alias("r")).select("r.*")
     seeded["klass"] = seeded.pop("class")
     return replace(t, **seeded)
 
