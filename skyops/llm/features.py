@@ -31,36 +31,54 @@ def document_sums(parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray
     return total
 
 
-def class_counts(docs: DataFrame, samples: list[np.ndarray], bits: int) -> np.ndarray:
-    """Counts of each feature bucket in all documents (row 0) and in the documents of each sample (rows 1, 2, ...).
-
-    ``samples``: sorted doc_ids of bounded samples. Each task adds up its documents before the shuffle; what comes back is
-    one row per bucket."""
+def _counts(rows: DataFrame, n: int, bits: int, members) -> np.ndarray:
+    """Counts of each feature bucket in all rows (row 0) and in those of each of ``n`` sets (rows 1, 2, ...); ``members``: of a batch, which rows are
+    in each set. Each task adds up its documents before the shuffle; what comes back is one row per bucket."""
     size = 1 << bits
 
     def count(batches):
-        total = np.zeros((len(samples) + 1, size), np.int64)
+        total = np.zeros((n + 1, size), np.int64)
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id").fill_null(-(2**63)))
+            inside = members(batch)
             for i, j, data, off in slices(batch.column("text")):
                 for buckets, at in hashed_features(data, off, bits):
                     total[0] += np.bincount(buckets, minlength=size)
-                    for k, sample in enumerate(samples, 1):
-                        own = np.repeat(np.isin(ids[i:j], sample), np.diff(at))
+                    for k, member in enumerate(inside, 1):
+                        own = np.repeat(member[i:j], np.diff(at))
                         if own.any():
                             total[k] += np.bincount(buckets[own], minlength=size)
         held = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *(pa.array(t[held]) for t in total)],
                                          names=["bucket", *(f"c{k}" for k in range(len(total)))])
 
-    names = [f"c{k}" for k in range(len(samples) + 1)]
-    rows = (texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).mapInArrow(count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in names))
-            .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toPandas())
+    names = [f"c{k}" for k in range(n + 1)]
+    found = (rows.mapInArrow(count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in names))
+             .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toPandas())
     out = np.zeros((len(names), size), np.int64)
-    out[:, rows["bucket"].to_numpy(np.int64)] = rows[names].to_numpy(np.int64).T
+    out[:, found["bucket"].to_numpy(np.int64)] = found[names].to_numpy(np.int64).T
     return out
 
 
+def class_counts(docs: DataFrame, samples: list[np.ndarray], bits: int) -> np.ndarray:
+    """Counts of each feature bucket in all documents (row 0) and in the documents of each sample (rows 1, 2, ...).
+
+    ``samples``: sorted doc_ids of bounded samples."""
+
+    def members(batch):
+        ids = np.asarray(batch.column("doc_id").fill_null(-(2**63)))
+        return [np.isin(ids, sample) for sample in samples]
+
+    return _counts(texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))), len(samples), bits, members)
+
+
+def joined_counts(docs: DataFrame, ids: DataFrame, bits: int) -> np.ndarray:
+    """Counts of each feature bucket in all documents (row 0) and in those whose doc_id is in ``ids`` (row 1), which can have any number of rows: a
+    join finds them, so neither the driver nor a task holds them all."""
+    own = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("own", F.lit(True))
+    rows = texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).join(own, "doc_id", "left").select("text", "own")
+    return _counts(rows, 1, bits, lambda batch: [np.asarray(batch.column("own").is_valid())])
+
+
 def sample_ids(labels: DataFrame, where: Column, limit: int) -> np.ndarray:
     """Sorted doc_ids of at most ``limit`` labelled rows, those of the smallest hashes of doc_id."""
     rows = (labels.where(where).select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna()

@@ -1,12 +1,13 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed words and word pairs: one of the target (labelled rows of good quality, a sample of at most
-``sample`` rows by hash of doc_id) and one of all raw texts. A text's log weight is the log of the ratio of its probabilities. Rows are
+Two generative models over hashed words and word pairs: one of the target (all labelled rows of good quality, found by a join; a caller can ask
+for at most ``sample`` of them, by hash of doc_id) and one of all raw texts. A text's log weight is the log of the ratio of its probabilities. Rows are
 drawn without replacement in proportion to their weights by Gumbel top-k: the k largest of log weight + Gumbel noise. The noise comes from
 a hash of doc_id and the seed, so a task that runs again draws the same. Unless given, k is the number of rows whose log weight is at
-least that of all but 1 - ``keep_share`` of the labelled good rows that were held out of the target model (a fifth of the sample).
+least that of all but 1 - ``keep_share`` of the labelled good rows that were held out of the target model (a fifth of them).
 
-The k-th largest key is found exactly by counting key bits, 16 at a time; no global sort, and only histograms reach the driver.
+The k-th largest key, and the held-out weight at the cut, are found exactly by counting key bits, 16 at a time; no global sort, and only
+histograms reach the driver.
 
 Defined results: null and empty texts have no features and log weight 0; rows that tie with the k-th key are all selected; repeated rows
 share their key; without labelled rows both models are equal but for smoothing; an empty table gives no rows; other columns pass through
@@ -21,20 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyops.llm.common import slices, small_batches, stage, texts, unused
-from skyops.llm.features import class_counts, document_sums, hashed_features, sample_ids
+from skyops.llm.features import document_sums, hashed_features, joined_counts
 from skyops.llm.words import mix
 
 
-def split_sample(labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted doc_ids of good labelled rows: those that fit the target model, and a fifth that is held out."""
-    ids = sample_ids(labels, F.col("quality") == 1, sample)
-    held = mix(ids.view(np.uint64)) % np.uint64(5) == 0
-    return ids[~held], ids[held]
+def split_labels(labels: DataFrame, sample: int | None = None) -> DataFrame:
+    """(doc_id, held): the ids of good labelled rows, and whether they are in the fifth that is held out of the target model."""
+    ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct()
+    if sample is not None:
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return ids.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0)
 
 
-def fit_log_ratio(docs: DataFrame, target: np.ndarray, bits: int = 14, smooth: float = 0.5) -> np.ndarray:
-    """Per bucket: log of its probability in the texts of ``target`` (doc_ids) over that in all texts."""
-    raw, good = class_counts(docs, [target], bits)
+def fit_log_ratio(docs: DataFrame, target: DataFrame | np.ndarray, bits: int = 14, smooth: float = 0.5) -> np.ndarray:
+    """Per bucket: log of its probability in the texts of ``target`` (a table of doc_ids, or a few of them) over that in all texts."""
+    if isinstance(target, np.ndarray):
+        target = docs.sparkSession.createDataFrame([(int(i),) for i in target], "doc_id bigint")
+    raw, good = joined_counts(docs, target, bits)
     if not good.sum():
         return np.zeros(1 << bits)
     # the raw model is smoothed like a target sample of the same size, so unseen buckets weigh the same in both
@@ -59,7 +63,7 @@ def _ordered(key: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
-    """Rows: doc_id, n_features, log_weight, gumbel_key, key_bits (an integer in the order of gumbel_key)."""
+    """Rows: doc_id, n_features, log_weight, gumbel_key, key_bits and weight_bits (integers in the order of gumbel_key and log_weight)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
@@ -68,12 +72,13 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
             for i, j, data, off in slices(batch.column("text")):
                 n, weight = _scores(data, off, shared.value)
                 key = _key(weight, noise[i:j], seed)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(weight), pa.array(key), pa.array(_ordered(key))],
-                                                 names=["doc_id", "n_features", "log_weight", "gumbel_key", "key_bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(weight), pa.array(key), pa.array(_ordered(key)),
+                                                  pa.array(_ordered(weight))],
+                                                 names=["doc_id", "n_features", "log_weight", "gumbel_key", "key_bits", "weight_bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (texts(docs).withColumn("noise", F.xxhash64("doc_id"))
-            .mapInArrow(run, f"doc_id {kind}, n_features bigint, log_weight double, gumbel_key double, key_bits bigint"))
+            .mapInArrow(run, f"doc_id {kind}, n_features bigint, log_weight double, gumbel_key double, key_bits bigint, weight_bits bigint"))
 
 
 def kth_largest(scored: DataFrame, k: int) -> int:
@@ -92,19 +97,20 @@ def kth_largest(scored: DataFrame, k: int) -> int:
     return top
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_share: float = 0.9995, seed: int = 0, sample: int = 20_000,
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_share: float = 0.9995, seed: int = 0, sample: int | None = None,
              **fit) -> tuple[DataFrame, np.ndarray, int]:
     """The scored rows with ``selected``, the fitted ratio, and the smallest selected key."""
-    target, held = split_sample(labels, sample)
-    ratio = fit_log_ratio(docs, target, **fit)
+    known = stage(split_labels(labels, sample), "resample-labels")
+    ratio = fit_log_ratio(docs, known.where("not held"), **fit)
     scored = stage(score(docs, ratio, seed), "resample")
     if k is None:
-        known = docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id bigint")  # at most ``sample`` rows
-        held_out = scored.join(F.broadcast(known), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("log_weight"))  # one weight an id
-        weights = sorted(r[1] for r in held_out.collect())
-        k = scored.where(F.col("log_weight") >= (weights[int((1 - keep_share) * len(weights))] if weights else float("-inf"))).count()
+        held_out = stage(scored.join(known.where("held").select("doc_id"), "doc_id", "left_semi")
+                         .groupBy("doc_id").agg(F.min("weight_bits").alias("key_bits")), "resample-held")  # one weight an id
+        n = held_out.count()
+        least = kth_largest(held_out, n - int((1 - keep_share) * n)) if n else -(2**63)
+        k = scored.where(F.col("weight_bits") >= least).count()
     cut = kth_largest(scored, k) if k else 2**63 - 1
-    return scored.withColumn("selected", (F.col("key_bits") >= cut) & F.lit(k > 0)).drop("key_bits"), ratio, cut
+    return scored.withColumn("selected", (F.col("key_bits") >= cut) & F.lit(k > 0)).drop("key_bits", "weight_bits"), ratio, cut
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 0, **options) -> DataFrame:

@@ -90,6 +90,31 @@ def test_resampling_without_labels_or_rows(spark, make_docs):
     assert resampling.resample(docs.limit(0), labels)[0].count() == 0
 
 
+def test_all_labelled_rows_fit_the_target(spark, make_docs):
+    """Each good row has a word of its own, whose weight tells whether the row is one of the target model's: four fifths are, however many there are."""
+    n = 25_000
+    docs, labels = make_docs([f"u{i}" for i in range(n)]), spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    scored, _, _ = resampling.resample(docs, labels, bits=20)
+    assert scored.where("log_weight > 0").count() / n == pytest.approx(0.8, abs=0.02)  # some two per cent share a bucket
+
+
+def test_the_cut_is_that_of_the_held_out_rows(spark, make_docs):
+    docs = make_docs(corpus(600))
+    labels = label_rows(spark, [(i, int(i % 4 > 0), 0) for i in range(600)])
+    held = {r.doc_id for r in resampling.split_labels(labels).where("held").collect()}
+    for share in (0.9, 0.5, 1.0):
+        rows = resampling.resample(docs, labels, keep_share=share)[0].collect()
+        weights = sorted(r.log_weight for r in rows if r.doc_id in held)
+        least = weights[int((1 - share) * len(weights))]
+        assert sum(r.selected for r in rows) == sum(r.log_weight >= least for r in rows)
+
+
+def test_joined_counts_are_those_of_the_ids(spark, make_docs):
+    docs = make_docs([*enumerate(corpus(30) + EDGES), (3, "g1 again"), (None, "no id"), (None, None)])
+    ids = spark.createDataFrame([(3,), (3,), (7,), (31,), (99,), (None,)], "doc_id long")
+    assert (features.joined_counts(docs, ids, 12) == features.class_counts(docs, [np.array([3, 7, 31, 99])], 12)).all()
+
+
 # mixing
 
 def test_rates_reach_feasible_targets(spark):
