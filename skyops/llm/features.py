@@ -73,9 +73,9 @@ def class_counts(docs: DataFrame, samples: list[np.ndarray], bits: int) -> np.nd
 
 def joined_counts(docs: DataFrame, ids: DataFrame, bits: int) -> np.ndarray:
     """Counts of each feature bucket in all documents (row 0) and in those whose doc_id is in ``ids`` (row 1), which can have any number of rows: a
-    join finds them, so neither the driver nor a task holds them all."""
+    join finds them, so neither the driver nor a task holds them all. It is a merge join at every size, so its cost grows with the input alone."""
     own = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("own", F.lit(True))
-    rows = texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).join(own, "doc_id", "left").select("text", "own")
+    rows = texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).join(own.hint("merge"), "doc_id", "left").select("text", "own")
     return _counts(rows, 1, bits, lambda batch: [np.asarray(batch.column("own").is_valid())])
 
 
