@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyops.functions import exprs as X
 from skyops.operators import relational as Rel
-from skyops.sources.airline import Airline
+from skyops.sources.airline import Airline, links_with_price
 
 SEARCH_CAP = 200  # fixed: result cap of the flight search
 SEAT5 = ["Airplane_ID", "Flight_ID", "SEAT_Row_num", "SEAT_Column_number", "CLASS_Type"]
@@ -150,23 +151,22 @@ def order_detail(t: Airline, as_of: Column, orders: DataFrame | None = None) ->
     legs counts: an Active order with lines may be cancelled when that is ≥ 36 h after ``as_of``.
     """
     b = t.booking if orders is None else t.booking.join(orders.select("ID"), "ID", "left_semi")
-    lines = (t.ticket_order.join(b.select(F.col("ID").alias("Order_ID")), "Order_ID", "left_semi")
-             .join(t.ticket, SEAT5, "inner")
-             .join(t.flight.select(F.col("ID").alias("Flight_ID"), "dep_ts", "Origin_airport", "Arrival_airport",
-                                   F.col("Status").alias("flight_status")), "Flight_ID", "inner"))
-    first = lines.groupBy("Order_ID").agg(F.min("dep_ts").alias("first_dep"))
-    elig = (b.select(F.col("ID").alias("Order_ID"), F.col("Status").alias("order_status"))
-            .join(first, "Order_ID", "left")
-            .withColumn("hrs", X.hours_until(F.col("first_dep"), as_of))
-            .select("Order_ID", "order_status",
-                    F.coalesce((F.col("order_status") == "Active") & (F.col("hrs") >= X.CANCEL_MIN_HOURS),
-                               F.lit(False)).alias("can_cancel"),
-                    F.when(F.col("order_status") != "Active", F.lit("not active"))
-                     .when(F.col("hrs") < X.CANCEL_MIN_HOURS, F.lit("too late"))
-                     .alias("cancel_reason")))
-    return (lines.join(elig, "Order_ID", "inner")
-            .select("Order_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Price", "Flight_ID", "dep_ts",
-                    "Origin_airport", "Arrival_airport", "flight_status", "order_status", "can_cancel", "cancel_reason")
+    links = t.ticket_order if orders is None else t.ticket_order.join(b.select(F.col("ID").alias("Order_ID")), "Order_ID", "left_semi")
+    flights = t.flight.select(F.col("ID").alias("Flight_ID"), "dep_ts", "Origin_airport", "Arrival_airport", F.col("Status").alias("flight_status"))
+    lines = links_with_price(t, links, flights).select("Order_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number", "Price", "Flight_ID", "dep_ts",
+                                                       "Origin_airport", "Arrival_airport", "flight_status")
+    # orders meet their lines in the one shuffle that also sorts them
+    orders_too = lines.unionByName(b.where("ID IS NOT NULL").select(F.col("ID").alias("Order_ID"), F.struct("Status").alias("order")), allowMissingColumns=True)
+    whole = Window.partitionBy("Order_ID")
+    met = (orders_too.repartitionByRange("Order_ID")
+           .select("*", F.min("dep_ts").over(whole).alias("first_dep"), F.collect_list("order").over(whole).alias("orders"))
+           .where("order IS NULL AND Order_ID IS NOT NULL").withColumn("o", F.explode("orders"))
+           .withColumn("hrs", X.hours_until(F.col("first_dep"), as_of)).withColumn("order_status", F.col("o.Status")))
+    return (met.select(*lines.columns, "order_status",
+                       F.coalesce((F.col("order_status") == "Active") & (F.col("hrs") >= X.CANCEL_MIN_HOURS), F.lit(False)).alias("can_cancel"),
+                       F.when(F.col("order_status") != "Active", F.lit("not active"))
+                        .when(F.col("hrs") < X.CANCEL_MIN_HOURS, F.lit("too late"))
+                        .alias("cancel_reason"))
             .orderBy("Order_ID", "Flight_ID", "CLASS_Type", "SEAT_Row_num", "SEAT_Column_number"))
 
 

@@ -256,6 +256,25 @@ def order_links(t: Airline, orders: DataFrame) -> DataFrame:
     return made(orders) if made else t.ticket_order.join(orders.select(F.col("ID").alias("Order_ID")), "Order_ID", "left_semi")
 
 
+def seat_price(cls: str, list_price: str) -> Column:
+    """First costs 3x the list price."""
+    return F.when(F.col(cls) == "First", F.col(list_price) * 3).otherwise(F.col(list_price))
+
+
+def links_with_price(t: Airline, links: DataFrame, flights: DataFrame) -> DataFrame:
+    """``links`` joined to their tickets, adding ``Price``, and to ``flights`` (Flight_ID and more). Where tickets are derived, the seats of a flight's
+    aircraft travel as one array with the flight and links meet them there, so that no ticket which nobody asks for is formed or shuffled."""
+    priced, seat = getattr(t, "flight_priced", None), ["SEAT_Row_num", "SEAT_Column_number", "CLASS_Type"]
+    if priced is None:
+        return links.join(t.ticket.select("Airplane_ID", "Flight_ID", *seat, "Price"), ["Airplane_ID", "Flight_ID", *seat]).join(flights, "Flight_ID")
+    seats = t.seat.groupBy("Airplane_ID").agg(F.collect_list(F.struct(F.col("Row_num").alias("row"), F.col("Column_number").alias("letter"),
+                                                                      F.col("Class_Type").alias("class"))).alias("seats"))
+    sold = priced.select("Flight_ID", "Airplane_ID", "p_retailprice").join(seats, "Airplane_ID").join(flights, "Flight_ID")
+    at = links.join(sold, ["Flight_ID", "Airplane_ID"]).withColumn("s", F.explode("seats"))
+    return (at.where((F.col("s.row") == F.col("SEAT_Row_num")) & (F.col("s.letter") == F.col("SEAT_Column_number")) & (F.col("s.class") == F.col("CLASS_Type")))
+            .withColumn("Price", seat_price("CLASS_Type", "p_retailprice")).drop("s", "seats", "p_retailprice"))
+
+
 def build_ticket(flight_priced: DataFrame, seat: DataFrame, active: DataFrame) -> DataFrame:
     """One ticket per (flight, seat of its aircraft); First costs 3x the list price; a seat is
     unavailable when the flight is cancelled or an Active order holds it (``active``: the links of these).
@@ -273,8 +292,7 @@ def build_ticket(flight_priced: DataFrame, seat: DataFrame, active: DataFrame) -
                               F.col("Column_number").alias("SEAT_Column_number"),
                               F.col("Class_Type").alias("CLASS_Type")), "Airplane_ID", "inner")
             .select("Airplane_ID", "Flight_ID", "SEAT_Row_num", "SEAT_Column_number", "CLASS_Type",
-                    F.when(F.col("CLASS_Type") == "First", F.col("p_retailprice") * 3)
-                     .otherwise(F.col("p_retailprice")).alias("Price"),
+                    seat_price("CLASS_Type", "p_retailprice").alias("Price"),
                     F.when((F.col("Status") == "Canceled") | taken, 0)
                      .otherwise(1).alias("Availability")))
 
