@@ -79,6 +79,18 @@ def joined_counts(docs: DataFrame, ids: DataFrame, bits: int) -> np.ndarray:
     return _counts(rows, 1, bits, lambda batch: [np.asarray(batch.column("own").is_valid())])
 
 
+def fold_counts(docs: DataFrame, ids: DataFrame, folds: int, bits: int) -> np.ndarray:
+    """As :func:`joined_counts`, of the ids of each ``fold`` (0, 1, ...) apart: rows 1, 2, ... ``ids`` has an id once at most."""
+    own = ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), "fold")
+    rows = texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).join(own.hint("merge"), "doc_id", "left").select("text", "fold")
+
+    def members(batch):
+        fold = np.asarray(batch.column("fold").fill_null(-1))
+        return [fold == k for k in range(folds)]
+
+    return _counts(rows, folds, bits, members)
+
+
 def sample_ids(labels: DataFrame, where: Column, limit: int) -> np.ndarray:
     """Sorted doc_ids of at most ``limit`` labelled rows, those of the smallest hashes of doc_id."""
     rows = (labels.where(where).select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna()

@@ -4,7 +4,8 @@ Two generative models over hashed words and word pairs: one of the target (all l
 for at most ``sample`` of them, by hash of doc_id) and one of all raw texts. A text's log weight is the log of the ratio of its probabilities. Rows are
 drawn without replacement in proportion to their weights by Gumbel top-k: the k largest of log weight + Gumbel noise. The noise comes from
 a hash of doc_id and the seed, so a task that runs again draws the same. Unless given, k is the number of rows whose log weight is at
-least that of all but 1 - ``keep_share`` of the labelled good rows that were held out of the target model (a fifth of them).
+least that of all but 1 - ``keep_share`` of the labelled good rows that were held out of the target model: a fifth of them, or, with ``cross``, each
+in turn (the model is then fitted on all of them, and each row's weight at the cut comes from the other four fifths).
 
 The k-th largest key, and the held-out weight at the cut, are found exactly by counting key bits, 16 at a time; no global sort, and only
 histograms reach the driver.
@@ -18,34 +19,72 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyops.llm.common import slices, small_batches, stage, texts, unused
-from skyops.llm.features import document_sums, hashed_features, joined_counts
+from skyops.llm.features import document_sums, fold_counts, hashed_features, joined_counts
 from skyops.llm.words import mix
 
 
+#: parts of the good labelled rows
+FOLDS = 5
+
+
+def _fold(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held"), doc_id), F.lit(FOLDS))
+
+
 def split_labels(labels: DataFrame, sample: int | None = None) -> DataFrame:
     """(doc_id, held): the ids of good labelled rows, and whether they are in the fifth that is held out of the target model."""
     ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna().distinct()
     if sample is not None:
         ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return ids.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0)
+    return ids.withColumn("held", _fold(F.col("doc_id")) == 0)
 
 
 def fit_log_ratio(docs: DataFrame, target: DataFrame | np.ndarray, bits: int = 14, smooth: float = 0.5) -> np.ndarray:
     """Per bucket: log of its probability in the texts of ``target`` (a table of doc_ids, or a few of them) over that in all texts."""
     if isinstance(target, np.ndarray):
         target = docs.sparkSession.createDataFrame([(int(i),) for i in target], "doc_id bigint")
-    raw, good = joined_counts(docs, target, bits)
+    return _ratio(*joined_counts(docs, target, bits), smooth)
+
+
+def _ratio(raw: np.ndarray, good: np.ndarray, smooth: float) -> np.ndarray:
     if not good.sum():
-        return np.zeros(1 << bits)
+        return np.zeros(len(good))
     # the raw model is smoothed like a target sample of the same size, so unseen buckets weigh the same in both
     raw = raw * (good.sum() / raw.sum())
     return np.log((good + smooth) / (good.sum() + smooth * len(good))) - np.log((raw + smooth) / (raw.sum() + smooth * len(raw)))
 
 
+def fit_folds(docs: DataFrame, good: DataFrame, bits: int = 14, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fit_log_ratio` of all rows of ``good`` (doc_id, once each), and for each fold that of the other folds; texts are read once."""
+    raw, *folds = fold_counts(docs, good.withColumn("fold", _fold(F.col("doc_id").cast("bigint"))), FOLDS, bits)
+    whole = sum(folds)
+    return _ratio(raw, whole, smooth), np.stack([_ratio(raw, whole - own, smooth) for own in folds])
+
+
+def held_out_weights(docs: DataFrame, good: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """(doc_id, key_bits): the least log weight of each id of ``good`` by the model that its fold is held out of, as bits in its order. Texts stay where
+    they are: every row is scored, as its fold is told by its id, and the ids of ``good`` are picked then."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(batches):
+        for batch in batches:
+            fold = np.asarray(batch.column("fold").fill_null(0))
+            for i, j, data, off in slices(batch.column("text")):
+                size = shared.value.shape[1]
+                parts = hashed_features(data, off, int(np.log2(size)))
+                parts = [(buckets + size * np.repeat(fold[i:j], np.diff(at)), at) for buckets, at in parts]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(_ordered(document_sums(parts, shared.value.ravel())))],
+                                                 names=["doc_id", "key_bits"])
+
+    rows = texts(docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))).withColumn("fold", _fold(F.col("doc_id")))
+    return (rows.mapInArrow(run, "doc_id bigint, key_bits bigint").join(good.select("doc_id"), "doc_id", "left_semi")
+            .groupBy("doc_id").agg(F.min("key_bits").alias("key_bits")))
+
+
 def _scores(data: np.ndarray, off: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = hashed_features(data, off, int(np.log2(len(ratio))))
     return sum(np.diff(at) for _, at in parts), document_sums(parts, ratio)
@@ -98,14 +137,18 @@ def kth_largest(scored: DataFrame, k: int) -> int:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_share: float = 0.9995, seed: int = 0, sample: int | None = None,
-             **fit) -> tuple[DataFrame, np.ndarray, int]:
+             cross: bool = False, **fit) -> tuple[DataFrame, np.ndarray, int]:
     """The scored rows with ``selected``, the fitted ratio, and the smallest selected key."""
     known = stage(split_labels(labels, sample), "resample-labels")
-    ratio = fit_log_ratio(docs, known.where("not held"), **fit)
+    if cross:
+        ratio, others = fit_folds(docs, known, **fit)
+    else:
+        ratio = fit_log_ratio(docs, known.where("not held"), **fit)
     scored = stage(score(docs, ratio, seed), "resample")
     if k is None:
-        held_out = stage(scored.join(known.where("held").select("doc_id"), "doc_id", "left_semi")
-                         .groupBy("doc_id").agg(F.min("weight_bits").alias("key_bits")), "resample-held")  # one weight an id
+        held_out = (held_out_weights(docs, known, others) if cross else
+                    scored.join(known.where("held").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("weight_bits").alias("key_bits")))
+        held_out = stage(held_out, "resample-held")  # one weight an id
         n = held_out.count()
         least = kth_largest(held_out, n - int((1 - keep_share) * n)) if n else -(2**63)
         k = scored.where(F.col("weight_bits") >= least).count()

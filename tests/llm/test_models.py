@@ -109,6 +109,43 @@ def test_the_cut_is_that_of_the_held_out_rows(spark, make_docs):
         assert sum(r.selected for r in rows) == sum(r.log_weight >= least for r in rows)
 
 
+def test_crossed_rows_all_fit_and_all_set_the_cut(spark, make_docs):
+    """Every good row is in the target model; each one's weight at the cut is that of a model fitted without its fifth."""
+    texts = corpus(300)
+    docs, labels = make_docs([*enumerate(texts), (4, texts[5]), (None, "g1 g2")]), label_rows(spark, [(i, int(i % 4 > 0), 0) for i in range(300)])
+    good = resampling.split_labels(labels)
+    ratio, others = resampling.fit_folds(docs, good)
+    assert np.allclose(ratio, resampling.fit_log_ratio(docs, good))
+    fold = {r.doc_id: r.fold for r in good.withColumn("fold", resampling._fold(F.col("doc_id"))).collect()}
+    want = {}
+    for k in range(resampling.FOLDS):
+        rest = np.array([i for i, f in fold.items() if f != k], np.int64)
+        assert np.allclose(others[k], resampling.fit_log_ratio(docs, rest))
+        for r in resampling.score(docs, others[k]).collect():
+            if fold.get(r.doc_id) == k:
+                want[r.doc_id] = min(want.get(r.doc_id, math.inf), r.log_weight)
+    bits = {r.doc_id: r.key_bits for r in resampling.held_out_weights(docs, good, others).collect()}
+    got = resampling._ordered(np.array(list(bits.values())).view(float)).view(float)  # the bits are their own inverse's
+    assert dict(zip(bits, got)) == pytest.approx(want, abs=1e-9) and sorted(bits) == sorted(fold)
+    for share in (0.9, 1.0):
+        rows = resampling.resample(docs, labels, keep_share=share, cross=True)[0].collect()
+        least = sorted(want.values())[int((1 - share) * len(want))]
+        assert sum(r.selected for r in rows) == sum(r.log_weight >= least for r in rows)
+
+
+def test_the_pipeline_fits_on_all_good_rows(spark, make_docs, monkeypatch):
+    """Each good row has a word of its own, whose weight tells whether the row is one of the target model's."""
+    import corpus_pipeline
+    docs, labels = make_docs([f"u{i}" for i in range(500)]), spark.range(250).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    seen, fitted = [], resampling.resample
+    monkeypatch.setattr(resampling, "resample", lambda *a, **k: seen.append(fitted(*a, **k, bits=20)) or seen[-1])
+    corpus_pipeline.quality(spark, docs, "").count()
+    assert seen[0][0].where("log_weight > 0").count() >= 249  # four fifths of the 250, were a fifth held out
+    assert resampling.resample(docs.limit(0), labels, cross=True)[0].count() == 0
+    assert resampling.keep_selected(docs, labels.limit(0), cross=True).count() == 500
+
+
 def test_joined_counts_are_those_of_the_ids(spark, make_docs):
     docs = make_docs([*enumerate(corpus(30) + EDGES), (3, "g1 again"), (None, "no id"), (None, None)])
     ids = spark.createDataFrame([(3,), (3,), (7,), (31,), (99,), (None,)], "doc_id long")
